@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import huestrata as hs
 from huestrata.catalog import oracle_parts as sql
 from huestrata.functions import window_label
-from huestrata.operators.columns import collapse_metric
+from huestrata.operators.columns import long_histogram
 from huestrata.operators.groups import keep_complete_days
 from huestrata.operators.images import pick_first_image
 from huestrata.schema import (
@@ -25,27 +25,20 @@ from huestrata.schema import (
 )
 from huestrata.sources.tables import events_histogram, lineitem_histogram
 
-_SHORT = ("Dataset", "Camera_ID", "Year", "Day", "Hour", "Minute", "Metric_Type")
 _ATTRIBUTE_OF = {"HSV_SMean": "MeanA", "HSV_VMean": "MeanB", "HSV_SMode": "MaxA", "HSV_VMode": "MaxB"}
 
 
-def _plain(hist):
-    return collapse_metric(
-        hist.select(*_SHORT, "HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value"), ()
-    )
-
-
 def _first(spark, sf):
-    return pick_first_image(_plain(events_histogram(spark, sf)))
+    return pick_first_image(long_histogram(events_histogram(spark, sf)))
 
 
 def _first_pooled(spark, sf):
-    return pick_first_image(_plain(events_histogram(spark, sf)), series=("Dataset",))
+    return pick_first_image(long_histogram(events_histogram(spark, sf)), series=("Dataset",))
 
 
 def _complete_days(spark, sf):
     hist = lineitem_histogram(spark, sf, dense=False)
-    return keep_complete_days(_plain(hist), 7)
+    return keep_complete_days(long_histogram(hist), 7)
 
 
 def _merge(spark, sf):
@@ -55,8 +48,10 @@ def _merge(spark, sf):
 
 
 def _merge_attributes(spark, sf):
-    hist = events_histogram(spark, sf, dense=True).filter(F.col("Metric_Type") == "HSV")
-    return hs.weighted_day_merge(hist, HOURS_8_TO_18, attributes=HSV_ATTRIBUTES)
+    hist = events_histogram(spark, sf, dense=True)
+    return hs.weighted_day_merge(
+        hist, HOURS_8_TO_18, attributes=HSV_ATTRIBUTES, metrics=("HSV",)
+    )
 
 
 def _merge_unlisted(spark, sf):

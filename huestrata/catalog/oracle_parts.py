@@ -118,7 +118,7 @@ def _packed(red: str, green: str, blue: str, known: str) -> str:
 
 def hsv_hex(hue: str, saturation: str = "1e0", value: str = "1e0") -> str:
     h, s, v = (f"CAST({c} AS DOUBLE)" for c in (hue, saturation, value))
-    turn = f"({h} / 60 - floor({h} / 60 / 6) * 6)"
+    turn = f"({h} % 360 / 60)"
     sextant = f"floor({turn})"
     part = f"({turn} - {sextant})"
     slope = f"(CASE WHEN {sextant} % 2 = 0 THEN 1 - {part} ELSE {part} END)"

@@ -11,6 +11,7 @@ from huestrata.operators.columns import (
     collapse_metric,
     drop_containing,
     keep_containing,
+    long_histogram,
     metric_from_sentinel,
     move_first,
 )
@@ -39,15 +40,10 @@ from huestrata.schema import (
 from huestrata.sources.files import weight_table
 from huestrata.sources.tables import events_histogram, lineitem_histogram, table
 
-_SHORT = ("Dataset", "Camera_ID", "Year", "Day", "Hour", "Minute", "Metric_Type")
 _CELL = ["Dataset", "Camera_ID", "Year", "Day", "Hour"]
 HUES = range(0, 360, 10)
 
 
-def _long(hist):
-    return collapse_metric(hist.select(*_SHORT, "HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value"), ())
-
-
 def _collapse(spark, sf):
     hist = events_histogram(spark, sf).drop("Metric_Type")
     return collapse_metric(metric_from_sentinel(hist), HSV_ATTRIBUTES)
@@ -110,7 +106,7 @@ def _coefficients(spark, sf):
 
 
 def _pivot(spark, sf):
-    hist = _long(events_histogram(spark, sf).filter(F.col("Metric_Type") == "HSV"))
+    hist = long_histogram(events_histogram(spark, sf), metrics=("HSV",))
     return pivot_bins(hist, [*_CELL, "Minute"], HUES)
 
 
@@ -223,7 +219,7 @@ def _rgb_hex(spark, sf):
 
 def _uniqueness(spark, sf):
     """Keys that two images of one hour share."""
-    hist = _long(events_histogram(spark, sf))
+    hist = long_histogram(events_histogram(spark, sf))
     keyed = hist.withColumn("Key", paste("Year", "Day", "Hour", "Bin", "Metric_Type"))
     return duplicate_keys(keyed, ["Dataset", "Camera_ID", "Key"])
 

@@ -24,8 +24,7 @@ def _hex(red: Column, green: Column, blue: Column) -> Column:
         return F.floor(c * 255 + 0.5)
 
     packed = byte(red) * 65536 + byte(green) * 256 + byte(blue)
-    valid = red.between(0, 1) & green.between(0, 1) & blue.between(0, 1)
-    return F.when(valid, F.concat(F.lit("#"), F.lpad(F.hex(packed), 6, "0")))
+    return F.concat(F.lit("#"), F.lpad(F.hex(packed), 6, "0"))
 
 
 def hsv_to_hex(
@@ -33,8 +32,7 @@ def hsv_to_hex(
 ) -> Column:
     """``#RRGGBB`` of a hue in degrees, a saturation and a value."""
     s, v = _component(saturation), _component(value)
-    turn = _component(hue) / 60
-    turn = turn - F.floor(turn / 6) * 6
+    turn = F.pmod(_component(hue), F.lit(360.0)) / 60
     sextant = F.floor(turn)
     part = turn - sextant
     slope = F.when(sextant % 2 == 0, 1 - part).otherwise(part)
@@ -44,7 +42,7 @@ def hsv_to_hex(
     def channel(at_top: tuple[int, int], at_mid: tuple[int, int]) -> Column:
         return F.when(sextant.isin(*at_top), v).when(sextant.isin(*at_mid), mid).otherwise(low)
 
-    known = turn.isNotNull() & s.between(0, 1) & v.between(0, 1)
+    known = _component(hue).isNotNull() & s.between(0, 1) & v.between(0, 1)
     return F.when(
         known, _hex(channel((0, 5), (1, 4)), channel((1, 2), (0, 3)), channel((3, 4), (2, 5)))
     )

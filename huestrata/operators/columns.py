@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.functions import as_integer, clean_nan
-from huestrata.schema import ATTRIBUTES, GCC, HSV
+from huestrata.schema import ATTRIBUTES, GCC, HSV, SERIES
 
 
 def keep_containing(df: DataFrame, *texts: str, also: Sequence[str] = ()) -> DataFrame:
@@ -43,21 +43,46 @@ def metric_from_sentinel(df: DataFrame) -> DataFrame:
     )
 
 
-def collapse_metric(df: DataFrame, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+def collapse_metric(
+    df: DataFrame, attributes: Sequence[str] = ATTRIBUTES, metrics: Sequence[str] = (HSV, GCC)
+) -> DataFrame:
     """Merge the two halves of a histogram row into ``Bin`` and ``Bin_Value``.
 
-    Sizes are pixel counts and become BIGINT. Only the colour attributes asked
-    for are carried on, so the scan reads no more than the job needs.
+    Sizes are pixel counts and become BIGINT. Only the colour attributes and
+    the halves asked for are carried on, so the scan reads no more than the
+    job needs. Rows of another metric get no bin.
     """
-    metric = F.col("Metric_Type")
-    dropped = {"HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value", "Metric_Type", *ATTRIBUTES}
-    size = F.when(metric == HSV, F.col("HSV_H")).when(metric == GCC, F.col("Gcc_Value"))
+    halves = {HSV: ("HSV_Bin", "HSV_H"), GCC: ("Gcc_Bin", "Gcc_Value")}
+    dropped = {*halves[HSV], *halves[GCC], "Metric_Type", *ATTRIBUTES}
+
+    def of_metric(place: int) -> Column:
+        first, *rest = metrics
+        value = F.when(F.col("Metric_Type") == first, F.col(halves[first][place]))
+        for metric in rest:
+            value = value.when(F.col("Metric_Type") == metric, F.col(halves[metric][place]))
+        return value
+
     return df.select(
         *[c for c in df.columns if c not in dropped],
-        metric,
-        F.when(metric == HSV, F.col("HSV_Bin"))
-        .when(metric == GCC, F.col("Gcc_Bin"))
-        .alias("Bin"),
-        as_integer(size, "bigint").alias("Bin_Value"),
+        "Metric_Type",
+        of_metric(0).alias("Bin"),
+        as_integer(of_metric(1), "bigint").alias("Bin_Value"),
         *[clean_nan(c).alias(c) for c in attributes],
     )
+
+
+def long_histogram(
+    hist: DataFrame,
+    *,
+    series: Sequence[str] = SERIES,
+    attributes: Sequence[str] = (),
+    metrics: Sequence[str] = (HSV, GCC),
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """The image key, bin, size and chosen attributes of the chosen metrics."""
+    keys = dict.fromkeys([*SERIES, *series, "Year", "Day", "Hour", "Minute", *extra])
+    if set(metrics) != {HSV, GCC}:
+        hist = hist.filter(F.col("Metric_Type").isin(list(metrics)))
+    return collapse_metric(hist, attributes, metrics).select(
+        *keys, "Metric_Type", "Bin", "Bin_Value", *attributes
+    )

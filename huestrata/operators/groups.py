@@ -17,14 +17,18 @@ from huestrata.functions import strict_sum
 
 
 def keep_matching(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key also occurs in ``other`` (a membership test on a table)."""
-    return df.join(other.select(*on), list(on), "left_semi")
+    """Rows whose key also occurs in ``other`` (a membership test on a table).
+
+    The keys are made distinct first, so a key that fills ``other`` costs one
+    row per map task.
+    """
+    return df.join(other.select(*on).distinct(), list(on), "left_semi")
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], figure: Column, holds) -> DataFrame:
     """Rows of the groups whose aggregate ``figure`` satisfies ``holds``."""
     groups = df.groupBy(*keys).agg(figure.alias("_figure")).filter(holds(F.col("_figure")))
-    return keep_matching(df, groups, keys)
+    return df.join(groups.select(*keys), list(keys), "left_semi")
 
 
 def keep_groups_by_size(

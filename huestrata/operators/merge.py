@@ -8,9 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.functions import hour_weight, lenient_sum, strict_sum, whole_div
-from huestrata.operators.columns import collapse_metric
+from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import only_complete_days, pick_first_image
-from huestrata.schema import ATTRIBUTE_UNITS, ATTRIBUTES, SERIES, WEIGHT_UNITS, hour_units
+from huestrata.schema import (
+    ATTRIBUTE_UNITS,
+    ATTRIBUTES,
+    GCC,
+    HSV,
+    SERIES,
+    WEIGHT_UNITS,
+    hour_units,
+)
 
 
 def listed_hours(df: DataFrame, weights: Mapping[int, str]) -> DataFrame:
@@ -24,6 +32,7 @@ def hourly_images(
     *,
     series: Sequence[str] = SERIES,
     attributes: Sequence[str] = (),
+    metrics: Sequence[str] = (HSV, GCC),
     extra: Sequence[str] = (),
     listed_hours_only: bool = True,
 ) -> DataFrame:
@@ -31,13 +40,10 @@ def hourly_images(
 
     Hours outside the list are dropped, or kept with a NULL weight.
     """
-    wanted = dict.fromkeys(
-        [*SERIES, *series, "Year", "Day", "Hour", "Minute", *extra, "Metric_Type"]
-    )
     if listed_hours_only:
         hist = listed_hours(hist, weights)
-    long = collapse_metric(
-        hist.select(*wanted, "HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value", *attributes), attributes
+    long = long_histogram(
+        hist, series=series, attributes=attributes, metrics=metrics, extra=extra
     )
     picked = pick_first_image(long, series=series)
     return picked.withColumn("Weight", hour_weight(weights))
@@ -75,6 +81,7 @@ def weighted_day_merge(
     series: Sequence[str] = SERIES,
     require_hours: int | None = None,
     attributes: Sequence[str] = ATTRIBUTES,
+    metrics: Sequence[str] = (HSV, GCC),
     extra: Sequence[str] = (),
     listed_hours_only: bool = True,
 ) -> DataFrame:
@@ -88,6 +95,7 @@ def weighted_day_merge(
         weights,
         series=series,
         attributes=attributes,
+        metrics=metrics,
         extra=extra,
         listed_hours_only=listed_hours_only,
     )

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.functions import case_of, hour_weight, whole_div, window_label
-from huestrata.operators.columns import collapse_metric
+from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import only_complete_days, pick_first_image
 from huestrata.schema import (
     DAYS_IN_YEAR,
+    HSV,
     LAST_GROUP,
     SERIES,
     WEIGHT_UNITS,
@@ -25,7 +26,7 @@ def whole_days(
     hours: Mapping[int, str],
     *,
     series: Sequence[str] = SERIES,
-    metric: str = "HSV",
+    metric: str = HSV,
     exact_images: int | None = None,
     min_images: int | None = None,
     minute: int = 0,
@@ -38,12 +39,11 @@ def whole_days(
     summed up before any window is formed. ``Bin_Units`` is in ten-thousandths.
     A bin that is missing or unknown at one of the hours leaves its day out.
     """
-    wanted = dict.fromkeys([*SERIES, *series, "Year", "Day", "Hour", "Minute", "Metric_Type"])
-    hist = hist.select(*wanted, "HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value")
-    hist = hist.filter(F.col("Metric_Type") == metric)
     if minute_first:
         hist = hist.filter(F.col("Minute") == minute)
-    picked = pick_first_image(collapse_metric(hist, ()), series=series)
+    picked = pick_first_image(
+        long_histogram(hist, series=series, metrics=(metric,)), series=series
+    )
     if exact_images is not None or min_images is not None:
         picked = only_complete_days(
             picked, series=series, exactly=exact_images, at_least=min_images

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.functions import hour_label, hsv_to_hex, paste
-from huestrata.operators.columns import collapse_metric, move_first
+from huestrata.operators.columns import long_histogram, move_first
 from huestrata.operators.images import pick_first_image
 from huestrata.operators.merge import weighted_day_merge
 from huestrata.operators.stack import colour_styles, stack_bins, stack_shares
@@ -17,12 +17,7 @@ from huestrata.schema import GCC, GCC_ATTRIBUTES, HSV, HSV_ATTRIBUTES, SERIES
 
 
 def _long(hist: DataFrame, series: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    wanted = dict.fromkeys([*SERIES, *series, "Year", "Day", "Hour", "Minute", "Metric_Type"])
-    if set(metrics) != {HSV, GCC}:
-        hist = hist.filter(F.col("Metric_Type").isin(list(metrics)))
-    attributes = _attributes(metrics)
-    hist = hist.select(*wanted, "HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value", *attributes)
-    return collapse_metric(hist, attributes)
+    return long_histogram(hist, series=series, attributes=_attributes(metrics), metrics=metrics)
 
 
 def _attributes(metrics: Sequence[str]) -> tuple[str, ...]:
@@ -87,14 +82,14 @@ def weighted_cpm(
     listed_hours_only: bool = True,
 ) -> DataFrame:
     """One column per day from the weighted hours of the day."""
-    if set(metrics) != {HSV, GCC} and require_hours is None:
-        hist = hist.filter(F.col("Metric_Type").isin(list(metrics)))
     merged = weighted_day_merge(
         hist,
         weights,
         series=series,
         require_hours=require_hours,
         attributes=_attributes(metrics),
+        # The images of both metrics count towards the hours of a day.
+        metrics=metrics if require_hours is None else (HSV, GCC),
         listed_hours_only=listed_hours_only,
     ).filter(F.col("Metric_Type").isin(list(metrics)))
     return _stacked(merged, ("Year", "Day"), series, metrics)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.functions import as_integer, case_of, hour_weight
-from huestrata.operators.columns import collapse_metric
+from huestrata.operators.columns import long_histogram
 from huestrata.operators.groups import keep_groups_by_sum
 from huestrata.operators.images import pick_first_image
 from huestrata.operators.merge import listed_hours
@@ -45,9 +45,14 @@ def parse_image_name(df: DataFrame, name: str = "Name") -> DataFrame:
 
 
 def mean_coefficients(green: DataFrame, red: DataFrame) -> DataFrame:
-    """Mean green and red coefficient per image, matched by image name."""
-    both = green.select("Name", "MeanGcc").join(red.select("Name", "MeanRcc"), "Name")
-    return parse_image_name(both)
+    """Mean green and red coefficient per image, matched by image name.
+
+    A coefficient depends on the image alone, so copies of a name on the red
+    side are folded into one row before the join: every green row gets its one
+    partner and repeated names do not multiply.
+    """
+    one_red = red.groupBy("Name").agg(F.min("MeanRcc").alias("MeanRcc"))
+    return parse_image_name(green.select("Name", "MeanGcc").join(one_red, "Name", "left"))
 
 
 def bin_distribution(
@@ -58,15 +63,11 @@ def bin_distribution(
     series: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Green bins of a day, added up over one image per listed hour."""
-    wanted = dict.fromkeys([*SERIES, *series, "Year", "Day", "Hour", "Minute", "Metric_Type"])
-    hist = listed_hours(hist, weights).filter(F.col("Metric_Type") == GCC)
+    hist = listed_hours(hist, weights)
     if days is not None:
         hist = hist.filter(F.col("Day").isin(list(days)))
-    long = collapse_metric(
-        hist.select(*wanted, "HSV_Bin", "HSV_H", "Gcc_Bin", "Gcc_Value"), ()
-    ).filter(F.col("Bin_Value").isNotNull())
     return (
-        pick_first_image(long, series=series)
+        pick_first_image(long_histogram(hist, series=series, metrics=(GCC,)), series=series)
         .filter(F.col("Bin_Value") != 0)
         .groupBy(*series, "Year", "Day", F.col("Bin").alias("Gcc_Bin"))
         .agg(F.sum("Bin_Value").alias("Gcc_Value"))

@@ -1,0 +1,62 @@
+"""Shape of the physical plans: shuffles, broadcasts, pushed filters."""
+
+import re
+
+import pytest
+
+import huestrata as hs
+from huestrata import schema as S
+from tests.helpers import green_row, histogram, hue_row
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    rows = [hue_row(y, d, h, b, 5) for y in (2015, 2016) for d in (1, 2, 3) for h in range(7, 17) for b in (0, 10)]
+    rows += [green_row(2016, 1, h, 3, 5) for h in range(7, 17)]
+    path = str(tmp_path_factory.mktemp("plans") / "hist")
+    hs.write_histograms(histogram(spark, rows), path)
+    return hs.read_histograms(spark, path)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(df):
+    return len(re.findall(r"Exchange (?:hash|range|single|round)", plan(df), re.I))
+
+
+@pytest.mark.parametrize(
+    "name, most, job",
+    [
+        ("daily", 2, lambda h: hs.daily_cpm(h)),
+        ("hourly", 2, lambda h: hs.hourly_cpm(h)),
+        ("merge", 2, lambda h: hs.weighted_day_merge(h, S.HOURS_7_TO_16, require_hours=7)),
+        ("weighted", 2, lambda h: hs.weighted_cpm(h, S.HOURS_7_TO_16, require_hours=7)),
+        ("uncertainty", 2, lambda h: hs.uncertainty(h, S.HOURS_7_TO_16, require_hours=7)),
+        ("relative", 3, lambda h: hs.relative_uncertainty(
+            hs.uncertainty(h, S.HOURS_7_TO_16, require_hours=7))),
+        ("windows", 3, lambda h: hs.window_cpm(
+            h, S.KERNEL_HOURS_8_TO_18,
+            [S.KERNEL_LAGS_2, S.KERNEL_LAGS_5, S.KERNEL_LAGS_7, S.KERNEL_LAGS_10], exact_images=11)),
+        ("distribution", 2, lambda h: hs.bin_distribution(h, S.HOURS_7_TO_16)),
+    ],
+)
+def test_shuffle_budget(stored, name, most, job):
+    text = plan(job(stored))
+    assert shuffles(job(stored)) <= most, text
+    assert "SinglePartition" not in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "Python" not in text and "Pandas" not in text
+
+
+def test_filters_and_columns_reach_the_scan(stored):
+    text = plan(hs.uncertainty(stored.filter("Year = 2016"), S.HOURS_7_TO_16))
+    scan = text[text.index("FileScan"):]
+    hours = re.search(r"In\(Hour, \[([\d,]+)\]\)", scan).group(1)
+    assert sorted(map(int, hours.split(","))) == sorted(S.HOURS_7_TO_16)
+    assert "Year" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "HSV_SMean" not in scan and "Gcc_Mean_R" not in scan and "Considered_Pixels" not in scan
+    only_hue = plan(hs.daily_cpm(stored, metrics=("HSV",)))
+    assert "EqualTo(Metric_Type,HSV)" in only_hue or "In(Metric_Type, [HSV])" in only_hue
+    assert "Gcc" not in only_hue[only_hue.index("FileScan"):]

@@ -1,0 +1,244 @@
+"""One hand-computed case per semantic trap of the histogram jobs."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import huestrata as hs
+from huestrata.functions import as_integer, clean_nan, lenient_sum, strict_sum, whole_div
+from huestrata.operators.columns import clean_histograms, collapse_metric, metric_from_sentinel
+from huestrata.operators.groups import duplicate_keys
+from huestrata.operators.images import pick_first_image
+from huestrata.operators.stack import stack_shares
+from huestrata.plans.uncertainty import hourly_distance, relative_uncertainty, uncertainty
+from huestrata.schema import HOURS_7_TO_16, HOURS_9_TO_15, KERNEL_HOURS_10_TO_14, to_units
+from tests.helpers import green_row, histogram, hue_row, rows_of
+
+TWO_HOURS = {10: "0.25", 11: "0.75"}
+
+
+def test_stacking_follows_the_bin_not_the_input_order(spark):
+    rows = [hue_row(2016, 1, 9, b, v) for b, v in [(30, 3), (10, 1), (20, 2), (40, 0)]]
+    cpm = hs.daily_cpm(histogram(spark, rows).repartition(3), metrics=("HSV",))
+    assert rows_of(cpm.filter("Style = 'H'"), "Bin", "Y_min", "Y_max") == [
+        (10, 0, 1), (20, 1, 3), (30, 3, 6),
+    ]
+
+
+@pytest.mark.parametrize("size", [1, 7, 19, 333, 4999])
+def test_constant_day_merges_to_the_constant(spark, size):
+    rows = [hue_row(2011, 5, h, 0, size) for h in HOURS_7_TO_16]
+    merged = hs.weighted_day_merge(histogram(spark, rows), HOURS_7_TO_16, attributes=())
+    assert rows_of(merged, "Bin_Value") == [(size,)]
+
+
+def test_merge_truncates(spark):
+    rows = [hue_row(2011, 5, 10, 0, 3), hue_row(2011, 5, 11, 0, 2)]
+    merged = hs.weighted_day_merge(histogram(spark, rows), TWO_HOURS, attributes=())
+    assert rows_of(merged, "Bin_Value") == [(2,)]  # 0.75 + 1.5 = 2.25
+
+
+def test_one_image_per_hour_and_bins_never_mix(spark):
+    rows = [
+        hue_row(2016, 1, 10, 0, 5, minute=0),
+        hue_row(2016, 1, 10, 1, 6, minute=30),  # only the later image has bin 1
+        hue_row(2016, 1, 10, 0, 7, minute=30),
+        green_row(2016, 1, 10, 3, 9, minute=0),
+    ]
+    picked = pick_first_image(
+        collapse_metric(histogram(spark, rows).drop("Considered_Pixels"), ())
+    )
+    assert rows_of(picked, "Metric_Type", "Bin", "Minute", "Bin_Value") == [
+        ("Gcc", 3, 0, 9), ("HSV", 0, 0, 5),
+    ]
+
+
+def test_pooled_cameras_take_the_earliest_then_the_first_camera(spark):
+    rows = [
+        hue_row(2016, 1, 10, 0, 5, minute=1, camera="b"),
+        hue_row(2016, 1, 10, 1, 6, minute=0, camera="c"),
+        hue_row(2016, 1, 10, 0, 7, minute=0, camera="b"),
+    ]
+    long = collapse_metric(histogram(spark, rows).drop("Considered_Pixels"), ())
+    assert rows_of(pick_first_image(long, series=("Dataset",)), "Camera_ID", "Bin", "Bin_Value") == [
+        ("b", 0, 7)
+    ]
+    assert len(rows_of(pick_first_image(long), "Camera_ID", "Bin")) == 2
+
+
+def test_copies_of_a_row_count_once(spark):
+    rows = [hue_row(2016, 1, h, b, 4) for h in TWO_HOURS for b in (0, 1)] * 50
+    merged = hs.weighted_day_merge(histogram(spark, rows).repartition(7), TWO_HOURS, attributes=())
+    assert rows_of(merged, "Bin", "Bin_Value") == [(0, 4), (1, 4)]
+
+
+def test_day_filter_respects_the_year_unless_asked(spark):
+    rows = [hue_row(y, 5, h, b, v) for y, h in [(2010, 10), (2010, 11), (2011, 10)]
+            for b, v in [(0, h), (10, 40 - h)]]
+    hist = histogram(spark, rows)
+    strict = uncertainty(hist, TWO_HOURS, require_hours=2)
+    assert [r.Year for r in strict.collect()] == [2010]
+    loose = uncertainty(hist, TWO_HOURS, require_hours=2, match_on=("Day",))
+    found = dict(rows_of(loose, "Year", "Q"))
+    assert found[2011] == 0.0 and found[2010] == strict.first().Q
+    with pytest.raises(ValueError):
+        uncertainty(hist, TWO_HOURS, match_on=("Year",))
+
+
+def test_nan_counts_as_missing(spark):
+    rows = [
+        hue_row(2016, 1, 10, 0, 4, HSV_SMean=float("nan"), HSV_VMean=0.5),
+        hue_row(2016, 1, 11, 0, 4, HSV_SMean=0.4, HSV_VMean=0.5),
+    ]
+    hist = histogram(spark, rows)
+    merged = hs.weighted_day_merge(hist, TWO_HOURS, attributes=("HSV_SMean", "HSV_VMean"))
+    row = merged.first()
+    assert row.HSV_SMean == pytest.approx(0.3) and row.HSV_VMean == pytest.approx(0.5)
+    assert clean_histograms(hist).filter("isnan(HSV_SMean)").count() == 0
+    assert spark.range(1).select(clean_nan(F.lit(float("nan"))).alias("x")).first().x is None
+
+
+def test_strict_and_lenient_sums(spark):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", None), ("b", 2), ("b", 3), ("c", None)], "k string, x int"
+    )
+    got = df.groupBy("k").agg(strict_sum("x").alias("s"), lenient_sum("x").alias("l"))
+    assert {r.k: (r.s, r.l) for r in got.collect()} == {"a": (None, 1), "b": (5, 5), "c": (None, 0)}
+
+
+def test_hours_without_weight_make_the_merge_unknown(spark):
+    rows = [hue_row(2016, 1, h, 0, 4) for h in (8, *HOURS_9_TO_15)]
+    rows += [hue_row(2016, 2, h, 0, 4) for h in HOURS_9_TO_15]
+    hist = histogram(spark, rows)
+    kept = hs.weighted_day_merge(hist, HOURS_9_TO_15, attributes=(), listed_hours_only=False)
+    assert dict(rows_of(kept, "Day", "Bin_Value")) == {1: None, 2: 4}
+    only = hs.weighted_day_merge(hist, HOURS_9_TO_15, attributes=())
+    assert dict(rows_of(only, "Day", "Bin_Value")) == {1: 4, 2: 4}
+    level = uncertainty(hist, HOURS_9_TO_15, listed_hours_only=False)
+    assert dict(rows_of(level, "Day", "Q")) == {1: None, 2: 0.0}
+    strict = relative_uncertainty(level)
+    assert {r.Q for r in strict.collect()} == {None}
+
+
+def test_share_of_an_empty_or_unknown_group_is_null(spark):
+    df = spark.createDataFrame(
+        [("z", 1, 0), ("z", 2, 0), ("n", 1, None), ("n", 2, 5), ("v", 1, 1), ("v", 2, 3)],
+        "k string, variable int, value bigint",
+    )
+    got = stack_shares(df, ["k"], order="variable")
+    values = {(r.k, r.variable): (r.Y_min, r.Y_max) for r in got.collect()}
+    assert values[("z", 1)] == (None, None) and values[("n", 2)] == (None, None)
+    assert values[("v", 1)] == (0.0, 0.25) and values[("v", 2)] == (0.25, 1.0)
+
+
+def test_first_bin_does_not_count(spark):
+    rows = [hue_row(2016, 1, 10, 0, 8), hue_row(2016, 1, 11, 0, 0),
+            hue_row(2016, 1, 10, 10, 4), hue_row(2016, 1, 11, 10, 4)]
+    hist = histogram(spark, rows)
+    assert {r.Distance for r in hourly_distance(hist, TWO_HOURS).collect()} == {0}
+    both = hourly_distance(hist, TWO_HOURS, skip_first_bin=False)
+    # merged first bin is 2: differences 6 and -2, carried over two bins
+    assert dict(rows_of(both, "Hour", "Distance")) == {10: 12, 11: 4}
+
+
+def test_distance_and_level_by_hand(spark):
+    p = {10: [5, 3, 2], 11: [5, 7, 10]}
+    rows = [hue_row(2016, 1, h, 10 * i, v) for h, vs in p.items() for i, v in enumerate(vs)]
+    hist = histogram(spark, rows)
+    # merged: 5, int(0.75 + 5.25) = 6, int(0.5 + 7.5) = 8
+    # hour 10: -3, -9 -> 12; hour 11: 1, 3 -> 4
+    assert dict(rows_of(hourly_distance(hist, TWO_HOURS), "Hour", "Distance")) == {10: 12, 11: 4}
+    assert uncertainty(hist, TWO_HOURS).first().Q == pytest.approx((12 * 0.25 + 4 * 0.75) / 360)
+
+
+def test_equal_images_have_no_distance(spark):
+    rows = [hue_row(2016, d, h, b, 3 + b) for d in (1, 2) for h in TWO_HOURS for b in (0, 10, 20)]
+    assert {r.Distance for r in hourly_distance(histogram(spark, rows), TWO_HOURS).collect()} == {0}
+
+
+def test_relative_level(spark):
+    df = spark.createDataFrame(
+        [("d", "c", 2010, 1, "HSV", 2.0), ("d", "c", 2010, 2, "HSV", 4.0),
+         ("d", "c", 2011, 1, "HSV", 0.0), ("d", "c", 2012, 1, "HSV", None),
+         ("d", "c", 2012, 2, "HSV", 1.0)],
+        "Dataset string, Camera_ID string, Year int, Day int, Metric_Type string, Q double",
+    )
+    got = {(r.Year, r.Day): r.Q for r in relative_uncertainty(df).collect()}
+    assert got == {(2010, 1): 0.5, (2010, 2): 1.0, (2011, 1): None, (2012, 1): None, (2012, 2): None}
+    lenient = relative_uncertainty(df, ignore_unknown=True)
+    assert {(r.Year, r.Day): r.Q for r in lenient.collect()}[(2012, 2)] == 1.0
+
+
+def test_partial_days_stay_unless_hours_are_required(spark):
+    rows = [hue_row(2016, 1, h, 0, 4) for h in TWO_HOURS] + [hue_row(2016, 2, 10, 0, 4)]
+    hist = histogram(spark, rows)
+    assert dict(rows_of(hs.weighted_day_merge(hist, TWO_HOURS, attributes=()), "Day", "Bin_Value")) == {
+        1: 4, 2: 1,
+    }
+    full = hs.weighted_day_merge(hist, TWO_HOURS, attributes=(), require_hours=2)
+    assert rows_of(full, "Day") == [(1,)]
+
+
+def test_extra_grouping_column(spark):
+    rows = [hue_row(2016, 1, 10, 0, 4, pixels=90), hue_row(2016, 1, 11, 0, 4, pixels=95)]
+    hist = histogram(spark, rows)
+    assert hs.weighted_day_merge(hist, TWO_HOURS, attributes=()).count() == 1
+    by_pixels = hs.weighted_day_merge(hist, TWO_HOURS, attributes=(), extra=("Considered_Pixels",))
+    assert rows_of(by_pixels, "Considered_Pixels", "Bin_Value") == [(90, 1), (95, 3)]
+
+
+def test_only_colour_styles_are_unpivoted(spark):
+    rows = [hue_row(2016, 1, 12, 0, 4, HSV_SMean=0.5, HSV_VMean=0.5), green_row(2016, 1, 12, 7, 4)]
+    hist = histogram(spark, rows)
+    assert rows_of(hs.hourly_cpm(hist), "Style") == [("Gcc",), ("H",), ("Mean",), ("Mode",)]
+    assert rows_of(hs.noon_cpm(hist), "Style") == [
+        ("Gcc_Mean",), ("HSV_H",), ("HSV_Mean",), ("HSV_Mode",),
+    ]
+    assert rows_of(hs.hourly_cpm(hist), "Fct")[0] == ("Hour 12",)
+
+
+def test_distribution_adds_the_hours_unweighted(spark):
+    rows = [green_row(2011, 100, h, b, v) for h in HOURS_7_TO_16 for b, v in [(40, 2), (41, 0)]]
+    rows += [green_row(2011, 100, 8, 40, 99), hue_row(2011, 100, 9, 40, 50)]
+    got = hs.bin_distribution(histogram(spark, rows), HOURS_7_TO_16)
+    assert rows_of(got, "Gcc_Bin", "Gcc_Value", "Label") == [(40, 14, "Day 100")]
+    assert hs.bin_distribution(histogram(spark, rows), HOURS_7_TO_16, days=[125]).count() == 0
+
+
+def test_sentinel_and_collapse(spark):
+    rows = [hue_row(2016, 1, 9, 5, 2.9), green_row(2016, 1, 9, 7, 3)]
+    df = collapse_metric(metric_from_sentinel(histogram(spark, rows).drop("Metric_Type")), ())
+    assert rows_of(df, "Metric_Type", "Bin", "Bin_Value") == [("Gcc", 7, 3), ("HSV", 5, 2)]
+
+
+def test_duplicate_keys_are_reported(spark):
+    df = spark.createDataFrame([(2016, 1, 0), (2016, 1, 0), (2016, 2, 0)], "Year int, Day int, Bin int")
+    assert [tuple(r) for r in duplicate_keys(df, ["Year", "Day", "Bin"]).collect()] == [(2016, 1, 0, 2)]
+
+
+def test_casts_truncate(spark):
+    df = spark.createDataFrame([("9.9999999",), ("-9.9",), ("0324",), ("x",), (None,)], "t string")
+    assert [r.v for r in df.select(as_integer("t").alias("v")).collect()] == [9, -9, 324, None, None]
+    assert spark.range(1).select(whole_div(F.lit(-25), 10).alias("v")).first().v == -2
+
+
+def test_shuffled_input_gives_the_same_result(spark):
+    rows = [
+        hue_row(2010 + y, d, h, b, (7 * d + 3 * h + b) % 11, minute=m, HSV_SMean=0.1 * (h % 7),
+                HSV_VMean=1 / (1 + d))
+        for y in (0, 1) for d in (1, 2, 3) for h in KERNEL_HOURS_10_TO_14 for m in (0, 20)
+        for b in (0, 10, 20)
+    ]
+    hist = histogram(spark, rows)
+    columns = ("Year", "Day", "Bin", "Bin_Value", "HSV_SMean", "HSV_VMean")
+
+    def run(df):
+        merged = hs.weighted_day_merge(df, KERNEL_HOURS_10_TO_14, attributes=columns[4:])
+        return rows_of(merged, *columns)
+
+    assert run(hist.coalesce(1)) == run(hist.orderBy(F.rand(3)).repartition(9))
+
+
+def test_weights_finer_than_their_unit_are_refused():
+    assert to_units("0.075") == 750
+    with pytest.raises(ValueError):
+        to_units("0.00005")
