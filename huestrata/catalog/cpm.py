@@ -55,7 +55,7 @@ def wide_shares(spark, sf):
 
 
 def _shares(spark, sf):
-    return hs.share_cpm(melt_shares(wide_shares(spark, sf)))
+    return hs.share_cpm(melt_shares(wide_shares(spark, sf), 30, 50), low=30, high=50)
 
 
 def _palette(spark, sf):

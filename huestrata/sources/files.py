@@ -70,14 +70,26 @@ def read_histograms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_share_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_share_csv(
+    spark: SparkSession, path: str, low: int | None = None, high: int | None = None
+) -> DataFrame:
     """Wide share file to rows of (database, sequence, year, variable, value)."""
-    return melt_shares(_text_csv(spark, path))
+    return melt_shares(_text_csv(spark, path), low, high)
+
 
+def melt_shares(wide: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Columns X0, X1, ... to rows; sizes are truncated to whole numbers.
 
-def melt_shares(wide: DataFrame) -> DataFrame:
-    """Columns X0, X1, ... to rows; sizes are truncated to whole numbers."""
-    bins = [c for c in wide.columns if c[:1] == "X" and c[1:].isdigit()]
+    With ``low`` and ``high`` only the columns of ``low <= bin < high`` are read.
+    """
+    bins = [
+        c
+        for c in wide.columns
+        if c[:1] == "X"
+        and c[1:].isdigit()
+        and (low is None or int(c[1:]) >= low)
+        and (high is None or int(c[1:]) < high)
+    ]
     numbers = wide.select(
         F.col("database").cast("string").alias("database"),
         as_integer("sequence").alias("sequence"),
