@@ -124,7 +124,7 @@ def _unpivot(spark, sf):
     return unpivot_columns(ids, codes, "Style", "Color", strip="Color_Code_")
 
 
-def _samples(spark, sf):
+def samples(spark, sf):
     """Timing samples (cores, exectime in ms) of three sources."""
     return union_tagged(
         {
@@ -142,7 +142,7 @@ def _samples(spark, sf):
 
 
 def _timing(spark, sf):
-    summary = hs.timing_summary(_samples(spark, sf))
+    summary = hs.timing_summary(samples(spark, sf))
     return summary.withColumn("avgMinutes", F.round("avgMinutes", 6)).withColumn(
         "errorMinutes", F.round("errorMinutes", 6)
     )
@@ -240,7 +240,7 @@ QUERIES = {
     "mean_coefficients": _coefficients,
     "pivot_bins": _pivot,
     "unpivot_styles": _unpivot,
-    "union_tagged": _samples,
+    "union_tagged": samples,
     "timing_summary": _timing,
     "zip_rows": _zip,
     "grid_scaffold": _scaffold,

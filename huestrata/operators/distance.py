@@ -41,12 +41,12 @@ def earth_movers_distance(
     """
     image = [*series, "Year", "Day", "Hour", "Metric_Type"]
     along = Window.partitionBy(*image).orderBy("Bin")
-    step = F.coalesce(F.col("P") - F.col("Q"), F.lit(0))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = F.sum("_step").over(upto)
     if skip_first_bin:
-        step = F.when(F.row_number().over(along) == 1, 0).otherwise(step)
-    moved = F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, 0))
+        moved = moved - F.first("_step").over(upto)
     return (
-        pairs.withColumn("_step", step.cast("bigint"))
+        pairs.withColumn("_step", F.coalesce(F.col("P") - F.col("Q"), F.lit(0).cast("bigint")))
         .withColumn("_moved", F.abs(moved))
         .groupBy(*image, *keep)
         .agg(F.sum("_moved").alias("Distance"))

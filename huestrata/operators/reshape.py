@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from huestrata.sources.shared import shared_folder
+
 
 def unpivot_columns(
     df: DataFrame, values: Sequence[str], name: str, value: str, strip: str = ""
@@ -42,10 +43,14 @@ def calendar_grid(
 ) -> DataFrame:
     """Every expected (Day, Hour) cell for each row of ``years``.
 
-    The cells are generated from two sequences inside the row: no join.
+    The cells are generated from two sequences inside the row: no join. The
+    few short input rows are spread over a fixed number of tasks first, because
+    each of them grows by a factor of ``days * len(hours)``.
     """
+    tasks = int(years.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        years.withColumn("Day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+        years.repartition(tasks, *years.columns)
+        .withColumn("Day", F.explode(F.sequence(F.lit(1), F.lit(days))))
         .withColumn("Hour", F.explode(F.array(*[F.lit(h) for h in hours])))
         .withColumn("Minute", F.lit(minute))
     )
@@ -56,20 +61,6 @@ def complete_grid(grid: DataFrame, observed: DataFrame, on: Sequence[str]) -> Da
     return grid.join(observed, list(on), "left")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="huestrata-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "Index") -> DataFrame:
     """Number the rows 1, 2, ... by an explicit order, without one big sort task.
 
@@ -87,7 +78,8 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "Index") ->
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
-    placed = shared_checkpoint(placed)
+    shared_folder(df.sparkSession)
+    placed = placed.checkpoint()
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

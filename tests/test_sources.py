@@ -39,7 +39,7 @@ def test_histogram_csv_is_matched_by_name(spark, tmp_path):
 
 def test_parquet_layout_round_trip_and_pruning(spark, tmp_path):
     rows = [hue_row(y, d, 9, b, 10 * b + d, HSV_SMean=0.25) for y in (2015, 2016) for d in (1, 2) for b in (0, 1)]
-    rows += [green_row(2016, 1, 9, 3, 4, dataset="e")]
+    rows += [green_row(2016, 1, 9, 3, 4, dataset="007")]
     hist = histogram(spark, rows)
     path = str(tmp_path / "hist")
     hs.write_histograms(hist, path)
@@ -102,5 +102,10 @@ def test_weight_table_and_sink(spark, tmp_path):
     path = str(tmp_path / "out")
     hs.write_table(df.withColumn("Year", df.Hour * 0 + 2016), path, by=["Year"])
     assert spark.read.parquet(path).count() == 7
+    sorted_path = str(tmp_path / "sorted")
+    hs.write_table(df.repartition(4), sorted_path, order=["Hour"])
+    hours = [[r.Hour for r in spark.read.parquet(str(f)).collect()]
+             for f in sorted((tmp_path / "sorted").glob("part-*.parquet"))]
+    assert [h for file in hours for h in file] == sorted(HOURS_9_TO_15)
     with pytest.raises(Exception):
         hs.write_table(df, path, mode="errorifexists")
