@@ -66,20 +66,22 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "Index") ->
 
     Rows are range partitioned by the order (ties fall back on their place in
     the input, so copies of one key can spread over partitions) and sorted
-    within each partition. The placed rows are checkpointed, which fixes the
-    partition borders even if an executor is lost. The running total then runs
-    over one row per partition, not over the data.
+    within each partition. Two checkpoints keep this right when an executor is
+    lost: the first fixes the places in the input, the second the partition
+    borders. The running total then runs over one row per partition, not over
+    the data.
     """
+    shared_folder(df.sparkSession)
     placed = (
         df.withColumn("_tie", F.monotonically_increasing_id())
+        .checkpoint()
         .repartitionByRange(*order, "_tie")
         .sortWithinPartitions(*order, "_tie")
         .drop("_tie")
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        .checkpoint()
     )
-    shared_folder(df.sparkSession)
-    placed = placed.checkpoint()
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

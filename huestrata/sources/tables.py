@@ -7,34 +7,29 @@ the same number of rows. A hundred cameras make a dataset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huestrata.schema import HISTOGRAM_SCHEMA, HSV, GCC
+from huestrata.schema import GCC, HISTOGRAM_SCHEMA, HSV
 
-_IMAGE = ["Dataset", "Camera_ID", "Year", "Day", "Hour", "Minute"]
+#: Narrow keys of an image; names and calendar columns are written out at the end.
+_IMAGE = ["_camera", "_date", "Hour", "Minute", "Metric_Type"]
+_VALUES = ["Size", "MeanA", "MeanB", "MaxA", "MaxB"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _numbered(prefix: str, key: str, size: int) -> Column:
-    return F.concat(F.lit(prefix), F.expr(f"{key} div {size}").cast("string"))
-
-
 def events_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = False) -> DataFrame:
     """Both metrics, one year, two images per camera and hour.
 
     With ``dense`` every image has all its bins, the empty ones with size 0 and
     unknown colours.
     """
-    pixel = F.col("event_id")
     events = table(spark, sf_dir, "events").select(
-        _numbered("evt_", "user_id", 7500).alias("Dataset"),
-        _numbered("cam_", "user_id", 75).alias("Camera_ID"),
-        F.year("ts").alias("Year"),
-        F.dayofyear("ts").alias("Day"),
+        F.expr("user_id div 75").alias("_camera"),
+        F.to_date("ts").alias("_date"),
         F.hour("ts").alias("Hour"),
         F.when(F.minute("ts") < 45, 0).otherwise(45).alias("Minute"),
         F.inline(
@@ -49,48 +44,43 @@ def events_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = False) -
                 ),
             )
         ),
-        (pixel * 31 % 401 + 100).alias("pixels"),
+        (F.col("event_id") * 31 % 401 + 100).alias("pixels"),
         F.expr("user_id % 101").alias("a"),
         F.expr("event_id % 101").alias("b"),
     )
-    bins = events.groupBy(*_IMAGE, "Metric_Type", "Bin").agg(
+    bins = events.groupBy(*_IMAGE, "Bin").agg(
         F.sum("pixels").cast("double").alias("Size"),
         (F.sum("a") / (F.count("a") * 100.0)).alias("MeanA"),
         (F.sum("b") / (F.count("b") * 100.0)).alias("MeanB"),
         F.max("a").alias("MaxA"),
         F.max("b").alias("MaxB"),
     )
-    if dense:
-        bins = _all_bins(bins)
-    return _as_histogram(bins)
+    return _as_histogram(_all_bins(bins) if dense else bins, "evt_")
 
 
 def lineitem_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = True) -> DataFrame:
     """Hue metric only, several years, one image per camera and hour 8..14."""
     items = table(spark, sf_dir, "lineitem").select(
-        _numbered("lin_", "l_suppkey", 10_000).alias("Dataset"),
-        _numbered("cam_", "l_suppkey", 100).alias("Camera_ID"),
-        F.year("l_shipdate").alias("Year"),
-        F.dayofyear("l_shipdate").alias("Day"),
+        F.expr("l_suppkey div 100").alias("_camera"),
+        F.to_date("l_shipdate").alias("_date"),
         (F.col("l_linenumber") + 7).alias("Hour"),
         F.lit(0).alias("Minute"),
         F.lit(HSV).alias("Metric_Type"),
         (F.expr("l_partkey % 36") * 10).cast("int").alias("Bin"),
         (F.col("l_quantity") * 100).cast("bigint").alias("pixels"),
     )
-    bins = items.groupBy(*_IMAGE, "Metric_Type", "Bin").agg(
+    bins = items.groupBy(*_IMAGE, "Bin").agg(
         F.sum("pixels").cast("double").alias("Size"),
         *[F.lit(None).cast("double").alias(c) for c in ("MeanA", "MeanB")],
         *[F.lit(None).cast("bigint").alias(c) for c in ("MaxA", "MaxB")],
     )
-    return _as_histogram(_all_bins(bins) if dense else bins)
+    return _as_histogram(_all_bins(bins) if dense else bins, "lin_")
 
 
 def _all_bins(bins: DataFrame) -> DataFrame:
     """Every bin of every image present; an image holds at most 100 bins."""
-    values = ["Size", "MeanA", "MeanB", "MaxA", "MaxB"]
-    images = bins.groupBy(*_IMAGE, "Metric_Type").agg(
-        F.map_from_entries(F.collect_list(F.struct("Bin", F.struct(*values)))).alias("_found")
+    images = bins.groupBy(*_IMAGE).agg(
+        F.map_from_entries(F.collect_list(F.struct("Bin", F.struct(*_VALUES)))).alias("_found")
     )
     domain = F.when(
         F.col("Metric_Type") == HSV, F.sequence(F.lit(0), F.lit(350), F.lit(10))
@@ -100,16 +90,19 @@ def _all_bins(bins: DataFrame) -> DataFrame:
     )
     return rows.select(
         *_IMAGE,
-        "Metric_Type",
         "Bin",
         F.coalesce("_at.Size", F.lit(0.0)).alias("Size"),
-        *[F.col(f"_at.{v}").alias(v) for v in values[1:]],
+        *[F.col(f"_at.{v}").alias(v) for v in _VALUES[1:]],
     )
 
 
-def _as_histogram(bins: DataFrame) -> DataFrame:
+def _as_histogram(bins: DataFrame, dataset: str) -> DataFrame:
     hue, green = F.col("Metric_Type") == HSV, F.col("Metric_Type") == GCC
     columns = {
+        "Dataset": F.concat(F.lit(dataset), F.expr("_camera div 100").cast("string")),
+        "Camera_ID": F.concat(F.lit("cam_"), F.col("_camera").cast("string")),
+        "Year": F.year("_date"),
+        "Day": F.dayofyear("_date"),
         "Considered_Pixels": F.lit(1_000_000),
         "HSV_Bin": F.when(hue, F.col("Bin")).otherwise(-1),
         "HSV_H": F.when(hue, F.col("Size")),

@@ -48,6 +48,7 @@ def test_shuffle_budget(stored, name, most, job):
     assert "SinglePartition" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Python" not in text and "Pandas" not in text
+    assert "SortAggregate" not in text
 
 
 def test_filters_and_columns_reach_the_scan(stored):

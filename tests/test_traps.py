@@ -71,6 +71,29 @@ def test_copies_of_a_row_count_once(spark):
     assert rows_of(merged, "Bin", "Bin_Value") == [(0, 4), (1, 4)]
 
 
+def test_unequal_rows_of_one_bin_resolve_the_same_way_every_time(spark):
+    rows = [hue_row(2016, 1, 10, 0, v, HSV_SMean=v / 10) for v in range(1, 9)]
+    hist = histogram(spark, rows)
+    picks = {
+        tuple(pick_first_image(
+            collapse_metric(hist.repartition(n).orderBy(F.rand(n)).drop("Considered_Pixels"),
+                            ("HSV_SMean",))
+        ).select("Bin_Value", "HSV_SMean").collect())
+        for n in (1, 2, 5)
+    }
+    assert len(picks) == 1
+    ((value, mean),) = picks.pop()
+    assert mean == value / 10  # one whole row, not a mixture
+
+
+def test_pooled_copies_count_once(spark):
+    rows = [hue_row(2016, 1, h, b, 4, camera=c) for h in TWO_HOURS for b in (0, 1) for c in "ab"] * 20
+    merged = hs.weighted_day_merge(
+        histogram(spark, rows).repartition(5), TWO_HOURS, series=("Dataset",), attributes=()
+    )
+    assert rows_of(merged, "Bin", "Bin_Value") == [(0, 4), (1, 4)]
+
+
 def test_day_filter_respects_the_year_unless_asked(spark):
     rows = [hue_row(y, 5, h, b, v) for y, h in [(2010, 10), (2010, 11), (2011, 10)]
             for b, v in [(0, h), (10, 40 - h)]]
