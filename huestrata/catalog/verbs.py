@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import huestrata as hs
 from huestrata.catalog import oracle_parts as sql
-from huestrata.functions import hsv_to_hex, paste, rgb_to_hex
+from huestrata.functions import paste, rgb_to_hex, with_hsv_hex
 from huestrata.operators.columns import (
     collapse_metric,
     drop_containing,
@@ -112,13 +112,21 @@ def _pivot(spark, sf):
 
 def _unpivot(spark, sf):
     hist = events_histogram(spark, sf).filter(F.col("Metric_Type") == "HSV")
-    ids = hist.select(
+    ids = with_hsv_hex(
+        hist,
+        "HSV_Bin",
+        {
+            "Color_Code_H": (1, 1),
+            "Color_Code_Mean": ("HSV_SMean", "HSV_VMean"),
+            "Color_Code_Mode": ("HSV_SMode", "HSV_VMode"),
+        },
+    ).select(
         *_CELL,
         "Minute",
         F.col("HSV_Bin").alias("Bin"),
-        hsv_to_hex("HSV_Bin").alias("Color_Code_H"),
-        hsv_to_hex("HSV_Bin", "HSV_SMean", "HSV_VMean").alias("Color_Code_Mean"),
-        hsv_to_hex("HSV_Bin", "HSV_SMode", "HSV_VMode").alias("Color_Code_Mode"),
+        "Color_Code_H",
+        "Color_Code_Mean",
+        "Color_Code_Mode",
     )
     codes = ["Color_Code_H", "Color_Code_Mean", "Color_Code_Mode"]
     return unpivot_columns(ids, codes, "Style", "Color", strip="Color_Code_")
@@ -199,12 +207,10 @@ def _weights_joined(spark, sf):
 
 
 def _hsv_hex(spark, sf):
-    return events_histogram(spark, sf).filter(F.col("Metric_Type") == "HSV").select(
-        *_CELL,
-        "Minute",
-        "HSV_Bin",
-        hsv_to_hex("HSV_Bin").alias("Hue"),
-        hsv_to_hex("HSV_Bin", "HSV_SMean", "HSV_VMean").alias("Mean"),
+    hist = events_histogram(spark, sf).filter(F.col("Metric_Type") == "HSV")
+    colours = {"Hue": (1, 1), "Mean": ("HSV_SMean", "HSV_VMean")}
+    return with_hsv_hex(hist, "HSV_Bin", colours).select(
+        *_CELL, "Minute", "HSV_Bin", "Hue", "Mean"
     )
 
 

@@ -1,4 +1,4 @@
-from huestrata.functions.color import hsv_to_hex, rgb_to_hex
+from huestrata.functions.color import rgb_to_hex, with_hsv_hex
 from huestrata.functions.nulls import (
     clean_nan,
     lenient_sum,
@@ -15,7 +15,6 @@ __all__ = [
     "clean_nan",
     "hour_label",
     "hour_weight",
-    "hsv_to_hex",
     "lenient_sum",
     "paste",
     "rgb_to_hex",
@@ -24,4 +23,5 @@ __all__ = [
     "strict_sum_over",
     "whole_div",
     "window_label",
+    "with_hsv_hex",
 ]

@@ -7,7 +7,9 @@ model and the transfer curve is the one of the sRGB standard.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.functions.nulls import _col
@@ -19,32 +21,54 @@ def _component(c: Column | str | int | float) -> Column:
     return _col(c).cast("double")
 
 
-def _hex(red: Column, green: Column, blue: Column) -> Column:
+def _packed(red: Column, green: Column, blue: Column) -> Column:
     def byte(c: Column) -> Column:
         return F.floor(c * 255 + 0.5)
 
-    packed = byte(red) * 65536 + byte(green) * 256 + byte(blue)
+    return byte(red) * 65536 + byte(green) * 256 + byte(blue)
+
+
+def _hex(packed: Column) -> Column:
     return F.concat(F.lit("#"), F.lpad(F.hex(packed), 6, "0"))
 
 
-def hsv_to_hex(
-    hue: Column | str, saturation: Column | str | float = 1, value: Column | str | float = 1
-) -> Column:
-    """``#RRGGBB`` of a hue in degrees, a saturation and a value."""
-    s, v = _component(saturation), _component(value)
-    turn = F.pmod(_component(hue), F.lit(360.0)) / 60
-    sextant = F.floor(turn)
-    part = turn - sextant
-    slope = F.when(sextant % 2 == 0, 1 - part).otherwise(part)
-    low = v * (1 - s)
-    mid = v * (1 - s * slope)
+def with_hsv_hex(
+    df: DataFrame,
+    hue: Column | str,
+    colours: Mapping[str, tuple[Column | str | float, Column | str | float]],
+) -> DataFrame:
+    """Add ``#RRGGBB`` columns for one hue and named (saturation, value) pairs.
 
-    def channel(at_top: tuple[int, int], at_mid: tuple[int, int]) -> Column:
-        return F.when(sextant.isin(*at_top), v).when(sextant.isin(*at_mid), mid).otherwise(low)
+    A channel is ``value * (1 - saturation * depth)``, where its depth (0 at the
+    top, 1 at the bottom) comes from the hue alone. The hue steps are columns of
+    their own, shared by all pairs, which keeps the generated methods small
+    enough for the JVM to compile.
+    """
+    turn, sextant, slope = F.col("_turn"), F.col("_sextant"), F.col("_slope")
+    part = turn - sextant
 
-    known = _component(hue).isNotNull() & s.between(0, 1) & v.between(0, 1)
-    return F.when(
-        known, _hex(channel((0, 5), (1, 4)), channel((1, 2), (0, 3)), channel((3, 4), (2, 5)))
+    def depth(top: tuple[int, int], middle: tuple[int, int]) -> Column:
+        return F.when(sextant.isin(*top), 0.0).when(sextant.isin(*middle), slope).otherwise(1.0)
+
+    def colour(saturation: Column | str | float, value: Column | str | float) -> Column:
+        s, v = _component(saturation), _component(value)
+        channels = [v * (1 - s * F.col(c)) for c in ("_red", "_green", "_blue")]
+        known = slope.isNotNull() & s.between(0, 1) & v.between(0, 1)
+        return F.when(known, _hex(_packed(*channels)))
+
+    return (
+        df.withColumn("_turn", F.pmod(_component(hue), F.lit(360.0)) / 60)
+        .withColumn("_sextant", F.floor(turn).cast("int"))
+        .withColumn("_slope", F.when(sextant % 2 == 0, 1 - part).otherwise(part))
+        .withColumns(
+            {
+                "_red": depth((0, 5), (1, 4)),
+                "_green": depth((1, 2), (0, 3)),
+                "_blue": depth((3, 4), (2, 5)),
+            }
+        )
+        .withColumns({name: colour(*pair) for name, pair in colours.items()})
+        .drop("_turn", "_sextant", "_slope", "_red", "_green", "_blue")
     )
 
 
@@ -58,4 +82,4 @@ def rgb_to_hex(red: Column | str, green: Column | str, blue: Column | str) -> Co
 
     linear = [_component(c) for c in (red, green, blue)]
     known = linear[0].between(0, 1) & linear[1].between(0, 1) & linear[2].between(0, 1)
-    return F.when(known, _hex(*[encode(c) for c in linear]))
+    return F.when(known, _hex(_packed(*[encode(c) for c in linear])))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huestrata.functions import hsv_to_hex, rgb_to_hex, strict_sum_over
+from huestrata.functions import rgb_to_hex, strict_sum_over, with_hsv_hex
 from huestrata.schema import GCC, HSV
 
 
@@ -47,19 +47,27 @@ def colour_styles(df: DataFrame, metrics: Sequence[str] = (HSV, GCC)) -> DataFra
     the interval of a bin is the same for all its styles.
     """
 
-    def style(name, colour):
-        return F.struct(F.lit(name).alias("Style"), colour.alias("Color"))
+    metric = F.col("Metric_Type")
+    styles = {}
+    if HSV in metrics:
+        df = with_hsv_hex(
+            df,
+            F.when(metric == HSV, F.col("Bin")),
+            {"_H": (1, 1), "_Mean": ("HSV_SMean", "HSV_VMean"), "_Mode": ("HSV_SMode", "HSV_VMode")},
+        )
+        styles[HSV] = ["H", "Mean", "Mode"]
+    if GCC in metrics:
+        df = df.withColumn("_Gcc", rgb_to_hex("Gcc_Mean_R", "Gcc_Mean_G", "Gcc_Mean_B"))
+        styles[GCC] = ["Gcc"]
+
+    def pairs(names: Sequence[str]) -> Column:
+        return F.array(
+            *[F.struct(F.lit(n).alias("Style"), F.col(f"_{n}").alias("Color")) for n in names]
+        )
 
-    styles = {
-        HSV: [
-            style("H", hsv_to_hex("Bin")),
-            style("Mean", hsv_to_hex("Bin", "HSV_SMean", "HSV_VMean")),
-            style("Mode", hsv_to_hex("Bin", "HSV_SMode", "HSV_VMode")),
-        ],
-        GCC: [style("Gcc", rgb_to_hex("Gcc_Mean_R", "Gcc_Mean_G", "Gcc_Mean_B"))],
-    }
     first, *rest = metrics
-    of_row = F.when(F.col("Metric_Type") == first, F.array(*styles[first]))
-    for metric in rest:
-        of_row = of_row.when(F.col("Metric_Type") == metric, F.array(*styles[metric]))
-    return df.select("*", F.inline(of_row))
+    of_row = F.when(metric == first, pairs(styles[first]))
+    for other in rest:
+        of_row = of_row.when(metric == other, pairs(styles[other]))
+    computed = [f"_{n}" for names in styles.values() for n in names]
+    return df.select("*", F.inline(of_row)).drop(*computed)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.functions import hour_label, hsv_to_hex, paste
+from huestrata.functions import hour_label, paste, with_hsv_hex
 from huestrata.operators.columns import long_histogram, move_first
 from huestrata.operators.images import pick_first_image
 from huestrata.operators.merge import weighted_day_merge
@@ -107,8 +107,8 @@ def window_cpm(
     merged = multi_day_window(hist, hours, lags, series=series, **options)
     stacked = stack_bins(merged, [*series, "Year", "Mode", "Group"])
     keyed = (
-        stacked.withColumn("Style", F.lit("H"))
-        .withColumn("Color", hsv_to_hex("Bin"))
+        with_hsv_hex(stacked, "Bin", {"Color": (1, 1)})
+        .withColumn("Style", F.lit("H"))
         .withColumn("Key", paste("Year", "Group", "Bin", "Style"))
     )
     return move_first(keyed, "Style", *series, "Year", "Group", "Bin")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import huestrata as hs
-from huestrata.functions import hsv_to_hex, paste, rgb_to_hex
+from huestrata.functions import paste, rgb_to_hex, with_hsv_hex
 from huestrata.operators.columns import drop_containing, keep_containing, move_first
 from huestrata.operators.groups import (
     keep_complete_days,
@@ -39,7 +39,7 @@ from tests.helpers import rows_of
 def test_hsv_to_hex(spark, hsv, want):
     df = spark.createDataFrame([tuple(None if x is None else float(x) for x in hsv)],
                                "h double, s double, v double")
-    assert df.select(hsv_to_hex("h", "s", "v").alias("c")).first().c == want
+    assert with_hsv_hex(df, "h", {"c": ("s", "v")}).first().c == want
 
 
 def _srgb_byte(c):
