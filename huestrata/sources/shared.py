@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Checkpoint folder of the session, as named in ``spark.checkpoint.dir``.
+    """A folder of this session in its shared storage, removed when the driver ends.
 
-    Only a local session without that setting gets a temporary folder.
+    It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="huestrata-checkpoint-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{base.rstrip('/')}/shared-{uuid.uuid4().hex}"
         context.setCheckpointDir(folder)
+        atexit.register(_remove, context, folder)
     return context.getCheckpointDir()
+
+
+def _remove(context, folder: str) -> None:
+    """Remove a folder made here; a session that has ended already keeps it."""
+    if context._jsc is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
