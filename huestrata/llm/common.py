@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from huestrata.sources.shared import shared_folder
 
 #: Entries after which a worker forgets what it has memorised. Bounds its memory, never its results.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 400_000
+
+#: Rows that are added up at once.
+PART = 1 << 14
 
 #: A classifier with more classes than this is refused.
 MOST_LABELS = 1000
@@ -99,12 +102,9 @@ class VectorMemo(dict):
         if len(self) > self.entries:
             self.clear()
         places = np.fromiter(map(self.__getitem__, keys), dtype=np.int64)
-        if not len(places):
-            return np.zeros(self.rows.shape[1])
-        # Counting repeats first keeps a very long text from gathering a row for every word.
-        counts = np.bincount(places)
-        used = np.flatnonzero(counts)
-        return counts[used] @ self.rows[used]
+        # Long texts in parts, so that no row is gathered for every word at once.
+        parts = (self.rows[places[i : i + PART]].sum(axis=0) for i in range(0, len(places), PART))
+        return sum(parts, np.zeros(self.rows.shape[1]))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

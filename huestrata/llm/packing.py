@@ -11,8 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.chunks import pieces
-from huestrata.llm.common import Memo
+from huestrata.llm.wordwise import encoder
 
 #: Tokens of a sequence, and sequences packed together.
 CAPACITY, BLOCK_SEQUENCES = 2048, 512
@@ -30,23 +29,9 @@ def tokenize(tokenizer: str, end_id: int):
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(tokenizer)
-        library.no_truncation()
-        library.no_padding()
-
-        def of(piece: str) -> bytes:
-            return np.array(library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-        inner = Memo(lambda piece: of(" " + piece))
+        own = encoder(tokenizer)
         for texts in batches:
-            found = []
-            for text in texts:
-                inner.trim()
-                first, *rest = pieces(text or "")
-                found.append(of(first) + b"".join(map(inner.__getitem__, rest)) + end)
-            yield pd.Series(found, dtype=object)
+            yield pd.Series([own.text(t or "") + end for t in texts], dtype=object)
 
     return encoded
 

@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huestrata.llm.chunks import pieces
-from huestrata.llm.common import Memo
+from huestrata.llm.wordwise import encoder
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -81,22 +80,8 @@ def counter(tokenizer: str):
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(tokenizer)
-        library.no_truncation()
-        library.no_padding()
-
-        def of(piece: str) -> int:
-            return len(library.encode(piece, add_special_tokens=False).ids)
-
-        inner = Memo(lambda piece: of(" " + piece))
+        own = encoder(tokenizer)
         for texts in batches:
-            counts = []
-            for text in texts:
-                inner.trim()
-                first, *rest = pieces(text)
-                counts.append(of(first) + sum(map(inner.__getitem__, rest)))
-            yield pd.Series(counts, dtype="int64")
+            yield pd.Series([len(own.text(t)) // 4 for t in texts], dtype="int64")
 
     return count
