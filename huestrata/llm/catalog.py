@@ -122,11 +122,13 @@ def packed(docs: DataFrame) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A fresh cache for each call: every text is encoded within the query.
     cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The length is taken here, so that no text is carried through the join with the counts.
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes.alias("n_bytes"))
     counted = token_cache.count_tokens(docs, cache, BYTE_TOKENIZER)
     return counted.select(
         "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_bytes",
         "n_tokens",
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
     )
