@@ -72,8 +72,9 @@ def train(
 ) -> QualityModel:
     """A model from the labelled rows of ``docs`` (label 1: good, 0: bad).
 
-    Half of the sample fills the dictionaries, the other half calibrates the
-    size difference, so that no text is scored by a dictionary it is part of.
+    The size difference is calibrated on out-of-fold sizes: either half of the
+    sample is compressed with dictionaries of the other half, so no text is
+    measured by a dictionary it is part of. The final ones hold texts of both.
     The share of either label among all labels sets the base rate. With rows of
     one label only, the score is that label for every text; without any, 0.5.
     """
@@ -86,16 +87,19 @@ def train(
     if min(len(good), len(bad)) < 4:
         base = 0.0 if len(good) == len(bad) else 35.0 if len(good) > len(bad) else -35.0
         return QualityModel(b"", b"", np.array([0.0] * 4 + [base]), np.zeros(4), np.ones(4))
-    model = _dictionary(good[::2]), _dictionary(bad[::2])
-    sizes = Sizes(*model)
-    inputs = np.array([sizes.of(t) for t in good[1::2] + bad[1::2]])
-    target = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
+    inputs, target = [], []
+    for half in (0, 1):
+        sizes = Sizes(_dictionary(good[half::2]), _dictionary(bad[half::2]))
+        for texts, value in ((good[1 - half :: 2], 1.0), (bad[1 - half :: 2], 0.0)):
+            inputs += [sizes.of(t) for t in texts]
+            target += [value] * len(texts)
+    inputs, target = np.array(inputs), np.array(target)
     mean, spread = inputs.mean(axis=0), inputs.std(axis=0) + 1e-9
     weights = logistic((inputs - mean) / spread, target, RIDGE)
     # The sample has as many rows of either label; the base rate is that of all labels.
     counts = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
     weights[-1] += np.log(counts[1] / counts[0]) - np.log(target.sum() / (len(target) - target.sum()))
-    return QualityModel(*model, weights, mean, spread)
+    return QualityModel(_dictionary(good), _dictionary(bad), weights, mean, spread)
 
 
 def _dictionary(texts: list[str]) -> bytes:

@@ -40,14 +40,20 @@ class WordEncoder:
         self.library.no_padding()
         self.normalizer = self.library.normalizer
         self.splitter, self.model = self.library.pre_tokenizer, self.library.model
-        self.words = Memo(lambda word: _packed([t.id for t in self.model.tokenize(word)]))
-        self.lower_words = Memo(lambda word: b"".join(self.words[w] for w, _ in self._split(word)))
+        self.words = Memo(self._ids)
+        # Letters beyond ASCII stand as their bytes in the model's alphabet; the splitter maps them.
+        self.lower_words = Memo(
+            lambda word: self._ids(word) if word.isascii() else b"".join(self._ids(w) for w, _ in self._split(word))
+        )
         self.inner = Memo(lambda piece: self.piece(" " + piece))
         probe = "It's 42 ÉaÎß-cd!?\n'Re"
         self.lowers = [w for w, _ in self._split(self._normal(probe))] == [
             mapped for word in _WORDS.findall(probe.lower()) for mapped, _ in self._split(word)
         ]
 
+    def _ids(self, word: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(word)])
+
     def _normal(self, text: str) -> str:
         return self.normalizer.normalize_str(text) if self.normalizer else text
 
