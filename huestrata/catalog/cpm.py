@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 import huestrata as hs
@@ -9,6 +11,7 @@ from huestrata.catalog import oracle_parts as sql
 from huestrata.operators.reshape import pivot_bins
 from huestrata.schema import GCC, HOURS_7_TO_16, HOURS_9_TO_15, HSV
 from huestrata.sources.files import inline_palette, melt_shares
+from huestrata.sources.shared import shared_folder
 from huestrata.sources.tables import events_histogram
 
 # The colours of the share picture, first bin first.
@@ -21,7 +24,12 @@ PALETTE = (
 
 
 def _daily(metrics):
-    return lambda spark, sf: hs.daily_cpm(events_histogram(spark, sf), metrics=metrics)
+    return lambda spark, sf: hs.daily_cpm(events_histogram(spark, sf, hours="noon"), metrics=metrics)
+
+
+def _daily_earliest(spark, sf):
+    """Days with many images, of which the earliest is asked for."""
+    return hs.daily_cpm(events_histogram(spark, sf), metrics=(HSV,), pick="earliest")
 
 
 def _hourly(spark, sf):
@@ -62,6 +70,14 @@ def _palette(spark, sf):
     return hs.with_palette(_shares(spark, sf), inline_palette(spark, PALETTE))
 
 
+def _palette_file(spark, sf):
+    """The same colours out of a palette file with comments and blank lines."""
+    path = f"{shared_folder(spark)}/palette-{uuid4().hex}"
+    lines = ["? colours of the share picture", "", *(f"{c} ? bin" for c in PALETTE), ""]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return hs.with_palette(_shares(spark, sf), hs.read_palette(spark, path))
+
+
 QUERIES = {
     "daily_cpm_hsv": _daily((HSV,)),
     "daily_cpm_gcc": _daily((GCC,)),
@@ -71,6 +87,8 @@ QUERIES = {
     "weighted_cpm_gcc": _weighted_gcc,
     "share_cpm": _shares,
     "palette_lookup": _palette,
+    "palette_file_scan": _palette_file,
+    "daily_cpm_earliest": _daily_earliest,
 }
 
 
@@ -137,10 +155,12 @@ _SHARES_SQL = _SHARE_CELLS + _SHARE_STACK.replace(
 )
 
 ORACLE = {
-    "daily_cpm_hsv": f"WITH {sql.EVENT_BINS}, {_day_picked()}"
+    "daily_cpm_hsv": f"WITH {sql.EVENT_NOON}"
+    + sql.stacked("hist", ("Year", "Day"), ("HSV",)),
+    "daily_cpm_gcc": f"WITH {sql.EVENT_NOON}"
+    + sql.stacked("hist", ("Year", "Day"), ("Gcc",)),
+    "daily_cpm_earliest": f"WITH {sql.EVENT_BINS}, {_day_picked()}"
     + sql.stacked("picked", ("Year", "Day"), ("HSV",)),
-    "daily_cpm_gcc": f"WITH {sql.EVENT_BINS}, {_day_picked()}"
-    + sql.stacked("picked", ("Year", "Day"), ("Gcc",)),
     "hourly_cpm": f"WITH {sql.EVENT_BINS}, {sql.first_image('hist')}"
     + sql.stacked(
         "picked", ("Year", "Day", "Hour"), extra=", printf('Hour %02d', Hour) AS Fct"
@@ -148,12 +168,13 @@ ORACLE = {
     "noon_cpm": f"WITH {sql.EVENT_BINS}, {_day_picked('Hour = 12')}, cpm AS ("
     + sql.stacked("picked", ("Year", "Day"))
     + f") SELECT * REPLACE ({_NOON_STYLE}) FROM cpm",
-    "weighted_cpm_hsv": f"WITH {sql.EVENT_BINS}, {_merged(HOURS_9_TO_15, None)}"
+    "weighted_cpm_hsv": f"WITH {sql.EVENT_BINS}, {_merged(sql.HOURS_9_TO_15, None)}"
     + sql.stacked("merged", ("Year", "Day"), ("HSV",)),
-    "weighted_cpm_gcc": f"WITH {sql.EVENT_BINS}, {_merged(HOURS_7_TO_16, 7)}"
+    "weighted_cpm_gcc": f"WITH {sql.EVENT_BINS}, {_merged(sql.HOURS_7_TO_16, 7)}"
     + sql.stacked("merged", ("Year", "Day"), ("Gcc",)),
     "share_cpm": _SHARES_SQL,
     "palette_lookup": f"SELECT s.*, p.color FROM ({_SHARES_SQL}) s LEFT JOIN (VALUES "
     + ", ".join(f"({30 + i}, '{c.upper()}')" for i, c in enumerate(PALETTE))
     + ") p(bin, color) ON p.bin = CAST(round(s.variable * 100) AS INTEGER)",
 }
+ORACLE["palette_file_scan"] = ORACLE["palette_lookup"]

@@ -11,6 +11,8 @@ from huestrata.operators.columns import long_histogram
 from huestrata.operators.groups import keep_complete_days
 from huestrata.operators.images import pick_first_image
 from huestrata.schema import (
+    FIGURE_DAYS,
+    FIGURE_LAST_GROUP,
     HOURS_7_TO_16,
     HOURS_8_TO_18,
     HOURS_9_TO_15,
@@ -84,16 +86,49 @@ def _uncertainty_day_only(spark, sf):
     )
 
 
-def _daytime(spark, sf):
-    return events_histogram(spark, sf, dense=True).filter(F.col("Hour").between(8, 18))
+def _emd_fractions(spark, sf):
+    return hs.hourly_distance(_quarters(spark, sf), HOURS_9_TO_15).drop("Weight")
+
+
+def _merge_fractions(spark, sf):
+    return hs.weighted_day_merge(_quarters(spark, sf), HOURS_9_TO_15, attributes=())
+
+
+def _quarters(spark, sf):
+    """Sizes in quarters of a pixel."""
+    hist = events_histogram(spark, sf, dense=True)
+    return hist.withColumns({c: F.col(c) / 4 for c in ("HSV_H", "Gcc_Value")})
+
+
+def _uncertainty_unlisted(spark, sf):
+    """Hours outside the list stay; their days have no known level."""
+    return hs.uncertainty(
+        lineitem_histogram(spark, sf), HOURS_9_TO_15, listed_hours_only=False
+    )
+
+
+def _uncertainty_by_area(spark, sf):
+    """Days split by the masked area, which varies from hour to hour here."""
+    hist = events_histogram(spark, sf, dense=True)
+    area = (1_000_000 - F.col("Hour") % 2).cast("int")
+    return hs.uncertainty(
+        hist.withColumn("Considered_Pixels", area), HOURS_9_TO_15, extra=("Considered_Pixels",)
+    )
+
+
+def _daylight(spark, sf):
+    return events_histogram(spark, sf, dense=True, hours="day")
 
 
 _DAY_GATE = {"exact_images": 11, "minute_first": True}
 
+#: The published figures leave out the end of the year.
+_FIGURE = {"days": FIGURE_DAYS, "last_group": FIGURE_LAST_GROUP}
+
 
 def _window(lags):
     return lambda spark, sf: hs.multi_day_window(
-        _daytime(spark, sf), KERNEL_HOURS_8_TO_18, [lags], **_DAY_GATE
+        _daylight(spark, sf), KERNEL_HOURS_8_TO_18, [lags], **_DAY_GATE
     )
 
 
@@ -107,12 +142,18 @@ _FOUR = (KERNEL_LAGS_2, KERNEL_LAGS_5, KERNEL_LAGS_7, KERNEL_LAGS_10)
 
 
 def _window_compare(spark, sf):
-    return hs.window_cpm(_daytime(spark, sf), KERNEL_HOURS_8_TO_18, _FOUR, **_DAY_GATE)
+    return hs.window_cpm(
+        _daylight(spark, sf), KERNEL_HOURS_8_TO_18, _FOUR, **_DAY_GATE, **_FIGURE
+    )
 
 
 def _window_years(spark, sf):
     return hs.window_cpm(
-        lineitem_histogram(spark, sf), KERNEL_HOURS_10_TO_14, [KERNEL_LAGS_3], min_images=7
+        lineitem_histogram(spark, sf),
+        KERNEL_HOURS_10_TO_14,
+        [KERNEL_LAGS_3],
+        min_images=7,
+        **_FIGURE,
     )
 
 
@@ -120,6 +161,10 @@ def _distribution(spark, sf):
     return hs.bin_distribution(events_histogram(spark, sf), HOURS_7_TO_16)
 
 
+def _distribution_days(spark, sf):
+    return hs.bin_distribution(events_histogram(spark, sf), HOURS_7_TO_16, days=(2, 3, 5))
+
+
 QUERIES = {
     "dedup_first_image": _first,
     "dedup_pooled_cameras": _first_pooled,
@@ -140,48 +185,59 @@ QUERIES = {
     "window_compare": _window_compare,
     "window_multi_year": _window_years,
     "bin_distribution": _distribution,
+    "bin_distribution_days": _distribution_days,
+    "weighted_fractions": _merge_fractions,
+    "emd_fractions": _emd_fractions,
+    "uncertainty_unlisted": _uncertainty_unlisted,
+    "uncertainty_by_area": _uncertainty_by_area,
 }
 
 
-def _distances(dense: str, weights, require: int | None = None, by_day_only: bool = False) -> str:
+def _distances(
+    dense: str, weights, require: int | None = None, by_day_only: bool = False, extra: str = "", all_hours: bool = False
+) -> str:
     """CTEs up to ``distances``: merge, join back, shift twice, run along the bins."""
+    hours = "true" if all_hours else sql.listed(weights)
+    more, same = (f", {extra}", f" AND m.{extra} = i.{extra}") if extra else ("", "")
     gate = f"HAVING count(DISTINCT Hour) = {require}" if require else ""
     days = "Day" if by_day_only else "Year, Day"
     return f"""WITH {dense}, {sql.hour_table(weights)},
-{sql.first_image("dense", where=sql.listed(weights))},
-images AS (SELECT * FROM picked JOIN weights USING (Hour)),
+{sql.first_image("dense", where=hours)},
+images AS (SELECT * FROM picked {"LEFT" if all_hours else ""} JOIN weights USING (Hour)),
 complete AS (SELECT {sql.SERIES}, Year, Day FROM images GROUP BY ALL {gate}),
 merged AS (
-  SELECT {sql.SERIES}, Year, Day, Metric_Type, Bin,
-         CAST(sum(W * Bin_Value) AS BIGINT) // 10000 AS Q
+  SELECT {sql.SERIES}, Year, Day{more}, Metric_Type, Bin,
+         CASE WHEN count(W) = count(*) THEN CAST(floor(sum(W * Bin_Value) / 10000) AS BIGINT) END AS Q
   FROM images JOIN complete USING ({sql.SERIES}, Year, Day) GROUP BY ALL),
 pairs AS (
   SELECT i.*, i.Bin_Value AS P, m.Q FROM images i
   SEMI JOIN complete USING ({sql.SERIES}, {days})
   LEFT JOIN merged m ON m.Dataset = i.Dataset AND m.Camera_ID = i.Camera_ID
-   AND m.Year = i.Year AND m.Day = i.Day AND m.Metric_Type = i.Metric_Type AND m.Bin = i.Bin),
-ahead AS (SELECT *, lead(P - Q) OVER image AS next_step FROM pairs
-  WINDOW image AS (PARTITION BY {sql.SERIES}, Year, Day, Hour, Metric_Type ORDER BY Bin)),
+   AND m.Year = i.Year AND m.Day = i.Day AND m.Metric_Type = i.Metric_Type AND m.Bin = i.Bin{same}),
+ahead AS (SELECT *, lead(coalesce(P - Q, 0)) OVER image AS next_step FROM pairs
+  WINDOW image AS (PARTITION BY {sql.SERIES}, Year, Day, Hour{more}, Metric_Type ORDER BY Bin)),
 steps AS (SELECT *, coalesce(lag(next_step) OVER image, 0) AS step FROM ahead
-  WINDOW image AS (PARTITION BY {sql.SERIES}, Year, Day, Hour, Metric_Type ORDER BY Bin)),
-moved AS (SELECT *, abs(sum(step) OVER (PARTITION BY {sql.SERIES}, Year, Day, Hour, Metric_Type
+  WINDOW image AS (PARTITION BY {sql.SERIES}, Year, Day, Hour{more}, Metric_Type ORDER BY Bin)),
+moved AS (SELECT *, abs(sum(step) OVER (PARTITION BY {sql.SERIES}, Year, Day, Hour{more}, Metric_Type
   ORDER BY Bin ROWS UNBOUNDED PRECEDING)) AS amount FROM steps),
 distances AS (
-  SELECT {sql.SERIES}, Year, Day, Hour, Metric_Type, CAST(sum(amount) AS BIGINT) AS Distance
+  SELECT {sql.SERIES}, Year, Day, Hour{more}, Metric_Type, CAST(sum(amount) AS DOUBLE) AS Distance
   FROM moved GROUP BY ALL),
 levels AS (
-  SELECT {sql.SERIES}, Year, Day, Metric_Type,
-         CAST(sum(Distance * W) AS DOUBLE) / 10000
-           / CASE Metric_Type WHEN 'HSV' THEN 360 ELSE 100 END AS Q
-  FROM distances JOIN weights USING (Hour) GROUP BY {sql.SERIES}, Year, Day, Metric_Type)
+  SELECT {sql.SERIES}, Year, Day{more}, Metric_Type,
+         CASE WHEN count(W) = count(*) THEN sum(Distance * W) / 10000
+           / CASE Metric_Type WHEN 'HSV' THEN 360 ELSE 100 END END AS Q
+  FROM distances {"LEFT" if all_hours else ""} JOIN weights USING (Hour)
+  GROUP BY {sql.SERIES}, Year, Day{more}, Metric_Type)
 """
 
 
 def _windows(
-    dense: str, hours, kernels, where: str = "true", gate: str = ""
+    dense: str, hours, kernels, where: str = "true", gate: str = "", figure: bool = False
 ) -> str:
     """CTEs up to ``windows``: days copied to every window they belong to."""
     expected = len(hours)
+    days, ends = ("AND Day <= 365", "WHERE Day + Lag <= 357") if figure else ("", "")
     return f"""WITH {dense}, {sql.hour_table(hours)},
 {sql.lag_table({window_label(len(k)): k for k in kernels})},
 source AS (SELECT * FROM dense WHERE Metric_Type = 'HSV' AND {where}),
@@ -189,12 +245,12 @@ source AS (SELECT * FROM dense WHERE Metric_Type = 'HSV' AND {where}),
 gated AS (SELECT {sql.SERIES}, Year, Day FROM picked GROUP BY ALL {gate}),
 images AS (
   SELECT p.* FROM picked p SEMI JOIN gated USING ({sql.SERIES}, Year, Day)
-  WHERE Minute = 0 AND Day <= 365),
+  WHERE Minute = 0 {days}),
 windows AS (
   SELECT {sql.SERIES}, Year, Day + Lag AS "Group", Bin, Mode,
          CAST(sum(W * L * Bin_Value) AS BIGINT) // 100000000 AS Bin_Value
   FROM images JOIN weights USING (Hour), lags
-  WHERE Day + Lag <= 357
+  {ends}
   GROUP BY {sql.SERIES}, Year, Day + Lag, Bin, Mode, Width
   HAVING count(*) = Width * {expected})
 """
@@ -208,12 +264,16 @@ SELECT 'H' AS Style, {sql.SERIES}, Year, "Group", Bin, Mode, Bin_Value,
 FROM windows WHERE Bin_Value <> 0
 WINDOW w AS (PARTITION BY {sql.SERIES}, Year, "Group", Mode ORDER BY Bin ROWS UNBOUNDED PRECEDING)"""
 
-_DAYTIME = "Hour BETWEEN 8 AND 18 AND Minute = 0"
 _ELEVEN = "HAVING count(DISTINCT Hour) = 11"
 
 
-def _event_window(*kernels) -> str:
-    return _windows(sql.EVENT_DENSE, KERNEL_HOURS_8_TO_18, kernels, _DAYTIME, _ELEVEN)
+_FOUR_SQL = (sql.KERNEL_LAGS_2, sql.KERNEL_LAGS_5, sql.KERNEL_LAGS_7, sql.KERNEL_LAGS_10)
+
+
+def _event_window(*kernels, figure: bool = False) -> str:
+    return _windows(
+        sql.EVENT_DAY_DENSE, sql.KERNEL_HOURS_8_TO_18, kernels, "Minute = 0", _ELEVEN, figure
+    )
 
 
 def _attribute(name: str, source: str) -> str:
@@ -233,47 +293,61 @@ SELECT {_LONG} FROM ranked WHERE r = 1""",
     "complete_days": f"""WITH {sql.LINEITEM_BINS},
 complete AS (SELECT {sql.SERIES}, Year, Day FROM hist GROUP BY ALL HAVING count(DISTINCT Hour) = 7)
 SELECT {_LONG} FROM hist SEMI JOIN complete USING ({sql.SERIES}, Year, Day)""",
-    "weighted_day_merge": f"""WITH {sql.EVENT_DENSE}, {sql.hour_table(HOURS_9_TO_15)},
-{sql.first_image("dense", where=sql.listed(HOURS_9_TO_15))}
+    "weighted_day_merge": f"""WITH {sql.EVENT_DENSE}, {sql.hour_table(sql.HOURS_9_TO_15)},
+{sql.first_image("dense", where=sql.listed(sql.HOURS_9_TO_15))}
 SELECT {sql.SERIES}, Year, Day, Metric_Type, Bin, {_MERGED}
 FROM picked JOIN weights USING (Hour) GROUP BY {sql.SERIES}, Year, Day, Metric_Type, Bin""",
-    "weighted_attr_merge": f"""WITH {sql.EVENT_DENSE}, {sql.hour_table(HOURS_8_TO_18)},
-{sql.first_image("dense", where=sql.listed(HOURS_8_TO_18))}
+    "weighted_attr_merge": f"""WITH {sql.EVENT_DENSE}, {sql.hour_table(sql.HOURS_8_TO_18)},
+{sql.first_image("dense", where=sql.listed(sql.HOURS_8_TO_18))}
 SELECT {sql.SERIES}, Year, Day, Metric_Type, Bin, {_MERGED},
        {", ".join(_attribute(n, c) for n, c in _ATTRIBUTE_OF.items())}
 FROM picked JOIN weights USING (Hour) WHERE Metric_Type = 'HSV'
 GROUP BY {sql.SERIES}, Year, Day, Metric_Type, Bin""",
-    "weighted_unlisted_hours": f"""WITH {sql.LINEITEM_DENSE}, {sql.hour_table(HOURS_9_TO_15)}
+    "weighted_unlisted_hours": f"""WITH {sql.LINEITEM_DENSE}, {sql.hour_table(sql.HOURS_9_TO_15)}
 SELECT {sql.SERIES}, Year, Day, Metric_Type, Bin,
        CASE WHEN count(W) = count(*) THEN CAST(sum(W * Bin_Value) AS BIGINT) // 10000 END AS Bin_Value
 FROM dense LEFT JOIN weights USING (Hour) GROUP BY {sql.SERIES}, Year, Day, Metric_Type, Bin""",
-    "emd_hourly": _distances(sql.EVENT_DENSE, HOURS_9_TO_15) + "SELECT * FROM distances",
-    "uncertainty_abs": _distances(sql.EVENT_DENSE, HOURS_7_TO_16, 7) + "SELECT * FROM levels",
-    "uncertainty_rel": _distances(sql.EVENT_DENSE, HOURS_7_TO_16, 7)
+    "emd_hourly": _distances(sql.EVENT_DENSE, sql.HOURS_9_TO_15) + "SELECT * FROM distances",
+    "uncertainty_abs": _distances(sql.EVENT_DENSE, sql.HOURS_7_TO_16, 7) + "SELECT * FROM levels",
+    "uncertainty_rel": _distances(sql.EVENT_DENSE, sql.HOURS_7_TO_16, 7)
     + f"""SELECT * REPLACE (
   Q / nullif(max(Q) OVER (PARTITION BY {sql.SERIES}, Year, Metric_Type), 0) AS Q) FROM levels""",
-    "uncertainty_multi_year": _distances(sql.LINEITEM_DENSE, KERNEL_HOURS_10_TO_14, 5)
+    "uncertainty_multi_year": _distances(sql.LINEITEM_DENSE, sql.KERNEL_HOURS_10_TO_14, 5)
     + "SELECT * FROM levels",
     "uncertainty_dayonly_compat": _distances(
-        sql.LINEITEM_DENSE, KERNEL_HOURS_10_TO_14, 5, by_day_only=True
+        sql.LINEITEM_DENSE, sql.KERNEL_HOURS_10_TO_14, 5, by_day_only=True
     )
     + "SELECT * FROM levels",
-    "window_02": _event_window(KERNEL_LAGS_2) + "SELECT * FROM windows",
-    "window_03": _windows(sql.LINEITEM_DENSE, KERNEL_HOURS_10_TO_14, [KERNEL_LAGS_3])
+    "window_02": _event_window(sql.KERNEL_LAGS_2) + "SELECT * FROM windows",
+    "window_03": _windows(sql.LINEITEM_DENSE, sql.KERNEL_HOURS_10_TO_14, [sql.KERNEL_LAGS_3])
     + "SELECT * FROM windows",
-    "window_05": _event_window(KERNEL_LAGS_5) + "SELECT * FROM windows",
-    "window_07": _event_window(KERNEL_LAGS_7) + "SELECT * FROM windows",
-    "window_10": _event_window(KERNEL_LAGS_10) + "SELECT * FROM windows",
-    "window_compare": _event_window(*_FOUR) + _WINDOW_STACK,
+    "window_05": _event_window(sql.KERNEL_LAGS_5) + "SELECT * FROM windows",
+    "window_07": _event_window(sql.KERNEL_LAGS_7) + "SELECT * FROM windows",
+    "window_10": _event_window(sql.KERNEL_LAGS_10) + "SELECT * FROM windows",
+    "window_compare": _event_window(*_FOUR_SQL, figure=True) + _WINDOW_STACK,
     "window_multi_year": _windows(
-        sql.LINEITEM_DENSE, KERNEL_HOURS_10_TO_14, [KERNEL_LAGS_3],
-        gate="HAVING count(DISTINCT Hour) >= 7",
+        sql.LINEITEM_DENSE, sql.KERNEL_HOURS_10_TO_14, [sql.KERNEL_LAGS_3],
+        gate="HAVING count(DISTINCT Hour) >= 7", figure=True,
     )
     + _WINDOW_STACK,
     "bin_distribution": f"""WITH {sql.EVENT_BINS},
-green AS (SELECT * FROM hist WHERE Metric_Type = 'Gcc' AND {sql.listed(HOURS_7_TO_16)}),
+green AS (SELECT * FROM hist WHERE Metric_Type = 'Gcc' AND {sql.listed(sql.HOURS_7_TO_16)}),
 {sql.first_image("green")}
 SELECT {sql.SERIES}, Year, Day, Bin AS Gcc_Bin, CAST(sum(Bin_Value) AS BIGINT) AS Gcc_Value,
        'Day ' || CAST(Day AS VARCHAR) AS Label
 FROM picked WHERE Bin_Value <> 0 GROUP BY {sql.SERIES}, Year, Day, Bin""",
+    "weighted_fractions": f"""WITH {sql.EVENT_QUARTERS}, {sql.hour_table(sql.HOURS_9_TO_15)},
+{sql.first_image("dense", where=sql.listed(sql.HOURS_9_TO_15))}
+SELECT {sql.SERIES}, Year, Day, Metric_Type, Bin,
+       CAST(floor(sum(W * Bin_Value) / 10000) AS BIGINT) AS Bin_Value
+FROM picked JOIN weights USING (Hour) GROUP BY {sql.SERIES}, Year, Day, Metric_Type, Bin""",
+    "emd_fractions": _distances(sql.EVENT_QUARTERS, sql.HOURS_9_TO_15) + "SELECT * FROM distances",
+    "uncertainty_unlisted": _distances(sql.LINEITEM_DENSE, sql.HOURS_9_TO_15, all_hours=True)
+    + "SELECT * FROM levels",
+    "uncertainty_by_area": _distances(
+        sql.EVENT_DENSE.replace("SELECT i.*, bins.Bin", "SELECT i.*, CAST(1000000 - i.Hour % 2 AS INTEGER) AS Considered_Pixels, bins.Bin"),
+        sql.HOURS_9_TO_15, extra="Considered_Pixels",
+    )
+    + "SELECT * FROM levels",
 }
+ORACLE["bin_distribution_days"] = f"SELECT * FROM ({ORACLE['bin_distribution']}) WHERE Day IN (2, 3, 5)"

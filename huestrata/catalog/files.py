@@ -25,7 +25,22 @@ def _through_csv(df, name):
 
 
 def _histogram_csv(spark, sf):
-    return hs.read_histogram_csv(spark, _through_csv(events_histogram(spark, sf), "histogram"))
+    """Two groups of files, each with the columns in another order."""
+    hist = events_histogram(spark, sf)
+    path = _through_csv(hist.filter("Metric_Type = 'HSV'"), "histogram")
+    order = sorted(hist.columns)
+    green = hist.filter("Metric_Type = 'Gcc'").select(*order)
+    green.write.mode("append").csv(path, header=True, compression="gzip")
+    return hs.read_histogram_csv(spark, path)
+
+
+def _coefficient_csv(spark, sf):
+    """Coefficient tables with inferred column types, bound by image name."""
+    green, red = verbs.coefficient_tables(spark, sf)
+    return hs.mean_coefficients(
+        hs.read_plain_csv(spark, _through_csv(green, "green")),
+        hs.read_plain_csv(spark, _through_csv(red, "red")),
+    )
 
 
 def _histogram_parquet(spark, sf):
@@ -46,7 +61,7 @@ def _timing_csv(spark, sf):
 
 def _figure_table(spark, sf):
     path = _folder(spark, "figure")
-    table = hs.daily_cpm(events_histogram(spark, sf), metrics=("HSV",))
+    table = hs.daily_cpm(events_histogram(spark, sf, hours="noon"), metrics=("HSV",))
     hs.write_table(table, path, by=["Year"], order=["Style", "Year", "Day", "Bin"])
     return spark.read.parquet(path)
 
@@ -57,6 +72,7 @@ QUERIES = {
     "share_csv_scan": _share_csv,
     "timing_csv_scan": _timing_csv,
     "figure_table_sink": _figure_table,
+    "coefficient_csv_scan": _coefficient_csv,
 }
 
 _HISTOGRAM = f"""WITH {sql.EVENT_BINS}
@@ -80,4 +96,5 @@ ORACLE = {
     "share_csv_scan": cpm.ORACLE["share_cpm"],
     "timing_csv_scan": "SELECT l_linenumber AS cores, l_extendedprice AS exectime FROM lineitem",
     "figure_table_sink": cpm.ORACLE["daily_cpm_hsv"],
+    "coefficient_csv_scan": verbs.ORACLE["mean_coefficients"],
 }

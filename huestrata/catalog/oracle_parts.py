@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from huestrata.schema import hour_units, lag_units
+# Weights in ten-thousandths, written out apart from huestrata.schema.
+HOURS_9_TO_15 = {9: 500, 10: 500, 11: 1000, 12: 3000, 13: 3000, 14: 1500, 15: 500}
+HOURS_7_TO_16 = {7: 500, 9: 750, 10: 750, 12: 3000, 13: 3000, 15: 1500, 16: 500}
+HOURS_8_TO_18 = {
+    8: 250, 9: 500, 10: 500, 11: 1000, 12: 1500, 13: 2500, 14: 1500, 15: 1000, 16: 500, 17: 500, 18: 250,
+}
+KERNEL_HOURS_10_TO_14 = {10: 1000, 11: 1500, 12: 2500, 13: 3000, 14: 2000}
+KERNEL_HOURS_8_TO_18 = {
+    8: 250, 9: 250, 10: 500, 11: 1000, 12: 1750, 13: 2500, 14: 1750, 15: 1000, 16: 500, 17: 250, 18: 250,
+}
+KERNEL_LAGS_2 = (7000, 3000)
+KERNEL_LAGS_3 = (4000, 3500, 2500)
+KERNEL_LAGS_5 = (2000, 2000, 2000, 2000, 2000)
+KERNEL_LAGS_7 = (2000, 1500, 1500, 1500, 1500, 1000, 1000)
+KERNEL_LAGS_10 = (1500, 1000, 1000, 1000, 1000, 1000, 1000, 1000, 1000, 500)
 
 SERIES = "Dataset, Camera_ID"
 
@@ -32,6 +46,17 @@ hist AS (
          CAST(max(a) AS DOUBLE) / 100 AS MaxA, CAST(max(b) AS DOUBLE) / 100 AS MaxB
   FROM event_rows GROUP BY ALL)"""
 
+_HOUR, _MINUTE = "CAST(hour(ts) AS INTEGER)", "CASE WHEN minute(ts) < 45 THEN 0 ELSE 45 END"
+
+#: One image a day, at noon.
+EVENT_NOON = EVENT_BINS.replace(f"{_HOUR} AS Hour", "12 AS Hour").replace(_MINUTE, "0")
+
+#: Images from 8 to 18 h, and at night on every fourteenth day.
+EVENT_DAY = EVENT_BINS.replace(
+    f"{_HOUR} AS Hour",
+    f"CASE WHEN dayofyear(ts) % 14 = 13 THEN {_HOUR} ELSE CAST(hour(ts) % 11 + 8 AS INTEGER) END AS Hour",
+)
+
 LINEITEM_BINS = f"""
 hist AS (
   SELECT 'lin_' || CAST(l_suppkey // 10000 AS VARCHAR) AS Dataset,
@@ -47,9 +72,8 @@ bins AS (
   SELECT 'HSV' AS Metric_Type, CAST(unnest(range(0, 360, 10)) AS INTEGER) AS Bin
   UNION ALL SELECT 'Gcc', CAST(unnest(range(100)) AS INTEGER))"""
 
-EVENT_DENSE = (
-    EVENT_BINS
-    + ","
+_ALL_BINS = (
+    ","
     + _DOMAIN
     + f""",
 dense AS (
@@ -61,6 +85,13 @@ dense AS (
    AND h.Metric_Type = i.Metric_Type AND h.Bin = bins.Bin)"""
 )
 
+EVENT_DENSE = EVENT_BINS + _ALL_BINS
+EVENT_DAY_DENSE = EVENT_DAY + _ALL_BINS
+
+#: Quarters of a pixel: sizes that are not whole.
+EVENT_QUARTERS = EVENT_DENSE.replace("dense AS (", "whole_sizes AS (") + """,
+dense AS (SELECT * REPLACE (CAST(Bin_Value AS DOUBLE) / 4 AS Bin_Value) FROM whole_sizes)"""
+
 LINEITEM_DENSE = (
     LINEITEM_BINS
     + ","
@@ -86,23 +117,23 @@ def first_image(source: str, name: str = "picked", where: str = "true") -> str:
   USING ({SERIES}, Year, Day, Hour, Minute))"""
 
 
-def hour_table(weights: Mapping[int, str], name: str = "weights") -> str:
+def hour_table(weights: Mapping[int, int], name: str = "weights") -> str:
     """CTE: (Hour, W) with weights in ten-thousandths."""
-    rows = ", ".join(f"({h}, {u})" for h, u in hour_units(weights).items())
+    rows = ", ".join(f"({h}, {u})" for h, u in weights.items())
     return f"\n{name}(Hour, W) AS (VALUES {rows})"
 
 
-def lag_table(kernels: Mapping[str, Sequence[str]], name: str = "lags") -> str:
+def lag_table(kernels: Mapping[str, Sequence[int]], name: str = "lags") -> str:
     """CTE: (Mode, Width, Lag, L) with weights in ten-thousandths."""
     rows = ", ".join(
         f"('{mode}', {len(kernel)}, {lag}, {u})"
         for mode, kernel in kernels.items()
-        for lag, u in enumerate(lag_units(kernel))
+        for lag, u in enumerate(kernel)
     )
     return f"\n{name}(Mode, Width, Lag, L) AS (VALUES {rows})"
 
 
-def listed(weights: Mapping[int, str]) -> str:
+def listed(weights: Mapping[int, int]) -> str:
     return "Hour IN (" + ", ".join(str(h) for h in weights) + ")"
 
 

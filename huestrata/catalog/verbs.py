@@ -24,6 +24,7 @@ from huestrata.operators.groups import (
 from huestrata.operators.reshape import (
     calendar_grid,
     complete_grid,
+    ordered_keys,
     pivot_bins,
     union_tagged,
     unpivot_columns,
@@ -82,8 +83,8 @@ def _parse_names(spark, sf):
     return hs.parse_image_name(_names(spark, sf))
 
 
-def _coefficients(spark, sf):
-    """Two coefficient tables with one row per image, bound by image name."""
+def coefficient_tables(spark, sf):
+    """Two coefficient tables with one row per image."""
     hist = events_histogram(spark, sf).filter(F.col("Metric_Type") == "Gcc")
     name = F.concat(
         F.lit("img/dc_"),
@@ -102,7 +103,11 @@ def _coefficients(spark, sf):
         )
     )
     red = hist.groupBy(name).agg((F.max("Gcc_Bin") / 100.0).alias("MeanRcc"))
-    return hs.mean_coefficients(green, red)
+    return green, red
+
+
+def _coefficients(spark, sf):
+    return hs.mean_coefficients(*coefficient_tables(spark, sf))
 
 
 def _pivot(spark, sf):
@@ -157,9 +162,24 @@ def _timing(spark, sf):
 
 
 def _zip(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
-    events = table(spark, sf, "events").select("ts", "event_id", "value")
-    return zip_rows(orders, events, ["o_orderdate", "o_orderkey"], ["ts", "event_id"])
+    """The orders by date next to the orders by price."""
+    orders = table(spark, sf, "orders")
+    dated = orders.select("o_orderdate", "o_orderkey")
+    priced = orders.select(F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("key"))
+    return zip_rows(dated, priced, ["o_orderdate", "o_orderkey"], ["price", "key"])
+
+
+def _ordinals(spark, sf):
+    """Keys of the hour columns in their order, as levels of a categorical."""
+    cells = _images(events_histogram(spark, sf)).withColumn("Key", paste(*_CELL[2:], "Minute"))
+    return ordered_keys(cells, [*_CELL, "Minute"])
+
+
+def _timing_unknown(spark, sf):
+    """Samples without a time make the figures of their group unknown."""
+    unknown = F.when(F.col("cores") % 3 != 0, F.col("exectime"))
+    summary = hs.timing_summary(samples(spark, sf).withColumn("exectime", unknown))
+    return summary.withColumns({c: F.round(c, 6) for c in ("avgMinutes", "errorMinutes")})
 
 
 def _images(hist):
@@ -231,7 +251,8 @@ def _uniqueness(spark, sf):
 
 
 def _weight_profile(spark, sf):
-    return hs.weight_profile(events_histogram(spark, sf), HOURS_8_TO_18)
+    """Hour 8 is listed and never imaged."""
+    return hs.weight_profile(events_histogram(spark, sf).filter("Hour <> 8"), HOURS_8_TO_18)
 
 
 def _kernel_profile(spark, sf):
@@ -248,7 +269,9 @@ QUERIES = {
     "unpivot_styles": _unpivot,
     "union_tagged": samples,
     "timing_summary": _timing,
+    "timing_unknown": _timing_unknown,
     "zip_rows": _zip,
+    "key_ordinals": _ordinals,
     "grid_scaffold": _scaffold,
     "window_members": _members,
     "filter_group_size": _group_size,
@@ -269,15 +292,15 @@ SELECT 'items' AS dataset, l_linenumber AS cores, l_extendedprice AS exectime FR
 UNION ALL SELECT 'parts', p_size, p_retailprice FROM part
 UNION ALL SELECT 'orders', CAST(month(o_orderdate) AS INTEGER), o_totalprice FROM orders"""
 
-_MEMBERS_SQL = f"""WITH {sql.LINEITEM_BINS}, {sql.hour_table(KERNEL_HOURS_10_TO_14)},
-{sql.lag_table({"three": KERNEL_LAGS_3})},
+_MEMBERS_SQL = f"""WITH {sql.LINEITEM_BINS}, {sql.hour_table(sql.KERNEL_HOURS_10_TO_14)},
+{sql.lag_table({"three": sql.KERNEL_LAGS_3})},
 places AS (SELECT Hour, W, row_number() OVER (ORDER BY Hour) AS place FROM weights),
 members AS (
   SELECT {_CELL_SQL}, Minute, CAST(Lag AS INTEGER) AS Lag, Day + CAST(Lag AS INTEGER) AS "Group",
          CAST(W * L AS BIGINT) AS Weight,
          CAST((2 - Lag) * 5 + place AS BIGINT) AS "Index"
   FROM (SELECT DISTINCT {_CELL_SQL}, Minute FROM hist) JOIN places USING (Hour), lags
-  WHERE Day + Lag <= 357)
+  WHERE Day + Lag <= dayofyear(make_date(Year, 12, 31)))
 """
 
 ORACLE = {
@@ -313,7 +336,7 @@ FROM hist h WHERE Metric_Type = 'Gcc'
 GROUP BY h.Dataset, h.Camera_ID, h.Year, h.Day, h.Hour, h.Minute""",
     "pivot_bins": f"""WITH {sql.EVENT_BINS}
 SELECT {_CELL_SQL}, Minute, """
-    + ", ".join(f"min(Bin_Value) FILTER (WHERE Bin = {b}) AS X{b}" for b in HUES)
+    + ", ".join(f"any_value(Bin_Value) FILTER (WHERE Bin = {b}) AS X{b}" for b in HUES)
     + f" FROM hist WHERE Metric_Type = 'HSV' GROUP BY {_CELL_SQL}, Minute",
     "unpivot_styles": f"WITH {sql.EVENT_BINS} "
     + " UNION ALL ".join(
@@ -326,16 +349,26 @@ SELECT {_CELL_SQL}, Minute, """
 SELECT cores, dataset, round(avg(exectime / 1000 / 60), 6) AS avgMinutes,
        round(3 * stddev_samp(exectime / 1000 / 60) / sqrt(count(*)), 6) AS errorMinutes
 FROM ({_SAMPLES_SQL}) GROUP BY cores, dataset""",
+    "timing_unknown": f"""
+SELECT cores, dataset, CASE WHEN count(e) = count(*) THEN round(avg(e / 1000 / 60), 6) END AS avgMinutes,
+       CASE WHEN count(e) = count(*) THEN round(3 * stddev_samp(e / 1000 / 60) / sqrt(count(*)), 6) END AS errorMinutes
+FROM (SELECT *, CASE WHEN cores % 3 <> 0 THEN exectime END AS e FROM ({_SAMPLES_SQL})) GROUP BY cores, dataset""",
     "zip_rows": """
-SELECT CAST(a.i AS BIGINT) AS "Index", o_orderdate, o_orderkey, o_totalprice, ts, event_id, value
+SELECT CAST(coalesce(a.i, b.i) AS BIGINT) AS "Index", o_orderdate, a.o_orderkey, price, key
 FROM (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, * FROM orders) a
-JOIN (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, * FROM events) b ON a.i = b.i""",
+FULL JOIN (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i,
+                  o_totalprice AS price, o_orderkey AS key FROM orders) b ON a.i = b.i""",
+    "key_ordinals": f"""WITH {sql.EVENT_BINS}
+SELECT {_CELL_SQL}, Minute, concat_ws('_', Year, Day, Hour, Minute) AS Key,
+       row_number() OVER (ORDER BY {_CELL_SQL}, Minute) AS Ordinal
+FROM (SELECT DISTINCT {_CELL_SQL}, Minute FROM hist)""",
     "grid_scaffold": f"""WITH {sql.LINEITEM_BINS},
 grid AS (
   SELECT y.*, d.Day, h.Hour, 0 AS Minute
   FROM (SELECT DISTINCT {sql.SERIES}, Year FROM hist) y,
-       (SELECT CAST(unnest(range(1, 366)) AS INTEGER) AS Day) d,
-       (SELECT CAST(unnest(range(10, 15)) AS INTEGER) AS Hour) h),
+       (SELECT CAST(unnest(range(1, 367)) AS INTEGER) AS Day) d,
+       (SELECT CAST(unnest(range(10, 15)) AS INTEGER) AS Hour) h
+  WHERE d.Day <= dayofyear(make_date(y.Year, 12, 31))),
 images AS (
   SELECT {_CELL_SQL}, Minute, CAST(sum(Bin_Value) AS BIGINT) AS Pixels FROM hist GROUP BY ALL)
 SELECT * FROM grid LEFT JOIN images USING ({_CELL_SQL}, Minute)""",
@@ -350,7 +383,7 @@ QUALIFY sum(Weight) OVER (PARTITION BY {sql.SERIES}, Year, "Group") = 100000000"
     "semi_join_days": """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(dayofyear(l_shipdate) AS INTEGER) AS Day
 FROM lineitem WHERE dayofyear(l_shipdate) IN (SELECT dayofyear(ts) FROM events)""",
-    "weight_lookup": f"""WITH {sql.EVENT_BINS}, {sql.hour_table(HOURS_9_TO_15)}
+    "weight_lookup": f"""WITH {sql.EVENT_BINS}, {sql.hour_table(sql.HOURS_9_TO_15)}
 SELECT {_CELL_SQL}, Minute, CAST(W AS DOUBLE) / 10000 AS Weight
 FROM (SELECT DISTINCT {_CELL_SQL}, Minute FROM hist) LEFT JOIN weights USING (Hour)""",
     "hsv_to_hex": f"""WITH {sql.EVENT_BINS}
@@ -363,22 +396,25 @@ FROM hist WHERE Metric_Type = 'Gcc'""",
 SELECT {sql.SERIES}, concat_ws('_', Year, Day, Hour, Bin, Metric_Type) AS Key,
        count(*) AS "Rows" FROM hist
 GROUP BY {sql.SERIES}, Year, Day, Hour, Bin, Metric_Type HAVING count(*) > 1""",
-    "weight_profile": f"""WITH {sql.EVENT_BINS}, {sql.hour_table(HOURS_8_TO_18)},
+    "weight_profile": f"""WITH {sql.EVENT_BINS}, {sql.hour_table(sql.HOURS_8_TO_18)},
 levels AS (SELECT Hour, W, row_number() OVER (ORDER BY Hour) AS Level FROM weights)
-SELECT Hour, CAST(Level AS BIGINT) AS Level, CAST(W AS DOUBLE) / 10000 AS Weight, count(*) AS Days
-FROM (SELECT DISTINCT {sql.SERIES}, Year, Day, Hour FROM hist) JOIN levels USING (Hour)
-GROUP BY Hour, Level, W""",
-    "kernel_profile": f"""WITH {sql.LINEITEM_BINS}, {sql.hour_table(KERNEL_HOURS_10_TO_14)},
-{sql.lag_table({"three": KERNEL_LAGS_3})},
+SELECT levels.Hour, CAST(Level AS BIGINT) AS Level, CAST(W AS DOUBLE) / 10000 AS Weight,
+       count(seen.Hour) AS Days
+FROM levels LEFT JOIN (SELECT DISTINCT {sql.SERIES}, Year, Day, Hour FROM hist WHERE Hour <> 8) seen
+  ON seen.Hour = levels.Hour
+GROUP BY levels.Hour, Level, W""",
+    "kernel_profile": f"""WITH {sql.LINEITEM_BINS}, {sql.hour_table(sql.KERNEL_HOURS_10_TO_14)},
+{sql.lag_table({"three": sql.KERNEL_LAGS_3})},
 places AS (SELECT Hour, W, row_number() OVER (ORDER BY Hour) AS place FROM weights),
 cells AS (
   SELECT y.*, d.Day, places.*
   FROM (SELECT DISTINCT {sql.SERIES}, Year FROM hist) y,
-       (SELECT CAST(unnest(range(1, 366)) AS INTEGER) AS Day) d, places),
+       (SELECT CAST(unnest(range(1, 367)) AS INTEGER) AS Day) d, places
+  WHERE d.Day <= dayofyear(make_date(y.Year, 12, 31))),
 images AS (SELECT DISTINCT {_CELL_SQL}, true AS seen FROM hist)
 SELECT {sql.SERIES}, Year, Day + CAST(Lag AS INTEGER) AS "Group",
        CAST((2 - Lag) * 5 + place AS BIGINT) AS "Index", Day, CAST(Hour AS INTEGER) AS Hour,
        CAST(W * L AS DOUBLE) / 1e8 AS Weight, coalesce(seen, false) AS Imaged
 FROM cells LEFT JOIN images USING ({_CELL_SQL}), lags
-WHERE Day + Lag BETWEEN 3 AND 357""",
+WHERE Day + Lag BETWEEN 3 AND dayofyear(make_date(Year, 12, 31))""",
 }

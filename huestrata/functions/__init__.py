@@ -6,7 +6,7 @@ from huestrata.functions.nulls import (
     strict_sum,
     strict_sum_over,
 )
-from huestrata.functions.numbers import as_integer, case_of, hour_weight, whole_div
+from huestrata.functions.numbers import as_integer, case_of, hour_weight, whole_div, year_days
 from huestrata.functions.text import hour_label, paste, window_label
 
 __all__ = [
@@ -24,4 +24,5 @@ __all__ = [
     "whole_div",
     "window_label",
     "with_hsv_hex",
+    "year_days",
 ]

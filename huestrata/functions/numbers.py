@@ -31,6 +31,11 @@ def case_of(c: Column | str, values: Mapping[int, int]) -> Column:
     return case
 
 
+def year_days(year: Column | str = "Year") -> Column:
+    """Days of a calendar year."""
+    return F.dayofyear(F.make_date(_col(year), F.lit(12), F.lit(31)))
+
+
 def hour_weight(weights: Mapping[int, str], hour: Column | str = "Hour") -> Column:
     """Weight of an hour in ten-thousandths; NULL for hours not listed.
 

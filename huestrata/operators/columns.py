@@ -44,11 +44,15 @@ def metric_from_sentinel(df: DataFrame) -> DataFrame:
 
 
 def collapse_metric(
-    df: DataFrame, attributes: Sequence[str] = ATTRIBUTES, metrics: Sequence[str] = (HSV, GCC)
+    df: DataFrame,
+    attributes: Sequence[str] = ATTRIBUTES,
+    metrics: Sequence[str] = (HSV, GCC),
+    units: int = 1,
 ) -> DataFrame:
     """Merge the two halves of a histogram row into ``Bin`` and ``Bin_Value``.
 
-    Sizes are pixel counts and become BIGINT. Only the colour attributes and
+    Sizes become BIGINT: pixels cut to whole ones, or parts of a pixel rounded
+    to whole ``units``, for jobs that weight them before they cut. Only the colour attributes and
     the halves asked for are carried on, so the scan reads no more than the
     job needs. Rows of another metric get no bin.
     """
@@ -66,7 +70,9 @@ def collapse_metric(
         *[c for c in df.columns if c not in dropped],
         "Metric_Type",
         of_metric(0).alias("Bin"),
-        as_integer(of_metric(1), "bigint").alias("Bin_Value"),
+        as_integer(
+            of_metric(1) if units == 1 else F.round(of_metric(1) * units), "bigint"
+        ).alias("Bin_Value"),
         *[clean_nan(c).alias(c) for c in attributes],
     )
 
@@ -78,11 +84,17 @@ def long_histogram(
     attributes: Sequence[str] = (),
     metrics: Sequence[str] = (HSV, GCC),
     extra: Sequence[str] = (),
+    units: int = 1,
+    other_rows: bool = False,
 ) -> DataFrame:
-    """The image key, bin, size and chosen attributes of the chosen metrics."""
+    """The image key, bin, size and chosen attributes of the chosen metrics.
+
+    With ``other_rows`` the rows of other metrics stay, without a bin: an image
+    is then chosen by all its rows, whatever metrics are asked for.
+    """
     keys = dict.fromkeys([*SERIES, *series, "Year", "Day", "Hour", "Minute", *extra])
-    if set(metrics) != {HSV, GCC}:
+    if set(metrics) != {HSV, GCC} and not other_rows:
         hist = hist.filter(F.col("Metric_Type").isin(list(metrics)))
-    return collapse_metric(hist, attributes, metrics).select(
+    return collapse_metric(hist, attributes, metrics, units).select(
         *keys, "Metric_Type", "Bin", "Bin_Value", *attributes
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.operators.groups import hours_seen
@@ -22,52 +22,30 @@ def pick_first_image(
 ) -> DataFrame:
     """Keep the bins of the earliest image of every group of ``grain``.
 
-    The first shuffle aggregates to one candidate row per bin, with a map-side
-    partial stage, so repeated copies and crowded hours shrink before they
-    move. An order by time of day is one number and stays a hash aggregation;
-    other orders (pooled cameras) compare whole rows. What is left per day is
-    bounded by the number of hours and bins. The second shuffle brings a day
-    together; the earliest candidate of the group is the chosen image, and only
-    its rows stay, so bins of two images never mix. The output stays
-    partitioned by ``series`` and ``cluster`` and later day-level steps need no
-    further shuffle.
+    One shuffle brings a day together. A running minimum of the image key finds
+    the earliest image (an unknown place in the order comes last), and only its
+    rows stay, so bins of two images never mix. Copies are then folded within
+    the day, so a copy never counts twice; of unequal rows of one bin the same
+    one stays in every run. The output stays partitioned by ``series`` and
+    ``cluster`` and later day-level steps need no further shuffle.
+
+    An hour has at most 60 images by camera and minute, so a day is bounded by
+    its distinct rows. ``write_histograms`` folds copies, with a map-side stage,
+    before they are stored.
     """
     keys = [*series, *grain]
     order = [c for c in order if c not in keys]
-    values = [c for c in df.columns if c not in {*keys, *bin_keys}]
-    if set(order) <= {"Hour", "Minute"}:
-        rank = _clock_rank(order, values)
-        picks = [F.min_by(c, "_rank").alias(c) for c in values]
-        place = F.shiftright("_rank", 32)
-    else:
-        rank = F.struct(F.struct(*order).alias("at"), F.struct(*values).alias("of"))
-        picks = [F.min("_rank")["of"][c].alias(c) for c in values]
-        place = F.col("_rank")["at"]
-    candidates = (
-        df.withColumn("_rank", rank)
-        .groupBy(*keys, *bin_keys)
-        .agg(F.min("_rank").alias("_rank"), *picks)
-    )
-    together = candidates.repartition(*series, *cluster).withColumn("_place", place)
+    values = [c for c in df.columns if c not in {*keys, *order, *bin_keys}]
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
     earliest = F.min("_place").over(Window.partitionBy(*keys))
-    return (
-        together.withColumn("_first", earliest).filter("_place = _first").select(*df.columns)
-    )
-
-
-def _clock_rank(order: Sequence[str], values: Sequence[str]) -> Column:
-    """Time of day in the high bits, a hash of the row in the low 32 bits.
-
-    One BIGINT keeps the aggregation a hash aggregation. The hash decides
-    between unequal rows of one image and bin the same way in every run.
-    """
-    minutes = F.lit(0)
-    for name, worth, unknown in (("Hour", 60, 24), ("Minute", 1, 60)):
-        if name in order:
-            minutes = minutes + F.coalesce(F.col(name), F.lit(unknown)) * worth
-    return F.shiftleft(minutes.cast("bigint"), 32).bitwiseOR(
-        F.xxhash64(*values).bitwiseAND((1 << 32) - 1)
+    kept = (
+        df.repartition(*series, *cluster)
+        .withColumn("_place", place)
+        .withColumn("_first", earliest)
+        .filter("_place <=> _first")
     )
+    one = kept.withColumn("_hash", F.xxhash64(*values)).groupBy(*keys, *order, *bin_keys)
+    return one.agg(*[F.min_by(c, "_hash").alias(c) for c in values]).select(*df.columns)
 
 
 def only_complete_days(

@@ -16,6 +16,7 @@ from huestrata.schema import (
     GCC,
     HSV,
     SERIES,
+    SIZE_UNITS,
     WEIGHT_UNITS,
     hour_units,
 )
@@ -38,20 +39,28 @@ def hourly_images(
 ) -> DataFrame:
     """One image per hour in long form with its ``Weight`` in ten-thousandths.
 
+    Sizes are in thousandths of a pixel. Rows of metrics not asked for have no
+    bin; they take part in the choice of the image and in the hours of a day.
     Hours outside the list are dropped, or kept with a NULL weight.
     """
     if listed_hours_only:
         hist = listed_hours(hist, weights)
     long = long_histogram(
-        hist, series=series, attributes=attributes, metrics=metrics, extra=extra
+        hist,
+        series=series,
+        attributes=attributes,
+        metrics=metrics,
+        extra=extra,
+        units=SIZE_UNITS,
+        other_rows=True,
     )
     picked = pick_first_image(long, series=series)
     return picked.withColumn("Weight", hour_weight(weights))
 
 
 def weighted_size(size: str = "Bin_Value") -> Column:
-    """Weighted bin size, truncated to whole pixels; NULL if any part is unknown."""
-    return whole_div(strict_sum(F.col("Weight") * F.col(size)), WEIGHT_UNITS)
+    """Weighted bin size out of thousandths, truncated to whole pixels; NULL if any part is unknown."""
+    return whole_div(strict_sum(F.col("Weight") * F.col(size)), WEIGHT_UNITS * SIZE_UNITS)
 
 
 def weighted_attribute(name: str) -> Column:
@@ -101,4 +110,5 @@ def weighted_day_merge(
     )
     if require_hours is not None:
         images = only_complete_days(images, series=series, exactly=require_hours)
+    images = images.filter(F.col("Metric_Type").isin(list(metrics)))
     return merge_hours(images, series=series, attributes=attributes, extra=extra)

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huestrata.functions import case_of, year_days
+from huestrata.operators.groups import duplicate_keys
 from huestrata.sources.shared import shared_folder
 
+#: Bins that are marked in one whole number.
+_BITS = 62
+
 
 def unpivot_columns(
     df: DataFrame, values: Sequence[str], name: str, value: str, strip: str = ""
@@ -26,10 +32,31 @@ def pivot_bins(
     df: DataFrame, keys: Sequence[str], bins: Sequence[int], *, value: str = "Bin_Value",
     prefix: str = "X",
 ) -> DataFrame:
-    """One column per bin; a missing bin is NULL. The bin list is given, so no
-    extra job looks for it. Keys must be unique (see ``duplicate_keys``)."""
-    wide = df.groupBy(*keys).pivot("Bin", list(bins)).agg(F.min(value))
-    return wide.withColumnsRenamed({str(b): f"{prefix}{b}" for b in bins})
+    """One column per bin; a missing bin is NULL.
+
+    The bin list is given, so no extra job looks for it. A key with two rows of
+    one bin, and a bin that is not in the list, are refused when the result is
+    computed: a cell holds one value, and no row is left out.
+    """
+    bins = list(bins)
+    words = [bins[i : i + _BITS] for i in range(0, len(bins), _BITS)]
+    seen = [
+        F.bit_or(F.coalesce(case_of("Bin", {b: 1 << i for i, b in enumerate(word)}), F.lit(0)))
+        for word in words
+    ]
+    found = sum((F.bit_count(bits) for bits in seen), F.lit(0))
+    wide = df.groupBy(*keys).agg(
+        *[F.min(F.when(F.col("Bin") == b, F.col(value))).alias(f"{prefix}{b}") for b in bins],
+        (F.count(F.lit(1)) == found).alias("_fits"),
+    )
+    return wide.filter(
+        refuse_unless("_fits", "pivot_bins: a bin twice for one key, or a bin that is not listed")
+    ).drop("_fits")
+
+
+def refuse_unless(holds: str, message: str) -> Column:
+    """Filter that keeps every row, and fails the job at a row for which ``holds`` is not true."""
+    return F.when(F.col(holds), True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
 
 def union_tagged(sources: Mapping[str, DataFrame], tag: str = "dataset") -> DataFrame:
@@ -39,18 +66,19 @@ def union_tagged(sources: Mapping[str, DataFrame], tag: str = "dataset") -> Data
 
 
 def calendar_grid(
-    years: DataFrame, hours: Sequence[int], days: int = 365, minute: int = 0
+    years: DataFrame, hours: Sequence[int], days: int | None = None, minute: int = 0
 ) -> DataFrame:
-    """Every expected (Day, Hour) cell for each row of ``years``.
+    """Every expected (Day, Hour) cell for each row of ``years``, to the last day of the year or ``days``.
 
     The cells are generated from two sequences inside the row: no join. The
     few short input rows are spread over a fixed number of tasks first, because
-    each of them grows by a factor of ``days * len(hours)``.
+    each of them grows by a factor of days times hours.
     """
+    last = year_days() if days is None else F.lit(days)
     tasks = int(years.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         years.repartition(tasks, *years.columns)
-        .withColumn("Day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+        .withColumn("Day", F.explode(F.sequence(F.lit(1), last)))
         .withColumn("Hour", F.explode(F.array(*[F.lit(h) for h in hours])))
         .withColumn("Minute", F.lit(minute))
     )
@@ -68,8 +96,8 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "Index") ->
     the input, so copies of one key can spread over partitions) and sorted
     within each partition. Two checkpoints keep this right when an executor is
     lost: the first fixes the places in the input, the second the partition
-    borders. The running total then runs over one row per partition, not over
-    the data.
+    borders. Only the row count of each partition goes through the driver, and
+    comes back as one row for each.
     """
     shared_folder(df.sparkSession)
     placed = (
@@ -82,10 +110,10 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "Index") ->
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
         .checkpoint()
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
+    sizes = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())
+    starts = [0, *accumulate(size for _, size in sizes)]
+    offsets = df.sparkSession.createDataFrame(
+        [(part, start) for (part, _), start in zip(sizes, starts)], "_part int, _before bigint"
     )
     return (
         placed.join(F.broadcast(offsets), "_part")
@@ -97,10 +125,23 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "Index") ->
 def zip_rows(
     left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]
 ) -> DataFrame:
-    """Bind row i of one table to row i of the other, by explicit orders."""
+    """Bind row i of one table to row i of the other, by explicit orders.
+
+    Tables of unequal lengths are refused, so no row is lost.
+    """
     shared = set(left.columns) & set(right.columns)
     if shared:
         raise ValueError(f"both sides have {sorted(shared)}")
-    return with_row_index(left, left_order).join(with_row_index(right, right_order), "Index")
-
-
+    one, other = with_row_index(left, left_order), with_row_index(right, right_order)
+    lengths = one.count(), other.count()
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"zip_rows: {lengths[0]} and {lengths[1]} rows")
+    return one.join(other, "Index")
+
+
+def ordered_keys(df: DataFrame, keys: Sequence[str], name: str = "Ordinal") -> DataFrame:
+    """Rows numbered in the order of ``keys``, which must be unique: the levels of a categorical key."""
+    repeated = duplicate_keys(df, keys).first()
+    if repeated is not None:
+        raise ValueError(f"ordered_keys: {repeated['Rows']} rows for {tuple(repeated[:-1])}")
+    return with_row_index(df, keys, name)

@@ -7,14 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huestrata.functions import case_of, hour_weight, whole_div, window_label
+from huestrata.functions import case_of, hour_weight, whole_div, window_label, year_days
 from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import only_complete_days, pick_first_image
 from huestrata.schema import (
-    DAYS_IN_YEAR,
     HSV,
-    LAST_GROUP,
     SERIES,
+    SIZE_UNITS,
     WEIGHT_UNITS,
     hour_units,
     lag_units,
@@ -31,27 +30,29 @@ def whole_days(
     min_images: int | None = None,
     minute: int = 0,
     minute_first: bool = False,
-    days: int = DAYS_IN_YEAR,
+    days: int | None = None,
 ) -> DataFrame:
     """Hour-weighted bins of the days that have an image at every kernel hour.
 
     The kernel is a product of an hour part and a day part, so the hours can be
-    summed up before any window is formed. ``Bin_Units`` is in ten-thousandths.
+    summed up before any window is formed. ``Bin_Units`` is a size in thousandths
+    times a weight in ten-thousandths. ``days`` leaves out later days of a year.
     A bin that is missing or unknown at one of the hours leaves its day out.
     """
     if minute_first:
         hist = hist.filter(F.col("Minute") == minute)
     picked = pick_first_image(
-        long_histogram(hist, series=series, metrics=(metric,)), series=series
+        long_histogram(hist, series=series, metrics=(metric,), units=SIZE_UNITS), series=series
     )
     if exact_images is not None or min_images is not None:
         picked = only_complete_days(
             picked, series=series, exactly=exact_images, at_least=min_images
         )
     weight = hour_weight(hours)
+    if days is not None:
+        picked = picked.filter(F.col("Day") <= days)
     return (
         picked.filter((F.col("Minute") == minute) & weight.isNotNull())
-        .filter(F.col("Day").between(1, days))
         .groupBy(*series, "Year", "Day", "Bin")
         .agg(
             F.sum(weight * F.col("Bin_Value")).alias("Bin_Units"),
@@ -67,7 +68,7 @@ def slide_days(
     kernels: Mapping[str, Sequence[str]],
     *,
     series: Sequence[str] = SERIES,
-    last_group: int = LAST_GROUP,
+    last_group: int | None = None,
 ) -> DataFrame:
     """Trailing windows of any number of kernels in one pass over the days.
 
@@ -75,7 +76,8 @@ def slide_days(
     is complete exactly when the row ``width - 1`` places back lies
     ``width - 1`` days back; the days in between are then present too. Rows are
     neither copied per lag nor joined: each kernel is a weighted sum of
-    ``lag`` columns, and windows stay within a year.
+    ``lag`` columns, and windows stay within a year. ``last_group`` leaves out
+    windows that end later in the year.
     """
     along = Window.partitionBy(*series, "Year", "Bin").orderBy("Day")
     widest = max(len(k) for k in kernels.values())
@@ -95,13 +97,13 @@ def slide_days(
         whole = (
             F.col(f"_day_{width}") == F.col("Day") - (width - 1) if width > 1 else F.lit(True)
         )
-        size = F.when(whole, whole_div(units, WEIGHT_UNITS * WEIGHT_UNITS))
+        size = F.when(whole, whole_div(units, WEIGHT_UNITS * WEIGHT_UNITS * SIZE_UNITS))
         merged.append(F.struct(F.lit(name).alias("Mode"), size.alias("Bin_Value")))
+    slid = daily.repartition(*series, "Year").withColumns({**back, **first_day})
+    if last_group is not None:
+        slid = slid.filter(F.col("Day") <= last_group)
     return (
-        daily.repartition(*series, "Year")
-        .withColumns({**back, **first_day})
-        .filter(F.col("Day").between(1, last_group))
-        .select(
+        slid.select(
             *series, "Year", F.col("Day").alias("Group"), "Bin", F.inline(F.array(*merged))
         )
         .filter(F.col("Bin_Value").isNotNull())
@@ -114,7 +116,7 @@ def multi_day_window(
     lags: Sequence[Sequence[str]],
     *,
     series: Sequence[str] = SERIES,
-    last_group: int = LAST_GROUP,
+    last_group: int | None = None,
     **day_options,
 ) -> DataFrame:
     """Multi-day merged histograms for one or more day kernels (lag 0 first)."""
@@ -131,13 +133,13 @@ def window_members(
     lags: Sequence[str],
     *,
     series: Sequence[str] = SERIES,
-    last_group: int = LAST_GROUP,
+    last_group: int | None = None,
 ) -> DataFrame:
     """The (day, hour) cells that belong to each window, with their weights.
 
     ``days`` holds calendar cells with (Year, Day, Hour). ``Weight`` is the
     kernel product in units of 1e-8 and ``Index`` numbers the cells of a window
-    from its oldest day on.
+    from its oldest day on. Windows end within the year, or on ``last_group``.
     """
     width, per_day = len(lags), sorted(hours)
     lag_weight = case_of("Lag", dict(enumerate(lag_units(lags))))
@@ -146,7 +148,7 @@ def window_members(
         days.filter(F.col("Hour").isin(per_day))
         .withColumn("Lag", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
         .withColumn("Group", F.col("Day") + F.col("Lag"))
-        .filter(F.col("Group").between(1, last_group))
+        .filter(F.col("Group") <= (year_days() if last_group is None else last_group))
         .withColumn("Weight", hour_weight(hours) * lag_weight)
         .withColumn("Index", (width - 1 - F.col("Lag")) * len(per_day) + position)
     )

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.functions import hour_label, paste, with_hsv_hex
 from huestrata.operators.columns import long_histogram, move_first
 from huestrata.operators.images import pick_first_image
 from huestrata.operators.merge import weighted_day_merge
+from huestrata.operators.reshape import refuse_unless
 from huestrata.operators.stack import colour_styles, stack_bins, stack_shares
 from huestrata.operators.windows import multi_day_window
 from huestrata.schema import GCC, GCC_ATTRIBUTES, HSV, HSV_ATTRIBUTES, SERIES
 
 
 def _long(hist: DataFrame, series: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    return long_histogram(hist, series=series, attributes=_attributes(metrics), metrics=metrics)
+    """All rows of the images: which image is chosen does not depend on the metrics asked for."""
+    return long_histogram(
+        hist, series=series, attributes=_attributes(metrics), metrics=metrics, other_rows=True
+    )
 
 
 def _attributes(metrics: Sequence[str]) -> tuple[str, ...]:
@@ -27,7 +31,8 @@ def _attributes(metrics: Sequence[str]) -> tuple[str, ...]:
 def _stacked(
     df: DataFrame, when: Sequence[str], series: Sequence[str], metrics: Sequence[str]
 ) -> DataFrame:
-    stacked = stack_bins(df, [*series, *when, "Metric_Type"])
+    of_metrics = df.filter(F.col("Metric_Type").isin(list(metrics)))
+    stacked = stack_bins(of_metrics, [*series, *when, "Metric_Type"])
     coloured = colour_styles(stacked, metrics).withColumn("Key", paste(*when, "Bin", "Style"))
     return coloured.select(
         *series, "Style", *when, "Bin", "Metric_Type", "Bin_Value", "Color", "Key", "Y_min", "Y_max"
@@ -43,24 +48,43 @@ def facet_style(cpm: DataFrame) -> DataFrame:
 
 
 def daily_cpm(
-    hist: DataFrame, *, series: Sequence[str] = SERIES, metrics: Sequence[str] = (HSV, GCC)
+    hist: DataFrame,
+    *,
+    series: Sequence[str] = SERIES,
+    metrics: Sequence[str] = (HSV, GCC),
+    pick: str | None = None,
 ) -> DataFrame:
-    """One image per day, the earliest if there are several."""
-    picked = pick_first_image(
-        _long(hist, series, metrics),
-        ("Year", "Day"),
-        series=series,
-        order=("Hour", "Minute", "Camera_ID"),
-    )
-    return _stacked(picked, ("Year", "Day"), series, metrics)
+    """One column per day, from the one image of the day.
+
+    Several images of a day have the same keys, so they are refused when the
+    result is computed. ``pick="earliest"`` takes the earliest of them instead.
+    """
+    if pick not in (None, "earliest"):
+        raise ValueError("pick is None or 'earliest'")
+    long, day = _long(hist, series, metrics), ("Year", "Day")
+    order = [c for c in ("Hour", "Minute", "Camera_ID") if c not in series]
+    if pick is None:
+        image, key = F.struct(*order), Window.partitionBy(*series, *day)
+        one = F.min(image).over(key).eqNullSafe(F.max(image).over(key))
+        long = (
+            long.repartition(*series, *day)
+            .withColumn("_one", one)
+            .filter(refuse_unless("_one", "daily_cpm: several images of one day"))
+            .drop("_one")
+        )
+    picked = pick_first_image(long, day, series=series, order=order)
+    return _stacked(picked, day, series, metrics)
 
 
 def noon_cpm(
     hist: DataFrame, *, hour: int = 12, series: Sequence[str] = SERIES,
     metrics: Sequence[str] = (HSV, GCC),
 ) -> DataFrame:
-    """One column per day from the images of a single hour."""
-    return facet_style(daily_cpm(hist.filter(F.col("Hour") == hour), series=series, metrics=metrics))
+    """One column per day from the earliest image of a single hour."""
+    noon = daily_cpm(
+        hist.filter(F.col("Hour") == hour), series=series, metrics=metrics, pick="earliest"
+    )
+    return facet_style(noon)
 
 
 def hourly_cpm(
@@ -88,10 +112,9 @@ def weighted_cpm(
         series=series,
         require_hours=require_hours,
         attributes=_attributes(metrics),
-        # The images of both metrics count towards the hours of a day.
-        metrics=metrics if require_hours is None else (HSV, GCC),
+        metrics=metrics,
         listed_hours_only=listed_hours_only,
-    ).filter(F.col("Metric_Type").isin(list(metrics)))
+    )
     return _stacked(merged, ("Year", "Day"), series, metrics)
 
 
@@ -115,7 +138,7 @@ def window_cpm(
 
 
 def share_cpm(
-    shares: DataFrame, *, low: int = 30, high: int = 50,
+    shares: DataFrame, *, low: int, high: int,
     keys: Sequence[str] = ("database", "year", "sequence"),
 ) -> DataFrame:
     """Cumulative shares of the bins ``low <= variable < high`` of each day.

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from huestrata.functions import as_integer, case_of, hour_weight
 from huestrata.operators.columns import long_histogram
-from huestrata.operators.groups import keep_groups_by_sum
 from huestrata.operators.images import pick_first_image
 from huestrata.operators.merge import listed_hours
-from huestrata.operators.reshape import calendar_grid, complete_grid
+from huestrata.operators.reshape import calendar_grid, complete_grid, refuse_unless
 from huestrata.operators.windows import window_members
 from huestrata.schema import (
     GCC,
@@ -21,6 +20,7 @@ from huestrata.schema import (
     SERIES,
     WEIGHT_UNITS,
 )
+from huestrata.sources.files import weight_table
 
 
 def parse_image_name(df: DataFrame, name: str = "Name") -> DataFrame:
@@ -47,12 +47,20 @@ def parse_image_name(df: DataFrame, name: str = "Name") -> DataFrame:
 def mean_coefficients(green: DataFrame, red: DataFrame) -> DataFrame:
     """Mean green and red coefficient per image, matched by image name.
 
-    A coefficient depends on the image alone, so copies of a name on the red
-    side are folded into one row before the join: every green row gets its one
-    partner and repeated names do not multiply.
+    A coefficient depends on the image alone, so equal copies of a name on the
+    red side are folded into one row before the join, and unequal ones are
+    refused. Names found on one side only stay, without the other coefficient.
     """
-    one_red = red.groupBy("Name").agg(F.min("MeanRcc").alias("MeanRcc"))
-    return parse_image_name(green.select("Name", "MeanGcc").join(one_red, "Name", "left"))
+    one_red = (
+        red.groupBy("Name")
+        .agg(
+            F.min("MeanRcc").alias("MeanRcc"),
+            F.min("MeanRcc").eqNullSafe(F.max("MeanRcc")).alias("_equal"),
+        )
+        .filter(refuse_unless("_equal", "mean_coefficients: unequal red values for one name"))
+        .drop("_equal")
+    )
+    return parse_image_name(green.select("Name", "MeanGcc").join(one_red, "Name", "full"))
 
 
 def bin_distribution(
@@ -76,26 +84,32 @@ def bin_distribution(
 
 
 def timing_summary(samples: DataFrame, keys: Sequence[str] = ("cores", "dataset")) -> DataFrame:
-    """Mean run time in minutes and three standard errors, from milliseconds."""
+    """Mean run time in minutes and three standard errors, from milliseconds.
+
+    One unknown sample makes both unknown.
+    """
     minutes = F.col("exectime") / 1000 / 60
     error = F.stddev_samp(minutes) * 3 / F.sqrt(F.count(F.lit(1)))
+    known = F.count("exectime") == F.count(F.lit(1))
     return samples.groupBy(*keys).agg(
-        F.avg(minutes).alias("avgMinutes"), error.alias("errorMinutes")
+        F.when(known, F.avg(minutes)).alias("avgMinutes"), F.when(known, error).alias("errorMinutes")
     )
 
 
 def weight_profile(
     hist: DataFrame, weights: Mapping[int, str], *, series: Sequence[str] = SERIES
 ) -> DataFrame:
-    """Weight of each listed hour, its place in the list and the days imaged then."""
+    """Weight of each listed hour, its place in the list and the days imaged then, 0 included."""
     hours = sorted(weights)
     level = case_of("Hour", {hour: place for place, hour in enumerate(hours, start=1)})
     images = hist.filter(F.col("Hour").isin(hours)).select(*series, "Year", "Day", "Hour").distinct()
-    return images.groupBy("Hour").agg(F.count(F.lit(1)).alias("Days")).select(
+    days = images.groupBy("Hour").agg(F.count(F.lit(1)).alias("Days"))
+    listed = weight_table(hist.sparkSession, weights).select("Hour")
+    return listed.join(days, "Hour", "left").select(
         "Hour",
         level.alias("Level"),
         (hour_weight(weights) / float(WEIGHT_UNITS)).alias("Weight"),
-        "Days",
+        F.coalesce("Days", F.lit(0)).alias("Days"),
     )
 
 
@@ -106,24 +120,24 @@ def kernel_profile(
     *,
     series: Sequence[str] = SERIES,
     minute: int = 0,
+    days: int | None = None,
+    last_group: int | None = None,
 ) -> DataFrame:
     """Weight of every cell of every full window and whether it was imaged.
 
-    Windows cut off by the start of the year are left out because their
-    weights do not add up to 1.
+    Windows cut off by the start of the year are left out: their weights do not
+    add up to 1. The calendar holds every cell, so a window is full when it ends
+    as many days into the year as it is wide.
     """
     images = hist.filter(F.col("Minute") == minute).select(
         *series, "Year", "Day", "Hour", "Minute"
     ).distinct()
-    grid = calendar_grid(hist.select(*series, "Year").distinct(), sorted(hours))
+    grid = calendar_grid(hist.select(*series, "Year").distinct(), sorted(hours), days)
     cells = complete_grid(
         grid, images.withColumn("_seen", F.lit(1)), [*series, "Year", "Day", "Hour", "Minute"]
     )
-    members = window_members(cells, hours, lags, series=series)
-    full = keep_groups_by_sum(
-        members, [*series, "Year", "Group"], "Weight", WEIGHT_UNITS * WEIGHT_UNITS
-    )
-    return full.select(
+    members = window_members(cells, hours, lags, series=series, last_group=last_group)
+    return members.filter(F.col("Group") >= len(lags)).select(
         *series,
         "Year",
         "Group",

@@ -23,18 +23,22 @@ def hourly_distance(
     match_on: Sequence[str] = ("Year", "Day"),
     listed_hours_only: bool = True,
     skip_first_bin: bool = True,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Distance of every hourly image from its merged day.
 
     ``require_hours`` leaves out days without that many imaged hours. With
     ``match_on=("Day",)`` a day of the year that is complete in any year keeps
     its images in all years, and images of incomplete days get distance 0.
+    ``extra`` splits a day, by ``Considered_Pixels`` for instance.
     """
     if tuple(match_on) not in {("Year", "Day"), ("Day",)}:
         raise ValueError("match_on is ('Year', 'Day') or ('Day',)")
-    images = hourly_images(hist, weights, series=series, listed_hours_only=listed_hours_only)
+    images = hourly_images(
+        hist, weights, series=series, listed_hours_only=listed_hours_only, extra=extra
+    )
     images = images.select(
-        *series, "Year", "Day", "Hour", "Metric_Type", "Bin", "Bin_Value", "Weight"
+        *series, "Year", "Day", "Hour", *extra, "Metric_Type", "Bin", "Bin_Value", "Weight"
     )
     keep = ["Weight"]
     by_day_only = require_hours is not None and tuple(match_on) == ("Day",)
@@ -46,11 +50,11 @@ def hourly_distance(
             keep.append("_complete")
         else:
             images = images.filter("_complete").drop("_complete")
-    pairs = pair_with_day(images, series=series)
+    pairs = pair_with_day(images, series=series, extra=extra)
     if by_day_only:
         pairs = pairs.withColumn("Q", F.when(F.col("_complete"), F.col("Q")))
     distances = earth_movers_distance(
-        pairs, series=series, keep=keep, skip_first_bin=skip_first_bin
+        pairs, series=series, keep=keep, extra=extra, skip_first_bin=skip_first_bin
     )
     if by_day_only:
         same_day = Window.partitionBy(*series, "Day")
@@ -63,10 +67,16 @@ def hourly_distance(
 
 
 def uncertainty(
-    hist: DataFrame, weights: Mapping[int, str], *, series: Sequence[str] = SERIES, **options
+    hist: DataFrame,
+    weights: Mapping[int, str],
+    *,
+    series: Sequence[str] = SERIES,
+    extra: Sequence[str] = (),
+    **options,
 ) -> DataFrame:
     """Absolute uncertainty ``Q`` per day and metric."""
-    return day_uncertainty(hourly_distance(hist, weights, series=series, **options), series=series)
+    distances = hourly_distance(hist, weights, series=series, extra=extra, **options)
+    return day_uncertainty(distances, series=series, extra=extra)
 
 
 def relative_uncertainty(

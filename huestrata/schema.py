@@ -19,6 +19,18 @@ GCC = "Gcc"
 #: One time series per camera. Jobs that pool cameras pass ("Dataset",).
 SERIES = ("Dataset", "Camera_ID")
 
+TIMING_SCHEMA = T.StructType(
+    [T.StructField("cores", T.IntegerType()), T.StructField("exectime", T.DoubleType())]
+)
+
+HSV_ATTRIBUTES = ("HSV_SMean", "HSV_VMean", "HSV_SMode", "HSV_VMode")
+GCC_ATTRIBUTES = ("Gcc_Mean_R", "Gcc_Mean_G", "Gcc_Mean_B")
+ATTRIBUTES = HSV_ATTRIBUTES + GCC_ATTRIBUTES
+
+# ---------------------------------------------------------------------------
+# Columns of the histogram files, bin counts, weights per hour and
+# weights per day lag. Every weight list sums to 1.
+# ---------------------------------------------------------------------------
 HISTOGRAM_SCHEMA = T.StructType(
     [
         T.StructField("Dataset", T.StringType()),
@@ -43,18 +55,6 @@ HISTOGRAM_SCHEMA = T.StructType(
     ]
 )
 
-TIMING_SCHEMA = T.StructType(
-    [T.StructField("cores", T.IntegerType()), T.StructField("exectime", T.DoubleType())]
-)
-
-HSV_ATTRIBUTES = ("HSV_SMean", "HSV_VMean", "HSV_SMode", "HSV_VMode")
-GCC_ATTRIBUTES = ("Gcc_Mean_R", "Gcc_Mean_G", "Gcc_Mean_B")
-ATTRIBUTES = HSV_ATTRIBUTES + GCC_ATTRIBUTES
-
-# ---------------------------------------------------------------------------
-# Bin counts, weights per hour and weights per day lag.
-# Every weight list sums to 1.
-# ---------------------------------------------------------------------------
 BIN_COUNT = {HSV: 360, GCC: 100}
 
 HOURS_9_TO_15 = {9: "0.05", 10: "0.05", 11: "0.1", 12: "0.3", 13: "0.3", 14: "0.15", 15: "0.05"}
@@ -78,9 +78,9 @@ KERNEL_LAGS_5 = ("0.2", "0.2", "0.2", "0.2", "0.2")
 KERNEL_LAGS_7 = ("0.2", "0.15", "0.15", "0.15", "0.15", "0.1", "0.1")
 KERNEL_LAGS_10 = ("0.15", "0.1", "0.1", "0.1", "0.1", "0.1", "0.1", "0.1", "0.1", "0.05")
 
-#: Windows end on days 1..357 of a 365-day year.
-LAST_GROUP = 357
-DAYS_IN_YEAR = 365
+#: The published window figures end on days 1..357 of a 365-day year. Nothing else is cut there.
+FIGURE_LAST_GROUP = 357
+FIGURE_DAYS = 365
 # ---------------------------------------------------------------------------
 
 #: Weights are kept as whole numbers of ten-thousandths, so that weighted sums
@@ -88,6 +88,9 @@ DAYS_IN_YEAR = 365
 #: any partitioning.
 WEIGHT_UNITS = 10_000
 
+#: Sizes are weighted as whole thousandths of a pixel, and truncated after that.
+SIZE_UNITS = 1_000
+
 #: Colour attributes are summed as whole billionths, for the same reason.
 ATTRIBUTE_UNITS = 1_000_000_000
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,22 @@ from huestrata.schema import HISTOGRAM_SCHEMA, TIMING_SCHEMA
 def _text_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text under its header name; empty and ``NA`` are NULL.
 
-    No schema is given to the reader, because it would be matched by position.
+    The reader matches columns by position, so files are read in groups of equal
+    headers, which are then matched by name. A file's header is its first line;
+    nothing else of the files is read to group them.
     """
-    df = spark.read.option("header", True).csv(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.format("binaryFile").load(path).select("path").collect():
+        header = spark.read.option("header", True).csv(file.path).columns
+        if header:
+            groups.setdefault(tuple(header), []).append(file.path)
+    if not groups:
+        raise ValueError(f"no file in {path}")
+    parts = [
+        spark.read.option("header", True).schema(_texts(header)).csv(files)
+        for header, files in groups.items()
+    ]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return df.select(
         *[
             F.when(~F.trim(F.col(f"`{c}`")).isin("", "NA"), F.col(f"`{c}`")).alias(c)
@@ -28,6 +42,10 @@ def _text_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _texts(header: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in header])
+
+
 def _typed(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.IntegerType):
         return as_integer(field.name).alias(field.name)
@@ -40,7 +58,7 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_histogram_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Histogram CSV, plain or gzip, in any column order.
+    """Histogram CSV, plain or gzip, in any column order, which may differ from file to file.
 
     A gzip file is one scan task; convert it once with ``write_histograms``.
     """
@@ -50,11 +68,12 @@ def read_histogram_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_histograms(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet by Dataset and Year, sorted within files by image and bin.
 
-    The rebalance hint lets Spark split a large year over several files and
+    Copies of a row are folded first, with a map-side stage. The rebalance hint lets Spark split a large year over several files and
     join small ones, so one busy camera does not become one task.
     """
     (
-        df.hint("rebalance", "Dataset", "Year")
+        df.distinct()
+        .hint("rebalance", "Dataset", "Year")
         .sortWithinPartitions("Dataset", "Year", "Camera_ID", "Day", "Hour", "Minute")
         .write.mode(mode)
         .partitionBy("Dataset", "Year")
@@ -154,10 +173,13 @@ def write_table(
     order: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
-    """Sink of a figure-ready table, sorted over all files if an order is given.
+    """Sink of a figure-ready table, one folder for each value of ``by``.
 
-    The sort is a range sort, so no task sees more than its own range.
+    Rows with the same ``by`` are brought together, large groups in several
+    files, and each file is sorted by ``order``.
     """
+    if by:
+        df = df.hint("rebalance", *by)
     if order:
-        df = df.orderBy(*order)
+        df = df.sortWithinPartitions(*by, *order)
     df.write.mode(mode).partitionBy(*by).parquet(path)

@@ -21,17 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = False) -> DataFrame:
+def events_histogram(
+    spark: SparkSession, sf_dir: str, *, dense: bool = False, hours: str = "all"
+) -> DataFrame:
     """Both metrics, one year, two images per camera and hour.
 
     With ``dense`` every image has all its bins, the empty ones with size 0 and
-    unknown colours.
+    unknown colours. ``hours="noon"`` puts all events of a day into one image at
+    12:00. ``hours="day"`` puts them into the hours 8 to 18, but for every
+    fourteenth day, which keeps its images at night.
     """
+    hour = {
+        "all": F.hour("ts"),
+        "noon": F.lit(12),
+        "day": F.when(F.dayofyear("ts") % 14 == 13, F.hour("ts")).otherwise(F.hour("ts") % 11 + 8),
+    }[hours]
+    minute = F.when(F.minute("ts") < 45, 0).otherwise(45)
     events = table(spark, sf_dir, "events").select(
         F.expr("user_id div 75").alias("_camera"),
         F.to_date("ts").alias("_date"),
-        F.hour("ts").alias("Hour"),
-        F.when(F.minute("ts") < 45, 0).otherwise(45).alias("Minute"),
+        hour.alias("Hour"),
+        (F.lit(0) if hours == "noon" else minute).alias("Minute"),
         F.inline(
             F.array(
                 F.struct(

@@ -65,6 +65,53 @@ def test_pooled_cameras_take_the_earliest_then_the_first_camera(spark):
     assert len(rows_of(pick_first_image(long), "Camera_ID", "Bin")) == 2
 
 
+def test_an_unknown_minute_comes_last_pooled_or_not(spark):
+    rows = [hue_row(2016, 1, 10, 0, 20, minute=None), hue_row(2016, 1, 10, 0, 10, minute=59)]
+    long = collapse_metric(histogram(spark, rows).drop("Considered_Pixels"), ())
+    for series in (("Dataset", "Camera_ID"), ("Dataset",)):
+        assert rows_of(pick_first_image(long, series=series), "Bin_Value") == [(10,)]
+
+
+def test_several_images_of_a_day_are_refused_unless_asked(spark):
+    rows = [hue_row(2016, 1, 9, 0, 10), hue_row(2016, 1, 12, 0, 20), hue_row(2016, 2, 9, 0, 5)]
+    hist = histogram(spark, rows)
+    with pytest.raises(Exception, match="several images of one day"):
+        hs.daily_cpm(hist, metrics=("HSV",)).collect()
+    early = hs.daily_cpm(hist, metrics=("HSV",), pick="earliest").filter("Style = 'H'")
+    assert rows_of(early, "Day", "Bin_Value") == [(1, 10), (2, 5)]
+    copies = hs.daily_cpm(hist.filter("Hour = 9").union(hist.filter("Hour = 9")), metrics=("HSV",))
+    assert rows_of(copies.filter("Style = 'H'"), "Day", "Bin_Value") == [(1, 10), (2, 5)]
+    with pytest.raises(ValueError):
+        hs.daily_cpm(hist, pick="latest")
+
+
+def test_the_image_does_not_depend_on_the_metrics_asked_for(spark):
+    rows = [hue_row(2016, 1, 10, 0, 5, minute=0), green_row(2016, 1, 10, 3, 9, minute=30)]
+    hist = histogram(spark, rows)
+    assert hs.hourly_cpm(hist, metrics=("Gcc",)).count() == 0
+    assert hs.hourly_cpm(hist).filter("Metric_Type = 'Gcc'").count() == 0
+    one = {10: "1"}
+    for hours in (None, 1):
+        assert hs.weighted_cpm(hist, one, metrics=("Gcc",), require_hours=hours).count() == 0
+
+
+def test_parts_of_a_pixel_are_cut_after_weighting(spark):
+    rows = [hue_row(2016, 1, 10, 0, 1.9), hue_row(2016, 1, 11, 0, 2.9)]
+    rows += [hue_row(2016, 1, 10, 10, 0.25), hue_row(2016, 1, 11, 10, 0.25)]
+    hist = histogram(spark, rows)
+    half = {10: "0.5", 11: "0.5"}
+    assert rows_of(hs.weighted_day_merge(hist, half, attributes=()), "Bin", "Bin_Value") == [(0, 2), (10, 0)]
+    # the second bin: 0.25 of the image against 0 of the day
+    assert {r.Distance for r in hourly_distance(hist, half).collect()} == {0.25}
+
+
+def test_area_splits_the_day_of_a_distance(spark):
+    rows = [hue_row(2016, 1, h, b, v, pixels=p) for h, p in ((10, 90), (11, 95)) for b, v in ((0, 4), (10, h))]
+    level = uncertainty(histogram(spark, rows), {10: "0.5", 11: "0.5"}, extra=("Considered_Pixels",))
+    # each part is merged from one image at half weight: 5 and 5.5, cut to 5
+    assert rows_of(level, "Considered_Pixels", "Q") == [(90, 5 * 0.5 / 360), (95, 6 * 0.5 / 360)]
+
+
 def test_copies_of_a_row_count_once(spark):
     rows = [hue_row(2016, 1, h, b, 4) for h in TWO_HOURS for b in (0, 1)] * 50
     merged = hs.weighted_day_merge(histogram(spark, rows).repartition(7), TWO_HOURS, attributes=())

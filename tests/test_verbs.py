@@ -17,13 +17,14 @@ from huestrata.operators.groups import (
 from huestrata.operators.reshape import (
     calendar_grid,
     complete_grid,
+    ordered_keys,
     pivot_bins,
     union_tagged,
     unpivot_columns,
     with_row_index,
     zip_rows,
 )
-from tests.helpers import rows_of
+from tests.helpers import histogram, hue_row, rows_of
 
 
 @pytest.mark.parametrize(
@@ -90,6 +91,18 @@ def test_coefficients_of_repeated_names_do_not_multiply(spark):
     assert got.select("MeanGcc", "MeanRcc", "Year", "Hour").distinct().collect() == [(0.4, 0.3, 2006, 9)]
 
 
+def test_unequal_coefficients_of_one_name_are_refused(spark):
+    green = spark.createDataFrame([("dc_2006_1_0900_s__c.jpg", 0.4)], "Name string, MeanGcc double")
+    red = spark.createDataFrame(
+        [("dc_2006_1_0900_s__c.jpg", 0.3), ("dc_2006_1_0900_s__c.jpg", 0.2)], "Name string, MeanRcc double"
+    )
+    with pytest.raises(Exception, match="unequal red values"):
+        hs.mean_coefficients(green, red).collect()
+    other = spark.createDataFrame([("dc_2006_2_0900_s__c.jpg", 0.2)], "Name string, MeanRcc double")
+    got = hs.mean_coefficients(green, other)
+    assert sorted((r.Day, r.MeanGcc, r.MeanRcc) for r in got.collect()) == [(1, 0.4, None), (2, None, 0.2)]
+
+
 def test_column_choices_ignore_case(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "Day int, Gcc_Bin int, HSV_H int, HSV_SMean int")
     assert drop_containing(df, "gcc", "mean").columns == ["Day", "HSV_H"]
@@ -105,6 +118,19 @@ def test_pivot_and_unpivot_are_inverse(spark):
     assert rows_of(long, "k", "Bin", "Bin_Value") == [("a", "0", 1), ("a", "2", 3), ("b", "1", 5)]
 
 
+@pytest.mark.parametrize("rows", [[("a", 0, 5), ("a", 0, 9)], [("a", 0, 5), ("a", 7, 1)], [("a", None, 5)]])
+def test_pivot_refuses_what_it_would_lose(spark, rows):
+    df = spark.createDataFrame(rows, "k string, Bin int, Bin_Value int")
+    with pytest.raises(Exception, match="a bin twice for one key, or a bin that is not listed"):
+        pivot_bins(df, ["k"], range(3)).collect()
+
+
+def test_pivot_of_many_bins(spark):
+    df = spark.createDataFrame([("a", b, b) for b in range(0, 200, 3)], "k string, Bin int, Bin_Value int")
+    row = pivot_bins(df, ["k"], range(200)).first()
+    assert [row[f"X{b}"] for b in range(200)] == [b if b % 3 == 0 else None for b in range(200)]
+
+
 def test_union_matches_by_name_and_keeps_copies(spark):
     a = spark.createDataFrame([(1, 2.0), (1, 2.0)], "cores int, exectime double")
     b = spark.createDataFrame([(9.0, 4)], "exectime double, cores int")
@@ -118,6 +144,21 @@ def test_timing_summary(spark):
     got = {r.cores: (r.avgMinutes, r.errorMinutes) for r in hs.timing_summary(df).collect()}
     assert got[4] == pytest.approx((2.0, 3 / math.sqrt(3)))
     assert got[8] == (1.0, None)
+    gap = spark.createDataFrame([("A", 4, 60000.0), ("A", 4, None)], df.schema)
+    assert [(r.avgMinutes, r.errorMinutes) for r in hs.timing_summary(gap).collect()] == [(None, None)]
+
+
+def test_listed_hours_without_images_stay_in_the_profile(spark):
+    hist = histogram(spark, [hue_row(2016, d, h, 0, 4) for d in (1, 2) for h in (9, 10)])
+    got = hs.weight_profile(hist, {9: "0.25", 10: "0.25", 11: "0.5"})
+    assert rows_of(got, "Hour", "Level", "Weight", "Days") == [(9, 1, 0.25, 2), (10, 2, 0.25, 2), (11, 3, 0.5, 0)]
+
+
+def test_ordinals_of_unique_keys(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "k string, n int")
+    assert rows_of(ordered_keys(df, ["k", "n"]), "Ordinal", "k", "n") == [(1, "a", 1), (2, "a", 2), (3, "b", 1)]
+    with pytest.raises(ValueError, match="2 rows for"):
+        ordered_keys(df, ["k"])
 
 
 def test_row_index_is_gapless_and_ordered(spark):
@@ -136,8 +177,12 @@ def test_row_index_spreads_copies_of_one_key(spark):
 
 def test_zip_rows(spark):
     a = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "x int, l string")
-    b = spark.createDataFrame([(20, "q"), (10, "p")], "y int, m string")
-    assert rows_of(zip_rows(a, b, ["x"], ["y"]), "Index", "l", "m") == [(1, "a", "p"), (2, "b", "q")]
+    b = spark.createDataFrame([(20, "q"), (10, "p"), (30, "r")], "y int, m string")
+    assert rows_of(zip_rows(a, b, ["x"], ["y"]), "Index", "l", "m") == [
+        (1, "a", "p"), (2, "b", "q"), (3, "c", "r"),
+    ]
+    with pytest.raises(ValueError, match="3 and 2 rows"):
+        zip_rows(a, b.filter("y < 30"), ["x"], ["y"])
     with pytest.raises(ValueError):
         zip_rows(a, a, ["x"], ["x"])
 
@@ -147,6 +192,8 @@ def test_grid_and_completion(spark):
     grid = calendar_grid(years, [10, 11], days=3)
     assert grid.count() == 12
     seen = spark.createDataFrame([(2012, 2, 11, "x")], "Year int, Day int, Hour int, img string")
+    year = calendar_grid(years, [10])
+    assert year.groupBy("Year").count().orderBy("Year").collect() == [(2012, 366), (2013, 365)]
     got = complete_grid(grid, seen, ["Year", "Day", "Hour"])
     assert got.count() == 12 and got.filter("img is not null").count() == 1
 

@@ -4,6 +4,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import huestrata as hs
 from huestrata import schema as S
@@ -96,18 +97,37 @@ def _full_year(year=2016):
     return [hue_row(year, d, h, 0, 10) for d in range(1, 367) for h in range(10, 15)]
 
 
-def test_windows_end_on_day_357_and_do_not_cross_years(spark):
+def test_windows_end_with_the_year_and_do_not_cross_it(spark):
     rows = _full_year(2015) + _full_year(2016)
     got = hs.multi_day_window(histogram(spark, rows), S.KERNEL_HOURS_10_TO_14, [S.KERNEL_LAGS_3])
     groups = {}
     for r in got.collect():
         groups.setdefault(r.Year, []).append(r.Group)
         assert r.Bin_Value == 10
-    assert {y: (min(g), max(g)) for y, g in groups.items()} == {2015: (3, 357), 2016: (3, 357)}
-    late = hs.multi_day_window(
-        histogram(spark, rows), S.KERNEL_HOURS_10_TO_14, [S.KERNEL_LAGS_3], last_group=400
+    assert {y: (min(g), max(g)) for y, g in groups.items()} == {2015: (3, 366), 2016: (3, 366)}
+    cut = hs.multi_day_window(
+        histogram(spark, rows), S.KERNEL_HOURS_10_TO_14, [S.KERNEL_LAGS_3],
+        days=S.FIGURE_DAYS, last_group=S.FIGURE_LAST_GROUP,
     )
-    assert max(r.Group for r in late.collect()) == 365
+    assert max(r.Group for r in cut.collect()) == 357
+
+
+def test_the_last_days_of_a_year_have_windows(spark):
+    rows = [hue_row(2016, d, h, 0, 10) for d in range(355, 367) for h in range(10, 15)]
+    got = hs.multi_day_window(histogram(spark, rows), S.KERNEL_HOURS_10_TO_14, [S.KERNEL_LAGS_3])
+    assert [g for (g,) in rows_of(got, "Group")] == list(range(357, 367))
+    profile = hs.kernel_profile(histogram(spark, rows))
+    assert profile.agg(F.max("Group"), F.max("Day")).first() == (366, 366)
+    assert profile.filter("Group = 366 AND Imaged").count() == 15
+    per_window = profile.groupBy("Group").agg(F.sum("Weight").alias("w")).collect()
+    assert {round(r.w, 9) for r in per_window} == {1.0} and len(per_window) == 364
+
+
+def test_windows_cut_after_weighting(spark):
+    rows = [hue_row(2016, d, h, 0, 1.9) for d in range(1, 4) for h in range(10, 15)]
+    rows += [hue_row(2016, d, h, 10, 0.5) for d in range(1, 4) for h in range(10, 15)]
+    got = hs.multi_day_window(histogram(spark, rows), S.KERNEL_HOURS_10_TO_14, [S.KERNEL_LAGS_3])
+    assert rows_of(got, "Bin", "Bin_Value") == [(0, 1), (10, 0)]
 
 
 def test_days_need_enough_images_of_any_hour_and_minute_zero(spark):
