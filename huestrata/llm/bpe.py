@@ -1,4 +1,4 @@
-"""Byte-level BPE by replaying the merges over the words of the whole corpus."""
+"""Byte-level BPE by replaying the merges over all words of a block of the corpus."""
 
 from __future__ import annotations
 
@@ -9,19 +9,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.llm.chunks import pieces
-from huestrata.llm.common import Memo, stored
 
-#: Rows of an input partition that share a dictionary: 2 to the power of this.
-BLOCK_BITS = 11
+#: Characters of text whose words are replayed together, about.
+BLOCK_CHARS = 8_000_000
 
-#: Words whose merges are replayed together.
-REPLAY_WORDS = 100_000
+#: Bytes of a word from which on it is merged on its own.
+LONG_WORD = 64
+
+#: Words, and pieces of text, after which a task forgets what it knows. Bounds its memory, never its results.
+MEMO_ENTRIES = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -32,15 +33,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
-def replay(words: Sequence[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of every word. Merges are applied to all words together, lowest rank first.
-
-    All words lie in one linked list of symbols. ``at`` is the inverted index
-    from the rank of a pair to the places of its left symbols; a merge takes its
-    places out and enters only the two pairs that the merged symbol forms with
-    its neighbours. If one of these has a lower rank, it goes first, and the
-    places left over wait. A word that is a token as it stands is that token.
-    """
+def _linked(words: Sequence[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """``replay`` for long words, one place at a time: a repeated pair costs no round of its own."""
     symbols: list[bytes] = []
     following: list[int] = []
     before: list[int] = []
@@ -69,8 +63,16 @@ def replay(words: Sequence[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                 heapq.heappush(waiting, rank)
         return rank
 
-    for left in range(len(symbols)):
-        enter(left)
+    for left, right in enumerate(following):
+        if right >= 0:
+            rank = ranks.get(symbols[left] + symbols[right])
+            if rank is not None:
+                if rank in at:
+                    at[rank].append(left)
+                else:
+                    at[rank] = [left]
+    waiting += at
+    heapq.heapify(waiting)
     merged_away = bytearray(len(symbols))
     while waiting:
         rank = heapq.heappop(waiting)
@@ -105,96 +107,170 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def encode(
-    docs: DataFrame,
-    ranks: str,
-    pattern: str,
-    *,
-    text: str = "text",
-    keep: Sequence[str] = ("doc_id",),
-    ids: str = "ids",
-) -> DataFrame:
-    """Columns ``keep`` and the ids of every whole text, as little-endian unsigned 32-bit integers.
-
-    1. Blocks of rows, as they lie in the input, give their distinct words.
-    2. The distinct words of the whole corpus are replayed, split by word.
-    3. Each block gets the ids of its words, and its texts are put together.
-    So a word is merged once, however often it occurs, and a block's dictionary
-    is as large as its own vocabulary. Null counts as empty, empty texts give no
-    ids, and repeated rows stay. Rows need no key: a block is a place in the
-    input. If a lost input is split otherwise the second time, words that a
-    block's dictionary lacks are replayed in place.
+@lru_cache(maxsize=2)
+def _pairs(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs of tokens (left * 2**32 + right) whose bytes together are a token, and its rank."""
+    ranks = read_ranks(path)
+    found = [
+        (left << 32 | right, rank)
+        for token, rank in ranks.items()
+        for i in range(1, len(token))
+        if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None
+    ]
+    table = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+
+
+def replay(words: Sequence[bytes], path: str) -> list[bytes]:
+    """Packed ids of every word. Merges are applied to all words together, lowest rank first.
+
+    All words lie in one linked list of symbols. ``at`` is the inverted index
+    from the rank of a pair to the places of its left symbols. A merge is applied
+    to all its places at once and enters only the two pairs that a merged symbol
+    forms with its neighbours. A word takes part in a merge once, at its first
+    place; its other places wait, since a new pair of lower rank would go first.
+    A word that is a token as it stands is that token.
     """
-    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
-    rows = docs.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).withColumn("block", block)
+    ranks = read_ranks(path)
+    out: list[bytes | None] = [None] * len(words)
+    rest = []
+    for i, word in enumerate(words):
+        if not word or word in ranks:
+            out[i] = _packed([ranks[word]] if word else [])
+        elif len(word) > LONG_WORD:
+            out[i] = _packed(_linked([word], ranks)[0])
+        else:
+            rest.append(i)
+    if not rest:
+        return out
+    keys, values = _pairs(path)
+    single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+    lengths = np.array([len(words[i]) for i in rest])
+    token = single[np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)]
+    word_of = np.repeat(np.arange(len(rest)), lengths)
+    place = np.arange(len(token))
+    after, before = place + 1, place - 1
+    ends = np.cumsum(lengths)
+    after[ends - 1] = -1
+    before[ends - lengths] = -1
+
+    def rank_of(left: np.ndarray) -> np.ndarray:
+        """Rank of the pairs that start at some places, -1 for none."""
+        pair = token[left] << 32 | token[after[left]]
+        spot = np.searchsorted(keys, pair)
+        spot[spot == len(keys)] = 0
+        return np.where(keys[spot] == pair, values[spot], -1)
+
+    left = place[after >= 0]
+    found = rank_of(left)
+    left, found = left[found >= 0], found[found >= 0]
+    order = np.argsort(found, kind="stable")
+    left, found = left[order], found[order]
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    at = dict(zip(found[starts].tolist(), (x.tolist() for x in np.split(left, starts[1:]))))
+    waiting = sorted(at)
+    while waiting:
+        rank = heapq.heappop(waiting)
+        places = np.unique(np.array(at.pop(rank)))
+        places = places[(token[places] >= 0) & (after[places] >= 0)]
+        places = places[rank_of(places) == rank]
+        if not len(places):
+            continue
+        own = word_of[places]
+        first = np.append(True, own[1:] != own[:-1])
+        if not first.all():
+            at[rank] = places[~first].tolist()
+            heapq.heappush(waiting, rank)
+            places = places[first]
+        right = after[places]
+        behind = after[right]
+        token[places], token[right] = rank, -1
+        after[places] = behind
+        inner = behind >= 0
+        before[behind[inner]] = places[inner]
+        ahead = before[places]
+        new = np.concatenate([ahead[ahead >= 0], places[inner]])
+        ranks_of_new = rank_of(new)
+        there = ranks_of_new >= 0
+        for r, p in zip(ranks_of_new[there].tolist(), new[there].tolist()):
+            if r in at:
+                at[r].append(p)
+            else:
+                at[r] = [p]
+                heapq.heappush(waiting, r)
+    kept = token >= 0
+    packed = token[kept].astype("<u4").tobytes()
+    bounds = np.append(0, np.cumsum(np.bincount(word_of[kept], minlength=len(rest)))) * 4
+    for i, start, end in zip(rest, bounds[:-1].tolist(), bounds[1:].tolist()):
+        out[i] = packed[start:end]
+    return out
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern)
-        # Rows of a block follow one another, so one block's words are held at a time.
-        current, met, words = None, set(), set()
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"block": pa.array([current] * len(words), pa.int64()), "word": pa.array([w.encode() for w in words], pa.binary())})
+class BlockEncoder:
+    """Packed ids of texts, the words of a block of texts at a time.
 
+    The distinct words of a block that are not known yet are replayed together.
+    What is known is kept up to a bound, for the blocks that follow.
+    """
+
+    def __init__(self, ranks: str, pattern: str):
+        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.words: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+
+    def _learn(self, texts: list[str]) -> None:
+        for known in (self.words, self.inner):
+            if len(known) > MEMO_ENTRIES:
+                known.clear()
+        new: set[str] = set()
+        words: set[str] = set()
+        for text in texts:
+            first, *rest = pieces(text)
+            words.update(self.split.findall(first))
+            new.update(rest)
+        new.difference_update(self.inner)
+        parts = {piece: self.split.findall(" " + piece) for piece in new}
+        for found in parts.values():
+            words.update(found)
+        words.difference_update(self.words)
+        ordered = list(words)
+        ids = replay([w.encode() for w in ordered], self.ranks)
+        self.words.update(zip(ordered, ids))
+        for piece, found in parts.items():
+            self.inner[piece] = b"".join(map(self.words.__getitem__, found))
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        self._learn(texts)
+        for text in texts:
+            first, *rest = pieces(text)
+            start = b"".join(map(self.words.__getitem__, self.split.findall(first)))
+            yield start + b"".join(map(self.inner.__getitem__, rest))
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the ids of every whole text, as little-endian unsigned 32-bit integers.
+
+    The corpus is replayed block by block, where Spark has put it: a task takes
+    the distinct words of about ``BLOCK_CHARS`` characters of text, applies all
+    merges to all of them in rank order, and puts the texts together. Nothing is
+    shuffled, and a task holds one block. Null counts as empty, empty texts give
+    no ids, a text longer than a block is a block of its own, and repeated rows
+    stay. An existing column ``ids`` is replaced.
+    """
+
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = BlockEncoder(ranks, pattern)
         for batch in batches:
-            for number, whole in zip(batch["block"].to_pylist(), batch["text"].to_pylist()):
-                if number != current:
-                    if words:
-                        yield flush()
-                    current, met, words = number, set(), set()
-                first, *rest = pieces(whole)
-                words.update(split.findall(first))
-                new = set(rest) - met
-                met |= new
-                for piece in new:
-                    words.update(split.findall(" " + piece))
-        if words:
-            yield flush()
-
-    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = read_ranks(ranks)
-
-        def done(words: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "ids": pa.array(map(_packed, replay(words, table)), pa.binary())})
-
-        held: list[bytes] = []
-        for batch in batches:
-            held += batch["word"].to_pylist()
-            if len(held) >= REPLAY_WORDS:
-                yield done(held)
-                held = []
-        if held:
-            yield done(held)
-
-    block_words = stored(rows.select("block", "text").mapInArrow(words_of, "block bigint, word binary"))
-    dictionary = block_words.select("word").distinct().mapInArrow(replayed, "word binary, ids binary")
-    block_ids = block_words.join(dictionary, "word").select("block", "word", "ids")
-
-    def put_together(texts: pa.Table, own: pa.Table) -> pa.Table:
-        table, split = read_ranks(ranks), regex.compile(pattern)
-        known = Memo(lambda word: _packed(replay([word], table)[0]))
-        known.update(zip(own["word"].to_pylist(), own["ids"].to_pylist()))
-
-        def of(piece: str) -> bytes:
-            return b"".join(known[w.encode()] for w in split.findall(piece))
-
-        inner = Memo(lambda piece: of(" " + piece))
-        found = []
-        for chunk in texts["text"].chunks:
-            for whole in chunk.to_pylist():
-                first, *rest = pieces(whole)
-                found.append(of(first) + b"".join(map(inner.__getitem__, rest)))
-        return texts.drop_columns(["text", "block"]).append_column("ids", pa.array(found, pa.binary()))
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))) + ", ids binary"
-    joined = (
-        rows.groupBy("block").cogroup(block_ids.groupBy("block")).applyInArrow(put_together, schema)
-    )
-    return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids))
+            texts = [t or "" for t in batch]
+            ends = np.cumsum([len(t) for t in texts])
+            cuts = np.flatnonzero(np.diff(ends // BLOCK_CHARS, prepend=0)) if len(texts) else []
+            found: list[bytes] = []
+            for start, end in zip([0, *cuts], [*cuts, len(texts)]):
+                found += own.texts(texts[start:end])
+            yield pd.Series(found, dtype=object)
+
+    return docs.withColumn(ids, encoded(F.col(text)))
 
 
 def decode(ranks: str):
