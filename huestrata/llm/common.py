@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from huestrata.sources.shared import shared_folder
 
 #: Entries after which a worker forgets what it has memorised. Bounds its memory, never its results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
+
+#: The same for vectors by key.
+VECTOR_ENTRIES = 150_000
 
 #: Rows that are added up at once.
 PART = 1 << 14
@@ -29,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if it is not installed there."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    own = spark.sparkContext.environment
+    paths = own.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read from there.
 
@@ -84,7 +97,7 @@ class Memo(dict):
 class VectorMemo(dict):
     """Row number in ``rows`` of every key's vector, worked out on first use."""
 
-    def __init__(self, work: Callable[[str], np.ndarray], width: int, entries: int = MEMO_ENTRIES):
+    def __init__(self, work: Callable[[str], np.ndarray], width: int, entries: int = VECTOR_ENTRIES):
         super().__init__()
         self.work, self.entries = work, entries
         self.rows = np.zeros((1024, width))

@@ -37,29 +37,36 @@ _WORD = regex.compile(r"\p{L}+")
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies by word and by n-gram, one number for each language."""
+    """Log frequencies by language: a row for each word and for each n-gram."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(repr=False)
-    grams: dict[str, np.ndarray] = field(repr=False)
+    words: dict[str, int] = field(repr=False)
+    grams: dict[str, int] = field(repr=False)
+    rows: np.ndarray = field(repr=False)
+
+    @classmethod
+    def of(cls, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> LanguageModel:
+        rows = np.array([*words.values(), *grams.values()], dtype=np.float32).reshape(-1, max(1, len(languages)))
+        places = {word: i for i, word in enumerate(words)}
+        return cls(languages, places, {gram: len(words) + i for i, gram in enumerate(grams)}, rows)
 
     def word(self, word: str) -> np.ndarray:
-        """Log frequency by language of a known word, else of the longest n-grams that are known.
+        """Log frequency by language of a known word, else the mean of the longest n-grams that are known.
 
         Without any known n-gram the word says nothing: zeros.
         """
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.rows[known]
         fenced = f" {word} "
         for length in LENGTHS:
             found = [
-                g
+                at
                 for i in range(len(fenced) - length + 1)
-                if (g := self.grams.get(fenced[i : i + length])) is not None
+                if (at := self.grams.get(fenced[i : i + length])) is not None
             ]
             if found:
-                return np.mean(found, axis=0)
+                return self.rows[found].sum(axis=0) / len(found)
         return np.zeros(len(self.languages))
 
     def piece(self, piece: str) -> np.ndarray:
@@ -152,7 +159,7 @@ def _model(kept: pd.DataFrame) -> LanguageModel:
         base = np.array([math.log(totals.get((x, size), 0) + spread) for x in languages])
         for term, counts in terms.items():
             (words if size == 0 else grams)[term] = np.log(counts + SMOOTHING) - base
-    return LanguageModel(languages, words, grams)
+    return LanguageModel.of(languages, words, grams)
 
 
 def identify(

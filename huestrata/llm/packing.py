@@ -29,9 +29,9 @@ def tokenize(tokenizer: str, end_id: int):
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(tokenizer)
-        for texts in batches:
-            yield pd.Series([own.text(t or "") + end for t in texts], dtype=object)
+        with encoder(tokenizer) as own:
+            for texts in batches:
+                yield pd.Series([own.text(t or "") + end for t in texts], dtype=object)
 
     return encoded
 

@@ -80,8 +80,8 @@ def counter(tokenizer: str):
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(tokenizer)
-        for texts in batches:
-            yield pd.Series([len(own.text(t)) // 4 for t in texts], dtype="int64")
+        with encoder(tokenizer) as own:
+            for texts in batches:
+                yield pd.Series([own.count(t) for t in texts], dtype="int64")
 
     return count

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from huestrata.llm.chunks import pieces
@@ -19,6 +21,10 @@ _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\\[-`{-~]+")
 
 
+#: Pieces whose number of ids is memorised.
+COUNT_ENTRIES = 250_000
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -40,7 +46,7 @@ class WordEncoder:
         self.library.no_padding()
         self.normalizer = self.library.normalizer
         self.splitter, self.model = self.library.pre_tokenizer, self.library.model
-        self.words = Memo(self._ids)
+        self.counts = Memo(lambda piece: len(self.piece(" " + piece)) // 4, COUNT_ENTRIES)
         # Letters beyond ASCII stand as their bytes in the model's alphabet; the splitter maps them.
         self.lower_words = Memo(
             lambda word: self._ids(word) if word.isascii() else b"".join(self._ids(w) for w, _ in self._split(word))
@@ -63,7 +69,14 @@ class WordEncoder:
     def piece(self, piece: str) -> bytes:
         if _SPECIAL in piece:
             return _packed(self.library.encode(piece, add_special_tokens=False).ids)
-        return b"".join(self.words[w] for w, _ in self._split(self._normal(piece)))
+        return b"".join(self._ids(w) for w, _ in self._split(self._normal(piece)))
+
+    def count(self, text: str) -> int:
+        """Number of ids; memorises numbers alone."""
+        first, *rest = pieces(text)
+        total = len(self.piece(first)) // 4 + sum(map(self.counts.__getitem__, rest))
+        self.counts.trim()
+        return total
 
     def text(self, text: str) -> bytes:
         if self.lowers and "<|" not in text and _PLAIN.fullmatch(text):
@@ -71,12 +84,26 @@ class WordEncoder:
         else:
             first, *rest = pieces(text)
             packed = self.piece(first) + b"".join(map(self.inner.__getitem__, rest))
-        for memo in (self.words, self.lower_words, self.inner):
-            memo.trim()
+        self.lower_words.trim()
+        self.inner.trim()
         return packed
 
 
+    def forget(self) -> None:
+        for memo in (self.lower_words, self.inner, self.counts):
+            memo.clear()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each tokenizer in a worker process, kept from task to task."""
+def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """The encoder of a tokenizer. A worker loads it once, and forgets the words at the end of a task."""
+    own = _encoder(path)
+    try:
+        yield own
+    finally:
+        own.forget()
