@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huestrata.llm import catalog, language, quality, simhash
-from huestrata.llm.common import stored, table
+from huestrata.llm.common import on_workers, stored, table
 from huestrata.sources.shared import shared_folder
 
 #: A document goes if its language has less than this probability, or its quality less than that.
@@ -21,6 +21,7 @@ LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language; null texts and texts without a letter go."""
+    on_workers(spark)
     model = catalog.language_model(spark, sf_dir)
     found = language.identify(docs, model, lang_pred="_lang", score="_score")
     return found.filter((F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE)).select(docs.columns)
@@ -28,6 +29,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not clearly of low quality."""
+    on_workers(spark)
     model = catalog.quality_model(spark, sf_dir)
     found = quality.score_quality(docs, model, score="_score")
     return found.filter(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
@@ -39,6 +41,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Rows of a component without any id are told apart by their texts: the first
     by digest stays. A row repeated with one id stays once.
     """
+    on_workers(spark)
     rows = docs.withColumn("_fp", simhash.fingerprints())
     keys = stored(rows.select("doc_id", "_fp", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest")))
     components = simhash.components(keys.select("doc_id", F.col("_fp").alias("fp")))
@@ -54,6 +57,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left; see ``packing.pack``."""
+    on_workers(spark)
     return catalog.packed(docs)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huestrata.llm import ann, bpe, language, maxscore, packing, quality, simhash, token_cache, toxicity, warc
-from huestrata.llm.common import held_out, table
+from huestrata.llm.common import held_out, on_workers, table
 from huestrata.sources.shared import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,7 +18,7 @@ BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 #: A document is toxic from this probability on, and too long from this token count on.
-TOXIC_FROM, TOKEN_LIMIT = 0.5, 512
+TOXIC_FROM, TOKEN_LIMIT = 0.3, 512
 
 
 def _learning(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
     decoded = bpe.decode(BYTE_RANKS)
     return encoded.select(
         "doc_id",
@@ -145,8 +145,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        on_workers(spark)
+        return build(spark, sf_dir)
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _query(f)
     for f in (
         op1_toxicity, op2_maxscore, op3_nn_descent, op4_byte_bpe, op5_simhash, op6_quality,
         op7_warc_revisits, op8_packing, op9_token_counts, op10_language,

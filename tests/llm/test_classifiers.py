@@ -30,7 +30,7 @@ def test_draw_is_the_same_for_any_partitioning(spark):
 def test_known_words_come_first_then_the_longest_ngrams():
     words = {"chat": np.array([-1.0, -9.0])}
     grams = {" cha": np.array([-5.0, -2.0]), "t": np.array([-3.0, -4.0])}
-    model = language.LanguageModel(["en", "fr"], words, grams)
+    model = language.LanguageModel.of(["en", "fr"], words, grams)
     assert model.word("chat").tolist() == [-1, -9]
     assert model.word("chap").tolist() == [-5, -2]  # four characters beat one
     assert model.word("tt").tolist() == [-3, -4]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -35,32 +36,49 @@ def test_pieces_give_the_text_back():
         assert " ".join(pieces(text)) == text
 
 
-def test_replay_equals_the_library(reference):
-    ranks = bpe.read_ranks(catalog.BYTE_RANKS)
+@pytest.mark.parametrize("long", [64, 3, 10_000])
+def test_replay_equals_the_library(spark, reference, monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG_WORD", long)
+    rng = random.Random(long)
     words = ["", " the", "aaaaaaa", "abababab", "élève", "🙂🙂", " internationalization", "\n\n\n", "x" * 300]
-    got = bpe.replay([w.encode() for w in words], ranks)
+    words += ["".join(rng.choice("abcest in\u00e9") for _ in range(rng.randrange(1, 90))) for _ in range(3000)]
+    words += ["".join(rng.choice("aab") for _ in range(rng.randrange(1, 40))) for _ in range(1000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.replay([w.encode() for w in words], catalog.BYTE_RANKS)]
     assert got == [reference._core_bpe.encode_single_piece(w.encode()) if w else [] for w in words]
+    assert bpe.replay([], catalog.BYTE_RANKS) == []
 
 
 def test_encode_and_decode_whole_texts(spark, reference):
     texts = texts_of(spark)
     docs = documents(spark, texts).repartition(5)
-    encoded = bpe.encode(docs, catalog.BYTE_RANKS, public_tokenizers.PATTERN, keep=("doc_id", "source"))
+    encoded = bpe.encode(docs.withColumn("ids", F.lit("clash")), catalog.BYTE_RANKS, public_tokenizers.PATTERN)
     rows = encoded.withColumn("raw", bpe.decode(catalog.BYTE_RANKS)("ids")).collect()
-    assert encoded.columns == ["doc_id", "source", "ids"] and len(rows) == len(texts)
+    assert encoded.columns == [*docs.columns, "ids"] and len(rows) == len(texts)
     for row in rows:
         text = texts[row.doc_id] or ""
         assert np.frombuffer(row.ids, "<u4").tolist() == reference.encode_ordinary(text)
         assert bytes(row.raw) == text.encode()
 
 
-def test_encode_small_blocks_and_missing_words(spark, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_BITS", 2)
-    monkeypatch.setattr(bpe, "REPLAY_WORDS", 7)
-    texts = ["one two", "two three", None, "one two"] * 9
-    got = bpe.encode(documents(spark, texts), catalog.BYTE_RANKS, public_tokenizers.PATTERN).collect()
-    want = sorted((i, tuple(reference.encode_ordinary(t or ""))) for i, t in enumerate(texts))
-    assert sorted((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+def test_small_blocks_and_a_short_memory(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 5)
+    own = bpe.BlockEncoder(catalog.BYTE_RANKS, public_tokenizers.PATTERN)
+    texts = [t or "" for t in odd_texts()]
+    for size in (1, 3, 50):
+        for i in range(0, len(texts), size):
+            part = texts[i : i + size]
+            got = [np.frombuffer(x, "<u4").tolist() for x in own.texts(part)]
+            assert got == [reference.encode_ordinary(t) for t in part]
+
+
+def test_blocks_cut_within_a_batch(spark, reference, monkeypatch):
+    for chars in (1, 100, 10**7):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+        texts = odd_texts()[:40]
+        got = bpe.encode(documents(spark, texts), catalog.BYTE_RANKS, public_tokenizers.PATTERN).collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {
+            i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)
+        }
 
 
 def test_op4_digests(spark, reference):
@@ -77,7 +95,8 @@ def test_word_encoder_equals_the_library(spark, path):
     own, library = WordEncoder(path), Tokenizer.from_file(path)
     extra = [f"{chr(c)}A{chr(c)}'s {chr(c)}" for c in range(1, 0x2C0)] + ["a×b µªº ſŸŉ", "''s 's'S", "a < b <|x|>"]
     for text in [t or "" for t in texts_of(spark)] + extra:
-        assert np.frombuffer(own.text(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.text(text), "<u4").tolist() == ids and own.count(text) == len(ids)
 
 
 def test_counts_by_cache(spark, tmp_path):
