@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huestrata.llm.chunks import pieces
+from huestrata.llm.common import free_name
 
 #: Characters of text whose words are replayed together, about.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 #: Bytes of a word from which on it is merged on its own.
 LONG_WORD = 64
 
 #: Words, and pieces of text, after which a task forgets what it knows. Bounds its memory, never its results.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -247,7 +248,9 @@ class BlockEncoder:
             yield start + b"".join(map(self.inner.__getitem__, rest))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """``docs`` with the ids of every whole text, as little-endian unsigned 32-bit integers.
 
     The corpus is replayed block by block, where Spark has put it: a task takes
@@ -255,12 +258,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", ids
     merges to all of them in rank order, and puts the texts together. Nothing is
     shuffled, and a task holds one block. Null counts as empty, empty texts give
     no ids, a text longer than a block is a block of its own, and repeated rows
-    stay. An existing column ``ids`` is replaced.
+    stay. With ``decoded`` the ids are decoded again in the same task, into a
+    column of that name. Existing columns of these names are replaced.
     """
+    fields = "ids binary, decoded binary" if decoded else "ids binary"
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(fields)
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = BlockEncoder(ranks, pattern)
+        back = decoder(ranks) if decoded else None
         for batch in batches:
             texts = [t or "" for t in batch]
             ends = np.cumsum([len(t) for t in texts])
@@ -268,9 +274,20 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", ids
             found: list[bytes] = []
             for start, end in zip([0, *cuts], [*cuts, len(texts)]):
                 found += own.texts(texts[start:end])
-            yield pd.Series(found, dtype=object)
+            columns = {"ids": found}
+            if back:
+                columns["decoded"] = [back(x) for x in found]
+            yield pd.DataFrame(columns, dtype=object)
+
+    at = free_name(docs, "_encoded")
+    named = {ids: F.col(f"{at}.ids")} | ({decoded: F.col(f"{at}.decoded")} if decoded else {})
+    return docs.withColumn(at, encoded(F.col(text))).withColumns(named).drop(at)
+
 
-    return docs.withColumn(ids, encoded(F.col(text)))
+def decoder(ranks: str) -> Callable[[bytes], bytes]:
+    """Function from packed ids to the bytes they stand for."""
+    token = {rank: raw for raw, rank in read_ranks(ranks).items()}
+    return lambda ids: b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(ranks: str):
@@ -278,11 +295,8 @@ def decode(ranks: str):
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = {rank: raw for raw, rank in read_ranks(ranks).items()}
+        back = decoder(ranks)
         for batch in batches:
-            yield pd.Series(
-                [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch],
-                dtype=object,
-            )
+            yield pd.Series([back(x) for x in batch], dtype=object)
 
     return decoded

@@ -59,13 +59,12 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(BYTE_RANKS)
+    encoded = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN, decoded="decoded")
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decoded("ids"), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
