@@ -114,8 +114,11 @@ def resolve_revisits(records: DataFrame, *, slice_seconds: int = SLICE) -> DataF
         F.col("record_id").alias("resolved_id"), F.col("headers").alias("theirs"), "body"
     )
     # A repeated response counts once.
-    one = responses.dropDuplicates(["resolved_id"])
-    joined = asked.join(one, "resolved_id", "left")
+    one = responses.dropDuplicates(["resolved_id"]).withColumn("spread", F.lit(0).cast("bigint"))
+    # Revisits that have found nothing match nothing; a hash keeps them from meeting in one task.
+    lone = F.when(F.col("resolved_id").isNull(), F.xxhash64("record_id", "canonical_url", "at"))
+    spread = asked.withColumn("spread", F.coalesce(lone, F.lit(0).cast("bigint")))
+    joined = spread.join(one, ["resolved_id", "spread"], "left")
     same_version = same_validator(F.col("own"), F.col("theirs"))
     outcome = (
         F.when(F.col("resolved_id").isNull(), "no_response")
