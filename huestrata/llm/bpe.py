@@ -17,13 +17,13 @@ from huestrata.llm.chunks import pieces
 from huestrata.llm.common import free_name
 
 #: Characters of text whose words are replayed together, about.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 
 #: Bytes of a word from which on it is merged on its own.
 LONG_WORD = 64
 
 #: Words, and pieces of text, after which a task forgets what it knows. Bounds its memory, never its results.
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 200_000
 
 
 @lru_cache(maxsize=2)
