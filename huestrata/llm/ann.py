@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,8 +11,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from huestrata.llm.common import stored
 
@@ -30,6 +32,9 @@ ROUNDS, LEAST_CHANGE = 3, 0.01
 #: Nodes a query keeps during the search, entry nodes it takes from each tree, hops at most.
 BEAM, ENTRIES, HOPS = 256, 12, 40
 
+#: Differences of components that are held at once.
+DIFFERENCES = 1 << 16
+
 SEED = 20
 
 
@@ -41,30 +46,31 @@ def usable(vector: Column) -> Column:
 
 @dataclass
 class Index:
-    """``nodes``: one row for each distinct vector. ``graph``: its neighbours and their codes."""
+    """``nodes``: one row for each distinct vector. ``graph``: its neighbours. ``kind``: the number type of codes."""
 
     nodes: DataFrame
     graph: DataFrame
     planes: np.ndarray
     width: int
+    kind: str
 
 
-def _code(vectors: np.ndarray) -> list[bytes]:
-    """A float32 scale and one signed byte for each component."""
-    scale = np.maximum(np.abs(vectors).max(axis=1), 1e-30) / 127
-    whole = np.rint(vectors / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + w.tobytes() for s, w in zip(scale.astype("<f4"), whole)]
+def _code(vectors: np.ndarray, kind: str) -> list[bytes]:
+    return [v.tobytes() for v in vectors.astype(kind)]
 
 
-def _vectors(codes: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(codes, np.uint8).reshape(-1, width + 4)
-    scale = np.ascontiguousarray(raw[:, :4]).view("<f4")
-    return raw[:, 4:].view(np.int8).astype(np.float32) * scale
+def _vectors(codes: pa.Array, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), kind).reshape(len(codes), width).astype(float)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0))
+    """All distances, by differences: squares less products would cancel where vectors are close."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, DIFFERENCES // max(1, b.size))
+    for i in range(0, len(a), step):
+        far = a[i : i + step, None] - b[None]
+        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", far, far))
+    return out
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -74,7 +80,7 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-def _coded(df: DataFrame, planes: np.ndarray, width: int) -> DataFrame:
+def _coded(df: DataFrame, planes: np.ndarray, width: int, kind: str) -> DataFrame:
     """``df`` with ``code`` and the leaf of every tree; columns ``id`` and ``vector`` are needed."""
     trees, depth = planes.shape[:2]
 
@@ -84,31 +90,29 @@ def _coded(df: DataFrame, planes: np.ndarray, width: int) -> DataFrame:
         for batch in batches:
             own = _matrix(batch.tolist(), width)
             sides = np.einsum("tdw,nw->ntd", planes, own) > 0 if depth else np.zeros((len(own), trees, 0), bool)
-            yield pd.DataFrame({"code": _code(own), "leaves": list((sides @ powers).astype(np.int64))})
+            yield pd.DataFrame({"code": _code(own, kind), "leaves": list((sides @ powers).astype(np.int64))})
 
     return df.withColumn("_c", coded("vector")).withColumns({"code": F.col("_c.code"), "leaves": F.col("_c.leaves")}).drop("_c")
 
 
-def _leaf_lists(nodes: DataFrame, width: int) -> DataFrame:
+def _leaf_lists(nodes: DataFrame, width: int, kind: str) -> DataFrame:
     """First candidates: the nearest nodes within each leaf. Leaves that are too full are split by a hash."""
     spots = nodes.select("node", "code", F.posexplode("leaves").alias("tree", "leaf"))
     parts = spots.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / F.lit(2.0 * LEAF)).cast("int").alias("parts"))
     placed = spots.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        own, codes, n = group["node"].to_numpy(), group["code"].to_numpy(), len(group)
+        own, n = group["node"].to_numpy(), len(group)
         k = min(FROM_LEAF, n - 1)
         if k < 1:
-            return pd.DataFrame({"node": [], "id": [], "d": [], "code": []})
-        vectors = _vectors(b"".join(codes), width)
+            return pd.DataFrame({"node": [], "id": [], "d": []})
+        vectors = _vectors(pa.array(group["code"], pa.binary()), width, kind)
         d = _distances(vectors, vectors)
         np.fill_diagonal(d, np.inf)
         best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return pd.DataFrame(
-            {"node": np.repeat(own, k), "id": own[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel(), "code": codes[best].ravel()}
-        )
+        return pd.DataFrame({"node": np.repeat(own, k), "id": own[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
 
-    return placed.groupBy("tree", "leaf", "part").applyInPandas(nearest, "node bigint, id bigint, d float, code binary")
+    return placed.groupBy("tree", "leaf", "part").applyInPandas(nearest, "node bigint, id bigint, d double")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -116,22 +120,20 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
 
 
-_LISTS = "node bigint, code binary, ids array<bigint>, ds array<float>, codes binary, fresh array<boolean>"
+_LISTS = "node bigint, ids array<bigint>, ds array<double>, fresh array<boolean>"
 
 
-def _merged(lists: DataFrame, found: DataFrame, keep: int, width: int) -> DataFrame:
+def _merged(lists: DataFrame, found: DataFrame, keep: int) -> DataFrame:
     """``lists`` with the ``keep`` nearest of the old and the found neighbours; ``fresh`` marks the found.
 
     A node is found by a bounded number of others, so its list of candidates is short.
     """
-    own = found.groupBy("node").agg(F.collect_list(F.struct("id", "d", "code")).alias("f"))
+    own = found.groupBy("node").agg(F.collect_list(F.struct("id", "d")).alias("f"))
     both = lists.join(own, "node", "left").select(
         *lists.columns,
         F.coalesce("f.id", F.array().cast("array<bigint>")).alias("f_ids"),
-        F.coalesce("f.d", F.array().cast("array<float>")).alias("f_ds"),
-        F.coalesce("f.code", F.array().cast("array<binary>")).alias("f_codes"),
+        F.coalesce("f.d", F.array().cast("array<double>")).alias("f_ds"),
     )
-    size = width + 4
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +141,6 @@ def _merged(lists: DataFrame, found: DataFrame, keep: int, width: int) -> DataFr
             f_at, f_ids = _flat(batch["f_ids"])
             ids, f_ids = ids.to_numpy(), f_ids.to_numpy()
             ds, f_ds = _flat(batch["ds"])[1].to_numpy(), _flat(batch["f_ds"])[1].to_numpy()
-            codes, f_codes = batch["codes"].to_pylist(), _flat(batch["f_codes"])[1].to_pylist()
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 old, new = slice(at[i], at[i + 1]), slice(f_at[i], f_at[i + 1])
@@ -147,98 +148,113 @@ def _merged(lists: DataFrame, found: DataFrame, keep: int, width: int) -> DataFr
                 far = np.concatenate([ds[old], f_ds[new]])
                 first = np.sort(np.unique(own, return_index=True)[1])
                 first = first[np.lexsort((own[first], far[first]))][:keep]
-                kept = len(ids[old])
-                raw = [codes[i][j * size : (j + 1) * size] if j < kept else f_codes[f_at[i] + j - kept] for j in first]
-                out.append((own[first], far[first], b"".join(raw), first >= kept))
+                out.append((own[first], far[first], first >= len(ids[old])))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["node"], batch["code"],
-                    pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.list_(pa.float32())),
-                    pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.bool_())),
+                    batch["node"], pa.array(columns[0], pa.list_(pa.int64())),
+                    pa.array(columns[1], pa.list_(pa.float64())), pa.array(columns[2], pa.list_(pa.bool_())),
                 ],
-                names=["node", "code", "ids", "ds", "codes", "fresh"],
+                names=["node", "ids", "ds", "fresh"],
             )
 
     return both.mapInArrow(lambda batches: merge(b for b in batches if b.num_rows), _LISTS)
 
 
+def _worst() -> Column:
+    """The distance a new neighbour must fall below."""
+    return F.when(F.size("ids") >= NEIGHBOURS, F.element_at("ds", -1)).otherwise(float("inf"))
+
+
 def _messages(lists: DataFrame, most: int) -> DataFrame:
-    """What each node tells its neighbours: itself, its code, its farthest distance. The fresh go first.
+    """What each node tells its neighbours: itself and its farthest distance. The fresh go first.
 
     A node listens to ``most`` others at most; a popular one hears a random choice of them.
     """
-    full = F.size("ids") >= NEIGHBOURS
     sent = lists.select(
-        F.col("node").alias("id"),
-        "code",
-        F.when(full, F.element_at("ds", -1)).otherwise(float("inf")).cast("float").alias("worst"),
-        F.explode(F.arrays_zip("ids", "ds", "fresh")).alias("e"),
-    ).select(F.col("e.ids").alias("node"), F.col("e.ds").alias("d"), F.col("e.fresh").alias("fresh"), "id", "code", "worst")
+        F.col("node").alias("id"), _worst().alias("worst"), F.explode(F.arrays_zip("ids", "ds", "fresh")).alias("e")
+    ).select(F.col("e.ids").alias("node"), F.col("e.ds").alias("d"), F.col("e.fresh").alias("fresh"), "id", "worst")
     order = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("id", "node"))
     return sent.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
 
 
-def _round(lists: DataFrame, width: int) -> DataFrame:
-    """Neighbours of neighbours: every node compares those who list it with its own list, and passes on what is near."""
-    heard = _messages(lists, REVERSE).groupBy("node").agg(
-        F.collect_list(F.struct("id", "code", "worst", "fresh")).alias("h")
-    )
-    rows = lists.join(heard, "node").select(
-        "node", "code", "ids", "codes", "fresh",
-        F.when(F.size("ids") >= NEIGHBOURS, F.element_at("ds", -1)).otherwise(float("inf")).cast("float").alias("worst"),
-        F.col("h.id").alias("h_ids"), F.col("h.code").alias("h_codes"),
-        F.col("h.worst").alias("h_worst"), F.col("h.fresh").alias("h_fresh"),
+#: What a node compares: those who list it, its own list, itself.
+_HEARD, _LISTED, _SELF = 0, 1, 2
+
+
+def _by_node(batches: Iterator[pa.RecordBatch], width: int, kind: str) -> Iterator[tuple]:
+    """Node, ids, roles, fresh, worst and vectors of every node; its rows come one after the other."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch[c].to_numpy(zero_copy_only=False) for c in ("node", "id", "role", "fresh", "worst")]
+        own.append(_vectors(batch["code"], width, kind))
+        if held is not None:
+            own = [np.concatenate(x) for x in zip(held, own)]
+        edge = [0, *(np.flatnonzero(own[0][1:] != own[0][:-1]) + 1)]
+        for start, end in zip(edge, edge[1:]):
+            yield own[0][start], *(x[start:end] for x in own[1:])
+        held = [x[edge[-1] :] for x in own]
+    if held is not None:
+        yield held[0][0], *held[1:]
+
+
+def _round(lists: DataFrame, nodes: DataFrame, width: int, kind: str) -> DataFrame:
+    """Neighbours of neighbours: every node compares those who list it with its own list, and passes on what is near.
+
+    Lists hold ids; the vectors come from ``nodes`` by a join on the id.
+    """
+    heard = _messages(lists, REVERSE).select("node", "id", F.lit(_HEARD).alias("role"), "fresh", "worst")
+    listed = lists.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select(
+        "node", F.col("e.ids").alias("id"), F.lit(_LISTED).alias("role"), F.col("e.fresh").alias("fresh"),
+        F.lit(None).cast("double").alias("worst"),
     )
-    size = width + 4
+    itself = lists.select("node", F.col("node").alias("id"), F.lit(_SELF).alias("role"), F.lit(True).alias("fresh"), _worst().alias("worst"))
+    # Nothing is new to a node that neither has nor hears a fresh neighbour.
+    busy = heard.unionByName(listed).filter("fresh").select("node").distinct()
+    edges = heard.unionByName(listed).unionByName(itself).join(busy, "node", "left_semi")
+    vectors = nodes.select(F.col("node").alias("id"), "code")
+    rows = edges.join(vectors, "id").repartition("node").sortWithinPartitions("node", "role", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        out: tuple[list, list, list] = ([], [], [])
+
+        def found() -> pa.RecordBatch:
+            arrays = [pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))]
+            for x in out:
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["node", "id", "d"])
+
+        for _, ids, role, fresh, worst, vectors in _by_node(batches, width, kind):
+            n = int((role == _HEARD).sum())
+            asking = np.append(np.arange(n), len(ids) - 1)
+            a_ids, b_ids = ids[asking], ids[:-1]
+            if not len(b_ids):
                 continue
-            at, ids = _flat(batch["ids"])
-            h_at, h_ids = _flat(batch["h_ids"])
-            ids, h_ids = ids.to_numpy(), h_ids.to_numpy()
-            fresh = _flat(batch["fresh"])[1].to_numpy(zero_copy_only=False)
-            h_fresh = _flat(batch["h_fresh"])[1].to_numpy(zero_copy_only=False)
-            h_worst = _flat(batch["h_worst"])[1].to_numpy()
-            worst = batch["worst"].to_numpy()
-            h_codes = _flat(batch["h_codes"])[1].to_pylist()
-            nodes, own_codes, codes = batch["node"].to_numpy(), batch["code"].to_pylist(), batch["codes"].to_pylist()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i in range(batch.num_rows):
-                mine, theirs = slice(at[i], at[i + 1]), slice(h_at[i], h_at[i + 1])
-                if not (fresh[mine].any() or h_fresh[theirs].any()):
-                    continue
-                heard_codes = b"".join(h_codes[theirs])
-                a_ids = np.append(h_ids[theirs], nodes[i])
-                b_ids = np.concatenate([h_ids[theirs], ids[mine]])
-                b_raw = heard_codes + codes[i]
-                d = _distances(_vectors(heard_codes + own_codes[i], width), _vectors(b_raw, width))
-                a_new = np.append(h_fresh[theirs], True)
-                b_new = np.concatenate([h_fresh[theirs], fresh[mine]])
-                d[~(a_new[:, None] | b_new[None])] = np.inf
-                d[a_ids[:, None] == b_ids[None]] = np.inf
-                d[-1, len(a_ids) - 1 :] = np.inf  # its own list is known to the node
-                k = min(PASSED, d.shape[1])
-                best = np.argpartition(d, k - 1, axis=1)[:, :k]
-                near = np.take_along_axis(d, best, 1)
-                a, place = np.nonzero(near < np.append(h_worst[theirs], worst[i])[:, None])
-                b = best[a, place]
-                out[0].append(a_ids[a])
-                out[1].append(b_ids[b])
-                out[2].append(near[a, place])
-                out[3].extend(b_raw[j * size : (j + 1) * size] for j in b)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()),
-                        pa.array(np.concatenate(out[2]), pa.float32()), pa.array(out[3], pa.binary()),
-                    ],
-                    names=["node", "id", "d", "code"],
-                )
-
-    return rows.mapInArrow(compare, "node bigint, id bigint, d float, code binary")
+            d = _distances(vectors[asking], vectors[:-1])
+            d[~(fresh[asking][:, None] | fresh[None, :-1])] = np.inf
+            d[a_ids[:, None] == b_ids[None]] = np.inf
+            d[-1, n:] = np.inf  # its own list is known to the node
+            k = min(PASSED, d.shape[1])
+            best = np.argpartition(d, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(d, best, 1)
+            a, place = np.nonzero(near < worst[asking][:, None])
+            out[0].append(a_ids[a])
+            out[1].append(b_ids[best[a, place]])
+            out[2].append(near[a, place])
+            if len(out[0]) >= 1000:
+                yield found()
+        if out[0]:
+            yield found()
+
+    return rows.mapInArrow(compare, "node bigint, id bigint, d double")
+
+
+def _forget(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go only when the driver's JVM finds that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def build(rows: DataFrame, *, members: int) -> Index:
@@ -247,10 +263,14 @@ def build(rows: DataFrame, *, members: int) -> Index:
     Equal vectors are one node, named by their smallest id, with their
     ``members`` smallest ids: a large group of copies is a single node. The
     first lists come from the leaves of random projection trees, then rounds of
-    NN-descent replace them. Each round is two joins on the node; lists,
-    messages and leaves have a fixed length, whatever the data. Shorter vectors
-    end in zeros. Intermediate tables lie in the shared folder.
+    NN-descent replace them. Each round is a few joins on the node; lists,
+    messages and leaves have a fixed length, whatever the data. Lists are ordered
+    by exact distances of the given numbers, so vectors may lie as close as
+    their type can tell. Shorter vectors end in zeros. Intermediate tables lie in
+    the shared folder.
     """
+    given = rows.schema["vector"].dataType
+    kind = "<f4" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "<f8"
     valid = (
         rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
         .filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
@@ -276,19 +296,21 @@ def build(rows: DataFrame, *, members: int) -> Index:
     n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
     planes = np.random.default_rng(SEED).standard_normal((TREES, depth, width))
-    nodes = stored(_coded(classes, planes, width))
+    nodes = stored(_coded(classes, planes, width, kind))
     empty = nodes.select(
-        "node", "code", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<float>").alias("ds"),
-        F.lit(b"").alias("codes"), F.array().cast("array<boolean>").alias("fresh"),
+        "node", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<double>").alias("ds"),
+        F.array().cast("array<boolean>").alias("fresh"),
     )
-    lists = stored(_merged(empty, _leaf_lists(nodes, width), NEIGHBOURS, width))
+    lists = stored(_merged(empty, _leaf_lists(nodes, width, kind), NEIGHBOURS))
     for _ in range(ROUNDS):
-        lists = stored(_merged(lists, _round(lists, width), NEIGHBOURS, width))
+        lists = stored(_merged(lists, _round(lists, nodes, width, kind), NEIGHBOURS))
+        _forget(rows.sparkSession)
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         if changed < LEAST_CHANGE * NEIGHBOURS * n:
             break
-    back = _messages(lists, NEIGHBOURS).select("node", "id", "d", "code")
-    return Index(nodes, stored(_merged(lists, back, 2 * NEIGHBOURS, width)), planes, width)
+    back = _messages(lists, NEIGHBOURS).select("node", "id", "d")
+    graph = stored(_merged(lists, back, 2 * NEIGHBOURS).select("node", "ids"))
+    return Index(nodes, graph, planes, width, kind)
 
 
 def search(index: Index, queries: DataFrame, k: int, *, beam: int = BEAM) -> DataFrame:
@@ -298,8 +320,8 @@ def search(index: Index, queries: DataFrame, k: int, *, beam: int = BEAM) -> Dat
     leaf in every tree and from the node of its own vector, if there is one.
     Each hop expands all nodes of its beam that are not expanded yet, by a join
     with the graph, and keeps the nearest ``beam`` nodes; it ends when nothing
-    new comes near. Codes guide the search; the scores and the order are exact
-    Euclidean distances of the original vectors, ties to the smaller id. Queries
+    new comes near. The beam, the scores and the order go by exact Euclidean
+    distances of the original vectors, ties to the smaller id. Queries
     that are not usable, or have a null id, take no part.
     """
     width = index.width
@@ -309,71 +331,49 @@ def search(index: Index, queries: DataFrame, k: int, *, beam: int = BEAM) -> Dat
         .distinct()
     )
     # Queries of equal vectors are searched once.
-    asked = _coded(valid.groupBy("vector").agg(F.min("query_id").alias("q")), index.planes, width)
+    asked = _coded(valid.groupBy("vector").agg(F.min("query_id").alias("q")), index.planes, width, "<f8")
     asked = stored(asked.select("q", "vector", F.col("code").alias("q_code"), "leaves"))
 
-    leaf = index.nodes.select("node", "code", F.posexplode("leaves").alias("tree", "leaf"))
+    leaf = index.nodes.select("node", F.posexplode("leaves").alias("tree", "leaf"))
     order = Window.partitionBy("tree", "leaf").orderBy(F.xxhash64("node"))
     entries = leaf.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= ENTRIES)
-    starts = asked.select("q", "q_code", F.posexplode("leaves").alias("tree", "leaf")).join(
-        entries.select("tree", "leaf", "node", "code"), ["tree", "leaf"]
+    starts = asked.select("q", F.posexplode("leaves").alias("tree", "leaf")).join(
+        entries.select("tree", "leaf", "node"), ["tree", "leaf"]
     )
-    same = asked.join(index.nodes.select("vector", "node"), "vector").select("q", "node", F.lit(0.0).cast("float").alias("d"))
+    same = asked.join(index.nodes.select("vector", "node"), "vector").select("q", "node")
+
+    parts = max(1, int(index.graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    graph = index.graph.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = index.nodes.select("node", "code").repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = index.kind
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a = _vectors(b"".join(batch["q_code"].to_pylist()), width)
-                b = _vectors(b"".join(batch["code"].to_pylist()), width)
+                a, b = _vectors(batch["q_code"], width, "<f8"), _vectors(batch["code"], width, kind)
                 d = np.sqrt(((a - b) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([batch["q"], batch["node"], pa.array(d, pa.float32())], names=["q", "node", "d"])
+                yield pa.RecordBatch.from_arrays([batch["q"], batch["node"], pa.array(d, pa.float64())], names=["q", "node", "d"])
 
-    first = starts.select("q", "node", "q_code", "code").mapInArrow(measured, "q bigint, node bigint, d float")
+    def measured(pairs: DataFrame) -> DataFrame:
+        """``q, node`` with their distance and ``done`` false."""
+        both = pairs.distinct().join(vectors, "node").join(asked.select("q", "q_code"), "q").select("q", "node", "q_code", "code")
+        return both.mapInArrow(far, "q bigint, node bigint, d double").withColumn("done", F.lit(False))
 
     def kept(found: DataFrame) -> DataFrame:
         each = found.groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
         near = Window.partitionBy("q").orderBy("d", "node")
         return stored(each.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= beam))
 
-    state = kept(first.unionByName(same).withColumn("done", F.lit(False)))
-    parts = max(1, int(index.graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    graph = index.graph.select("node", "ids", "codes").repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, ids = _flat(batch["ids"])
-            ids, codes = ids.to_numpy(), batch["codes"].to_pylist()
-            asked_codes = batch["q_code"].to_pylist()
-            q, worst = batch["q"].to_numpy(), batch["worst"].to_numpy()
-            out: tuple[list, list, list] = ([], [], [])
-            for i in range(batch.num_rows):
-                if at[i] == at[i + 1]:
-                    continue
-                d = _distances(_vectors(asked_codes[i], width), _vectors(codes[i], width))[0]
-                near = np.flatnonzero(d < worst[i])
-                out[0].append(np.full(len(near), q[i]))
-                out[1].append(ids[at[i] : at[i + 1]][near])
-                out[2].append(d[near])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float32()))],
-                    names=["q", "node", "d"],
-                )
-
+    state = kept(measured(starts.select("q", "node").unionByName(same)))
     for _ in range(HOPS):
         if state.filter(~F.col("done")).isEmpty():
             break
-        worst = state.groupBy("q").agg(
-            F.when(F.count("*") >= beam, F.max("d")).otherwise(float("inf")).cast("float").alias("worst")
-        )
-        frontier = (
-            state.filter(~F.col("done")).select("q", "node").join(worst, "q").join(asked.select("q", "q_code"), "q")
-        )
-        reached = frontier.join(graph, "node").select("q", "q_code", "worst", "ids", "codes")
-        found = reached.mapInArrow(lambda batches: expand(b for b in batches if b.num_rows), "q bigint, node bigint, d float")
-        old = state.select("q", "node", "d").withColumn("done", F.lit(True))
-        state = kept(old.unionByName(found.withColumn("done", F.lit(False))))
+        reached = state.filter(~F.col("done")).select("q", "node").join(graph, "node").select("q", F.explode("ids").alias("node"))
+        found = measured(reached.join(state.select("q", "node"), ["q", "node"], "left_anti"))
+        state = kept(state.select("q", "node", "d").withColumn("done", F.lit(True)).unionByName(found))
     graph.unpersist()
+    vectors.unpersist()
 
     pairs = (
         state.select("q", "node")

@@ -211,6 +211,30 @@ def test_small_leaves_many_rounds_and_copies(spark, monkeypatch):
         assert [i for i, _ in got[q]] == [i for _, i in d]
 
 
+def nearest_of(spark, v, kind, k, queries):
+    """Share of the true k nearest that are found for ``queries`` (row numbers of ``v``)."""
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, vector array<{kind}>")
+    found = ann.search(ann.build(df, members=k + 1), df.filter(F.col("vec_id").isin([int(q) for q in queries])), k)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    v, hits = v.astype(np.float32 if kind == "float" else float).astype(float), 0
+    for q in queries:
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize("kind, noise", [("float", 1e-4), ("double", 1e-9)])
+def test_recall_in_a_group_of_near_copies(spark, kind, noise):
+    """A third of the rows lie closer together than a step of 8 bits, or than float32 can tell."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((2400, 16))
+    v[:800] = v[0] + noise * rng.standard_normal((800, 16))
+    assert nearest_of(spark, v / np.linalg.norm(v[0]), kind, 10, range(0, 800, 20)) >= 0.9
+
+
 def test_graph_of_one_row_and_of_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, vector array<double>")
     assert ann.search(ann.build(df, members=3), df, 2).collect() == []
