@@ -16,7 +16,7 @@ from huestrata.llm.common import on_workers, stored, table
 from huestrata.sources.shared import shared_folder
 
 #: A document goes if its language has less than this probability, or its quality less than that.
-LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
+LEAST_LANGUAGE, LEAST_QUALITY = 0.5, catalog.GOOD_FROM
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are not clearly of low quality."""
+    """Keeps documents that op6 predicts to be good."""
     on_workers(spark)
     model = catalog.quality_model(spark, sf_dir)
     found = quality.score_quality(docs, model, score="_score")

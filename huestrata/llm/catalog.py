@@ -20,6 +20,9 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A document is toxic from this probability on, and too long from this token count on.
 TOXIC_FROM, TOKEN_LIMIT = 0.3, 512
 
+#: A document is of good quality from this score on.
+GOOD_FROM = 0.5
+
 
 def _learning(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out())
@@ -86,7 +89,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, model).select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from huestrata.llm import catalog, language, quality
-from tests.llm.helpers import LARGER, documents, table
+from tests.llm.helpers import LARGER, LARGEST, documents, table
 from tests.llm.test_near import plain_components, plain_fingerprint
 
 
@@ -46,6 +46,13 @@ def test_clean_documents_stay(spark, kept):
         assert len(good & {r.doc_id for r in after}) >= 0.97 * len(there)
 
 
+def test_quality_stage_decides_as_op6(spark):
+    """Scores between 0.3 and 0.5, of which sf0.1 has some, are rejected by both."""
+    good = {r.doc_id for r in catalog.op6_quality(spark, LARGEST).filter("predicted = 1").collect()}
+    kept = corpus_pipeline.by_quality(spark, table(spark, "documents", LARGEST), LARGEST)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == good
+
+
 def test_one_document_of_each_component_stays(kept):
     before, after = kept[2]
     before = sorted(before, key=lambda r: r.doc_id)
