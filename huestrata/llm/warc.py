@@ -73,8 +73,8 @@ def resolve_revisits(records: DataFrame, *, slice_seconds: int = SLICE) -> DataF
     ``no_response``; in the last three headers and body are null.
 
     The as-of join takes the latest full response of the same canonical URL
-    that is strictly earlier (ties: the larger id). Only ids and times are
-    compared. Every URL and slice of time is a group of its own, and a running
+    that is strictly earlier (ties: the larger id, then the larger hash of
+    headers and body). Only ids, times and hashes are compared. Every URL and slice of time is a group of its own, and a running
     maximum over one row a slice carries the latest response on, so one URL
     with very many captures is spread over its slices. Bodies are joined once,
     to the revisits that have found a response. A revisit with a null URL or
@@ -83,9 +83,11 @@ def resolve_revisits(records: DataFrame, *, slice_seconds: int = SLICE) -> DataF
     rows = records.select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), "at", "status", "headers", "body"
     ).withColumn("slice", F.floor(F.col("at") / slice_seconds))
+    # Tells captures apart that share id, address and time.
+    digest = F.xxhash64(F.to_json(F.array_sort(F.map_entries("headers"))), "body")
     full = (F.col("status") == 200) & F.col("body").isNotNull() & F.col("canonical_url").isNotNull()
     revisit = F.col("status") == 304
-    mark = F.when(full & F.col("record_id").isNotNull(), F.struct("at", "record_id"))
+    mark = F.when(full & F.col("record_id").isNotNull(), F.struct("at", "record_id", digest.alias("digest")))
     key = ["canonical_url", "slice"]
     lines = rows.select(*key, "at", "record_id", revisit.alias("revisit"), mark.alias("mark"))
     lines = lines.filter((F.col("revisit") | F.col("mark").isNotNull()) & F.col("at").isNotNull())
@@ -101,24 +103,30 @@ def resolve_revisits(records: DataFrame, *, slice_seconds: int = SLICE) -> DataF
     pairs = (
         found.filter("canonical_url is not null")
         .join(slices, key, "left")
-        .select("record_id", "canonical_url", "at", F.coalesce("near", "carried")["record_id"].alias("resolved_id"))
+        .withColumn("mark", F.coalesce("near", "carried"))
+        .select(
+            "record_id", "canonical_url", "at", F.col("mark.record_id").alias("resolved_id"),
+            F.col("mark.at").alias("resolved_at"), F.col("mark.digest").alias("digest"),
+        )
         .distinct()
     )
     # Equal ids in one place resolve alike, so one row for each is enough on the right side.
     revisits = rows.filter(revisit).select("record_id", "canonical_url", "at", F.col("headers").alias("own"))
     same = [revisits[c].eqNullSafe(pairs[c]) for c in ("record_id", "canonical_url", "at")]
     asked = revisits.join(pairs, same, "left").select(
-        revisits["record_id"], revisits["canonical_url"], revisits["at"], "own", "resolved_id"
+        revisits["record_id"], revisits["canonical_url"], revisits["at"], "own", "resolved_id", "resolved_at", "digest"
     )
     responses = rows.filter(full).select(
-        F.col("record_id").alias("resolved_id"), F.col("headers").alias("theirs"), "body"
+        F.col("record_id").alias("resolved_id"), F.col("at").alias("resolved_at"), digest.alias("digest"),
+        "canonical_url", F.col("headers").alias("theirs"), "body",
     )
-    # A repeated response counts once.
-    one = responses.dropDuplicates(["resolved_id"]).withColumn("spread", F.lit(0).cast("bigint"))
+    # A repeated response counts once; one id may have several.
+    capture = ["resolved_id", "canonical_url", "resolved_at", "digest"]
+    one = responses.dropDuplicates(capture).withColumn("spread", F.lit(0).cast("bigint"))
     # Revisits that have found nothing match nothing; a hash keeps them from meeting in one task.
     lone = F.when(F.col("resolved_id").isNull(), F.xxhash64("record_id", "canonical_url", "at"))
     spread = asked.withColumn("spread", F.coalesce(lone, F.lit(0).cast("bigint")))
-    joined = spread.join(one, ["resolved_id", "spread"], "left")
+    joined = spread.join(one, [*capture, "spread"], "left")
     same_version = same_validator(F.col("own"), F.col("theirs"))
     outcome = (
         F.when(F.col("resolved_id").isNull(), "no_response")

@@ -75,6 +75,22 @@ def test_ties_take_the_larger_id_and_dates_validate(spark):
     assert got[4].outcome == got[5].outcome == "no_validator"
 
 
+def test_one_id_with_several_captures(spark):
+    """The body is that of the capture found, whatever else has its id."""
+    one, two = {"etag": '"1"'}, {"etag": '"2"'}
+    rows = [
+        (1, "http://a.org", 10, 200, one, "one"), (1, "http://b.org", 10, 200, two, "two"),
+        (1, "http://a.org", 30, 200, two, "three"),
+        (2, "http://a.org", 20, 304, one, None), (3, "http://b.org", 20, 304, two, None), (4, "http://a.org", 40, 304, two, None),
+        # The same id, address and time.
+        (5, "http://c.org", 10, 200, one, "x"), (5, "http://c.org", 10, 200, one, "y"), (6, "http://c.org", 20, 304, one, None),
+    ]
+    got = resolved(spark, rows)
+    assert {i: got[i].body for i in (2, 3, 4)} == {2: "one", 3: "two", 4: "three"}
+    assert {r.outcome for r in got.values()} == {"resolved"}
+    assert got == resolved(spark, rows[::-1])
+
+
 def test_repeats_stay_and_empty_input_gives_nothing(spark):
     rows = [(1, "u", 1, 200, {"etag": "e"}, "a")] + [(2, "u", 2, 304, {"etag": "e"}, None)] * 3
     df = spark.createDataFrame(rows, SCHEMA)
