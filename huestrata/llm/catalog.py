@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huestrata.llm import ann, bpe, language, maxscore, packing, quality, simhash, token_cache, toxicity, warc
+from huestrata.llm import (
+    ann,
+    bpe,
+    language,
+    maxscore,
+    packing,
+    quality,
+    runs,
+    simhash,
+    threshold,
+    token_cache,
+    toxicity,
+    warc,
+    word_table,
+)
 from huestrata.llm.common import held_out, on_workers, table
 from huestrata.sources.shared import shared_folder
 
@@ -147,6 +161,62 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the texts, by a hash of the id, repeat a stretch of their words from some place on.
+
+    A null id plants nothing.
+    """
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", hashed.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    at = chosen.withColumns({"n": n, "a": F.when(n > 0, g % n).cast("int"), "g": g})
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    joined = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return at.withColumn("p", period).select("doc_id", F.when(F.col("n") > 0, joined).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("before"), (-r["period"]).alias("small")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.array_max(ranked)).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.small")).alias("period"),
+        F.expr("1000 * best.length div -best.small").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return word_table.encode(docs, WORD_TOKENIZER).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: Centroids, rounds and seed of the clustering; components are whole 1024ths.
+CLUSTERS, ROUNDS, SEED, SIZE, SCALE = 8, 10, 3, 64, 1024
+
+
+def op13_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", threshold.whole(F.col("embedding"), SCALE, SIZE).alias("vector"))
+    found = threshold.cluster(rows, k=CLUSTERS, rounds=ROUNDS, seed=SEED)
+    text = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(text, 256).alias("centroid_sha256")
+    )
+
+
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         on_workers(spark)
@@ -159,7 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _query(f)
     for f in (
         op1_toxicity, op2_maxscore, op3_nn_descent, op4_byte_bpe, op5_simhash, op6_quality,
-        op7_warc_revisits, op8_packing, op9_token_counts, op10_language,
+        op7_warc_revisits, op8_packing, op9_token_counts, op10_language, op11_runs, op12_word_bpe, op13_threshold,
     )
 }
 
@@ -227,3 +297,35 @@ SELECT CAST(record_id AS BIGINT) AS record_id, canonical_url, CAST(page_id * 4 A
   CASE WHEN outcome = 'resolved' THEN CAST(strlen(html) AS BIGINT) END AS n_bytes
 FROM said
 """
+
+
+def _cluster_sql() -> str:
+    """Lloyd's rounds one after the other, vectors and centroids as rows of (id, dimension, value)."""
+    ctes = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS BIGINT) for x in embedding] AS v
+  FROM embeddings WHERE len(embedding) = {SIZE} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"v AS MATERIALIZED (SELECT row, unnest(range({SIZE})) AS dim, unnest(v) AS x FROM kept)",
+        f"""c0 AS MATERIALIZED (
+  SELECT k, unnest(range({SIZE})) AS dim, unnest(v) AS c
+  FROM (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id) NULLS LAST, v) - 1 AS k, v FROM kept) WHERE k < {CLUSTERS})""",
+    ]
+    for i in range(ROUNDS + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+  SELECT row, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT row, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM v JOIN c{i} USING (dim) GROUP BY row, k) GROUP BY row)""")
+        if i < ROUNDS:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT k, dim, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT k, dim, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS c FROM (
+      SELECT k, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{i} USING (row) GROUP BY k, dim)) m USING (k, dim))""")
+    return (
+        "WITH " + ",\n".join(ctes) + f""",
+named AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{ROUNDS} JOIN kept USING (row) JOIN named USING (k)"""
+    )
+
+
+ORACLE["op13_threshold"] = _cluster_sql()
