@@ -1,11 +1,13 @@
 """Colour-histogram time series from fixed cameras, as native Spark jobs."""
 
+from huestrata.operators.kernels import kernel_of, kernel_windows
 from huestrata.operators.merge import weighted_day_merge
 from huestrata.operators.windows import multi_day_window
 from huestrata.plans.cpm import (
     daily_cpm,
     facet_style,
     hourly_cpm,
+    kernel_cpm,
     noon_cpm,
     share_cpm,
     weighted_cpm,
@@ -38,7 +40,10 @@ __all__ = [
     "facet_style",
     "hourly_cpm",
     "hourly_distance",
+    "kernel_cpm",
+    "kernel_of",
     "kernel_profile",
+    "kernel_windows",
     "mean_coefficients",
     "multi_day_window",
     "noon_cpm",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 import huestrata as hs
@@ -10,6 +12,7 @@ from huestrata.functions import window_label
 from huestrata.operators.columns import long_histogram
 from huestrata.operators.groups import keep_complete_days
 from huestrata.operators.images import pick_first_image
+from huestrata.operators.kernels import kernel_of
 from huestrata.schema import (
     FIGURE_DAYS,
     FIGURE_LAST_GROUP,
@@ -147,6 +150,32 @@ def _window_compare(spark, sf):
     )
 
 
+def _drift(lag: int, hour: int) -> Decimal | None:
+    """Later hours weigh more on earlier days; the second day back has its noon alone."""
+    if lag == 2:
+        return Decimal("0.2") if hour == 12 else None
+    return Decimal(hour - 9 if lag else 15 - hour) / 100 * (2 if lag else 3)
+
+
+#: Not products of an hour and a day part; two of one width, one without its last day.
+KERNELS = {
+    "drift": kernel_of(_drift, 3, range(10, 15)),
+    "noon and after": {(0, 12): "0.5", (1, 12): "0.25", (1, 13): "0.15", (2, 14): "0.1"},
+    "eve": {(1, 10): "0.12345678", (1, 11): "0.37654322", (2, 12): "0.5"},
+    "edge": {(0, 10): "1.5", (3, 14): "-0.5"},
+}
+
+
+def _window_kernels(spark, sf):
+    return hs.kernel_windows(lineitem_histogram(spark, sf), KERNELS)
+
+
+def _window_kernel_stacks(spark, sf):
+    return hs.kernel_cpm(
+        events_histogram(spark, sf, dense=True, hours="day"), KERNELS, minute_first=True, exact_images=11
+    )
+
+
 def _window_years(spark, sf):
     return hs.window_cpm(
         lineitem_histogram(spark, sf),
@@ -183,6 +212,8 @@ QUERIES = {
     "window_07": _window(KERNEL_LAGS_7),
     "window_10": _window(KERNEL_LAGS_10),
     "window_compare": _window_compare,
+    "window_kernels": _window_kernels,
+    "window_kernel_stacks": _window_kernel_stacks,
     "window_multi_year": _window_years,
     "bin_distribution": _distribution,
     "bin_distribution_days": _distribution_days,
@@ -256,6 +287,36 @@ windows AS (
 """
 
 
+#: Weights of the kernels in parts of 1e-8, written out apart from their functions.
+_CELLS_SQL = {
+    "drift": [(0, h, (15 - h) * 3_000_000) for h in range(10, 15)]
+    + [(1, h, (h - 9) * 2_000_000) for h in range(10, 15)]
+    + [(2, 12, 20_000_000)],
+    "noon and after": [(0, 12, 50_000_000), (1, 12, 25_000_000), (1, 13, 15_000_000), (2, 14, 10_000_000)],
+    "eve": [(1, 10, 12_345_678), (1, 11, 37_654_322), (2, 12, 50_000_000)],
+    "edge": [(0, 10, 150_000_000), (3, 14, -50_000_000)],
+}
+
+
+def _kernels(dense: str, where: str = "true", gate: str = "") -> str:
+    """CTEs up to ``windows``: every cell copied to each window it belongs to."""
+    cells = ", ".join(f"('{m}', {lag}, {h}, {w})" for m, c in _CELLS_SQL.items() for lag, h, w in c)
+    sizes = ", ".join(f"('{m}', {len(c)})" for m, c in _CELLS_SQL.items())
+    return f"""WITH {dense}, cells(Mode, Lag, Hour, W) AS (VALUES {cells}), sizes(Mode, N) AS (VALUES {sizes}),
+source AS (SELECT * FROM dense WHERE Metric_Type = 'HSV' AND {where}),
+{sql.first_image("source")},
+gated AS (SELECT {sql.SERIES}, Year, Day FROM picked GROUP BY ALL {gate}),
+images AS (SELECT p.* FROM picked p SEMI JOIN gated USING ({sql.SERIES}, Year, Day) WHERE Minute = 0),
+windows AS (
+  SELECT {sql.SERIES}, Year, Day + Lag AS "Group", Bin, Mode,
+         CAST(sum(W * Bin_Value) AS BIGINT) // 100000000 AS Bin_Value
+  FROM images JOIN cells USING (Hour) JOIN sizes USING (Mode)
+  WHERE Day + Lag <= dayofyear(make_date(Year, 12, 31))
+  GROUP BY {sql.SERIES}, Year, Day + Lag, Bin, Mode, N
+  HAVING count(*) = N)
+"""
+
+
 _WINDOW_STACK = f"""
 SELECT 'H' AS Style, {sql.SERIES}, Year, "Group", Bin, Mode, Bin_Value,
        CAST(sum(Bin_Value) OVER w AS BIGINT) AS Y_max,
@@ -325,6 +386,8 @@ FROM dense LEFT JOIN weights USING (Hour) GROUP BY {sql.SERIES}, Year, Day, Metr
     "window_07": _event_window(sql.KERNEL_LAGS_7) + "SELECT * FROM windows",
     "window_10": _event_window(sql.KERNEL_LAGS_10) + "SELECT * FROM windows",
     "window_compare": _event_window(*_FOUR_SQL, figure=True) + _WINDOW_STACK,
+    "window_kernels": _kernels(sql.LINEITEM_DENSE) + "SELECT * FROM windows",
+    "window_kernel_stacks": _kernels(sql.EVENT_DAY_DENSE, "Minute = 0", _ELEVEN) + _WINDOW_STACK,
     "window_multi_year": _windows(
         sql.LINEITEM_DENSE, sql.KERNEL_HOURS_10_TO_14, [sql.KERNEL_LAGS_3],
         gate="HAVING count(DISTINCT Hour) >= 7", figure=True,

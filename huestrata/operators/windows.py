@@ -20,9 +20,8 @@ from huestrata.schema import (
 )
 
 
-def whole_days(
+def window_images(
     hist: DataFrame,
-    hours: Mapping[int, str],
     *,
     series: Sequence[str] = SERIES,
     metric: str = HSV,
@@ -32,12 +31,11 @@ def whole_days(
     minute_first: bool = False,
     days: int | None = None,
 ) -> DataFrame:
-    """Hour-weighted bins of the days that have an image at every kernel hour.
+    """Bins of the images that windows are made of: one image an hour, on days with enough of them.
 
-    The kernel is a product of an hour part and a day part, so the hours can be
-    summed up before any window is formed. ``Bin_Units`` is a size in thousandths
-    times a weight in ten-thousandths. ``days`` leaves out later days of a year.
-    A bin that is missing or unknown at one of the hours leaves its day out.
+    Sizes are whole thousandths of a pixel. ``minute_first`` keeps the images of
+    the minute before one is chosen, else after. ``days`` leaves out later days
+    of a year.
     """
     if minute_first:
         hist = hist.filter(F.col("Minute") == minute)
@@ -48,11 +46,26 @@ def whole_days(
         picked = only_complete_days(
             picked, series=series, exactly=exact_images, at_least=min_images
         )
-    weight = hour_weight(hours)
     if days is not None:
         picked = picked.filter(F.col("Day") <= days)
+    return picked.filter(F.col("Minute") == minute)
+
+
+def whole_days(
+    hist: DataFrame, hours: Mapping[int, str], *, series: Sequence[str] = SERIES, **image_options
+) -> DataFrame:
+    """Hour-weighted bins of the days that have an image at every kernel hour.
+
+    The kernel is a product of an hour part and a day part, so the hours can be
+    summed up before any window is formed. ``Bin_Units`` is a size in thousandths
+    times a weight in ten-thousandths. ``image_options`` are those of
+    ``window_images``. A bin that is missing or unknown at one of the hours
+    leaves its day out.
+    """
+    weight = hour_weight(hours)
     return (
-        picked.filter((F.col("Minute") == minute) & weight.isNotNull())
+        window_images(hist, series=series, **image_options)
+        .filter(weight.isNotNull())
         .groupBy(*series, "Year", "Day", "Bin")
         .agg(
             F.sum(weight * F.col("Bin_Value")).alias("Bin_Units"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from huestrata.functions import hour_label, paste, with_hsv_hex
 from huestrata.operators.columns import long_histogram, move_first
 from huestrata.operators.images import pick_first_image
+from huestrata.operators.kernels import Cells, kernel_windows
 from huestrata.operators.merge import weighted_day_merge
 from huestrata.operators.reshape import refuse_unless
 from huestrata.operators.stack import colour_styles, stack_bins, stack_shares
@@ -127,7 +128,17 @@ def window_cpm(
     **options,
 ) -> DataFrame:
     """One column per sliding window and window width, coloured by hue."""
-    merged = multi_day_window(hist, hours, lags, series=series, **options)
+    return _window_stack(multi_day_window(hist, hours, lags, series=series, **options), series)
+
+
+def kernel_cpm(
+    hist: DataFrame, kernels: Mapping[str, Cells], *, series: Sequence[str] = SERIES, **options
+) -> DataFrame:
+    """One column per sliding window and kernel, coloured by hue; see ``kernel_windows``."""
+    return _window_stack(kernel_windows(hist, kernels, series=series, **options), series)
+
+
+def _window_stack(merged: DataFrame, series: Sequence[str]) -> DataFrame:
     stacked = stack_bins(merged, [*series, "Year", "Mode", "Group"])
     keyed = (
         with_hsv_hex(stacked, "Bin", {"Color": (1, 1)})
