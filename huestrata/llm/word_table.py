@@ -32,13 +32,13 @@ from pyspark.sql import types as T
 from huestrata.llm.common import stored
 
 #: Characters and texts of a block, about; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_TEXTS = 16_000_000, 200_000
+BLOCK_CHARS, BLOCK_TEXTS = 32_000_000, 200_000
 
 #: Words of all blocks that meet in a slot, about.
-SLOT_WORDS = 100_000
+SLOT_WORDS = 300_000
 
 #: Blocks that a task of the last step puts together.
-TASK_BLOCKS = 2
+TASK_BLOCKS = 1
 
 #: Texts taken out of an Arrow batch, and put into one, at a time.
 _TEXTS = 256
