@@ -30,6 +30,7 @@ from huestrata.operators.reshape import (
     unpivot_columns,
     zip_rows,
 )
+from huestrata.operators.positions import as_factor, expand_grid, gather_rows
 from huestrata.operators.windows import window_members
 from huestrata.schema import (
     HOURS_8_TO_18,
@@ -259,7 +260,43 @@ def _kernel_profile(spark, sf):
     return hs.kernel_profile(lineitem_histogram(spark, sf, dense=False))
 
 
+def _factor(spark, sf):
+    """Level codes of a column in which one value holds over a third of the rows, and of one with given levels."""
+    kind = F.when(F.col("l_linenumber") <= 2, "bulk").otherwise(
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    )
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), "l_returnflag")
+    coded = as_factor(items, "kind", code="kind_code")
+    return as_factor(coded, "l_returnflag", code="flag_code", levels=["R", "A"])
+
+
+STYLES = ["H", "Mean", "Mode"]
+
+
+def _grid(spark, sf):
+    """A grid of a range, the years of a table, a list and a range with a step."""
+    years = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("Year")).distinct()
+    return expand_grid(spark, {"Hour": range(8, 19), "Year": years, "Style": STYLES, "Day": range(365, 0, -30)})
+
+
+def _gather(spark, sf):
+    """Orders by date at positions that line items ask for; many ask for the first, some for none there is."""
+    orders = table(spark, sf, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
+    position = (
+        F.when(F.col("l_linenumber") <= 2, F.lit(1).cast("bigint"))
+        .when(F.col("l_linenumber") == 3, -F.col("l_orderkey").cast("bigint"))
+        .when(F.col("l_linenumber") == 4, F.lit(None))
+        .otherwise(F.col("l_partkey").cast("bigint") * 7 + 1)
+    )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    asked = table(spark, sf, "lineitem").select(*keys, position.alias("Index")).distinct()
+    return gather_rows(orders, ["o_orderdate", "o_orderkey"], asked, outside="null", request_order=keys)
+
+
 QUERIES = {
+    "factor_codes": _factor,
+    "general_grid": _grid,
+    "gather_rows": _gather,
     "collapse_metric": _collapse,
     "select_hue_columns": _select_hue,
     "select_green_columns": _select_green,
@@ -304,6 +341,26 @@ members AS (
 """
 
 ORACLE = {
+    "factor_codes": """
+SELECT l_orderkey, l_linenumber, kind, l_returnflag, dense_rank() OVER (ORDER BY kind) AS kind_code,
+       CAST(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 END AS BIGINT) AS flag_code
+FROM (SELECT *, CASE WHEN l_linenumber <= 2 THEN 'bulk' ELSE 'part ' || l_partkey END AS kind FROM lineitem)""",
+    "general_grid": """
+SELECT row_number() OVER (ORDER BY Day DESC, place, Year, Hour) AS "Index", Hour, Year, Style, Day
+FROM (SELECT CAST(unnest(range(8, 19)) AS INTEGER) AS Hour),
+     (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS Year FROM lineitem),
+     (VALUES (1, 'H'), (2, 'Mean'), (3, 'Mode')) s(place, Style),
+     (SELECT CAST(unnest(range(365, 0, -30)) AS INTEGER) AS Day)""",
+    "gather_rows": """
+WITH numbered AS (
+  SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n, o_orderdate, o_orderkey, o_totalprice FROM orders),
+asked AS (
+  SELECT l_orderkey, l_linenumber, l_partkey,
+         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS Place,
+         CAST(CASE WHEN l_linenumber <= 2 THEN 1 WHEN l_linenumber = 3 THEN -l_orderkey
+              WHEN l_linenumber = 4 THEN NULL ELSE l_partkey * 7 + 1 END AS BIGINT) AS "Index"
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem))
+SELECT asked.*, o_orderdate, o_orderkey, o_totalprice FROM asked LEFT JOIN numbered ON n = "Index" """,
     "collapse_metric": f"""WITH {sql.EVENT_BINS}
 SELECT {_CELL_SQL}, Minute, 1000000 AS Considered_Pixels, Metric_Type, Bin, Bin_Value,
        CASE WHEN Metric_Type = 'HSV' THEN MeanA END AS HSV_SMean,
