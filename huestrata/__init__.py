@@ -26,6 +26,7 @@ from huestrata.plans.uncertainty import hourly_distance, relative_uncertainty, u
 from huestrata.sources.files import (
     read_histogram_csv,
     read_histograms,
+    read_numbered,
     read_palette,
     read_plain_csv,
     read_share_csv,
@@ -50,6 +51,7 @@ __all__ = [
     "parse_image_name",
     "read_histogram_csv",
     "read_histograms",
+    "read_numbered",
     "read_palette",
     "read_plain_csv",
     "read_share_csv",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 import huestrata as hs
 from huestrata.catalog import cpm, verbs
 from huestrata.catalog import oracle_parts as sql
+from huestrata.operators.columns import long_histogram
+from huestrata.operators.images import pick_first_in_file
+from huestrata.sources.files import FILE_PLACE
 from huestrata.sources.shared import shared_folder
-from huestrata.sources.tables import events_histogram
+from huestrata.sources.tables import events_histogram, table
 
 
 def _folder(spark, name):
@@ -66,7 +69,56 @@ def _figure_table(spark, sf):
     return spark.read.parquet(path)
 
 
+def _ordered_sink(spark, sf):
+    """The orders written in total order and numbered as their files, read by name, hold them."""
+    path = _folder(spark, "ordered")
+    orders = table(spark, sf, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice")
+    hs.write_table(orders, path, order=["o_orderstatus", "o_orderdate", "o_orderkey"], total_order=True)
+    return hs.read_numbered(spark, path)
+
+
+def _ordered_folders(spark, sf):
+    """The same with a folder for each year, ordered by price within it."""
+    path = _folder(spark, "folders")
+    orders = table(spark, sf, "orders").select(F.year("o_orderdate").alias("Year"), "o_orderkey", "o_totalprice")
+    hs.write_table(orders, path, by=["Year"], order=["o_totalprice", "o_orderkey"], total_order=True)
+    return hs.read_numbered(spark, path)
+
+
+def _file_order(spark, sf):
+    """The image of an hour that comes first in files written by later minutes and later cameras first."""
+    path = _folder(spark, "backwards")
+    hist = events_histogram(spark, sf).withColumn("Later", -F.col("Minute"))
+    number = F.regexp_extract("Camera_ID", r"(\d+)", 1).cast("int")
+    hist = hist.withColumn("Camera", -number)
+    hs.write_table(hist, path, order=["Dataset", "Year", "Day", "Hour", "Later", "Camera"], total_order=True)
+    stored = long_histogram(hs.read_histograms(spark, path, place=FILE_PLACE), extra=(FILE_PLACE,))
+    return pick_first_in_file(stored, place=FILE_PLACE, series=("Dataset",)).drop(FILE_PLACE)
+
+
+def _inferred_csv(spark, sf):
+    """Types found by column name in files of three headers, one of them without two of the columns."""
+    path = _folder(spark, "inferred")
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("Key"),
+        F.col("o_orderdate").cast("date").alias("Day"),
+        F.col("o_totalprice").alias("Price"),
+        (F.col("o_totalprice") > 100_000).alias("Dear"),
+        F.col("o_orderstatus").alias("Status"),
+        (F.col("o_orderkey").cast("bigint") * 3_000_000_000).alias("Long"),
+    )
+    names = orders.columns
+    for rest, columns in enumerate([names, names[::-1], ["Status", "Key", "Price", "Dear"]]):
+        part = orders.filter(F.col("Key") % 3 == rest).select(*columns)
+        part.write.mode("append").csv(path, header=True, compression="gzip")
+    return hs.read_plain_csv(spark, path).withColumn("Day", F.dayofyear("Day"))
+
+
 QUERIES = {
+    "ordered_sink": _ordered_sink,
+    "ordered_sink_folders": _ordered_folders,
+    "dedup_file_order": _file_order,
+    "inferred_csv_scan": _inferred_csv,
     "histogram_csv_scan": _histogram_csv,
     "histogram_parquet_layout": _histogram_parquet,
     "share_csv_scan": _share_csv,
@@ -91,6 +143,23 @@ SELECT {sql.SERIES}, Year, Day, Hour, Minute, Metric_Type, 1000000 AS Considered
 FROM hist"""
 
 ORACLE = {
+    "ordered_sink": """
+SELECT o_orderstatus, o_orderdate, o_orderkey, o_totalprice,
+       row_number() OVER (ORDER BY o_orderstatus, o_orderdate, o_orderkey) AS "Row" FROM orders""",
+    "ordered_sink_folders": """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS Year, o_orderkey, o_totalprice,
+       row_number() OVER (ORDER BY year(o_orderdate), o_totalprice, o_orderkey) AS "Row" FROM orders""",
+    "dedup_file_order": f"""WITH {sql.EVENT_BINS},
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY Dataset, Year, Day, Hour
+                         ORDER BY Minute DESC, CAST(regexp_extract(Camera_ID, '[0-9]+') AS INTEGER) DESC) AS r
+  FROM hist)
+SELECT {sql.SERIES}, Year, Day, Hour, Minute, Metric_Type, Bin, Bin_Value FROM ranked WHERE r = 1""",
+    "inferred_csv_scan": """
+SELECT CAST(o_orderkey AS INTEGER) AS "Key", CASE WHEN o_orderkey % 3 < 2 THEN CAST(dayofyear(o_orderdate) AS INTEGER) END AS "Day",
+       o_totalprice AS Price, o_totalprice > 100000 AS Dear, o_orderstatus AS Status,
+       CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey AS BIGINT) * 3000000000 END AS "Long"
+FROM orders""",
     "histogram_csv_scan": _HISTOGRAM,
     "histogram_parquet_layout": _HISTOGRAM,
     "share_csv_scan": cpm.ORACLE["share_cpm"],

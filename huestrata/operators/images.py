@@ -48,6 +48,37 @@ def pick_first_image(
     return one.agg(*[F.min_by(c, "_hash").alias(c) for c in values]).select(*df.columns)
 
 
+def pick_first_in_file(
+    df: DataFrame,
+    grain: Sequence[str] = ("Year", "Day", "Hour"),
+    *,
+    place: str,
+    series: Sequence[str] = SERIES,
+    image: Sequence[str] = ("Minute", "Camera_ID"),
+    bin_keys: Sequence[str] = ("Metric_Type", "Bin"),
+    cluster: Sequence[str] = ("Year", "Day"),
+) -> DataFrame:
+    """Keep the bins of the image of every group of ``grain`` that comes first in the files.
+
+    ``place`` is the place of a row in its files, as the readers add it. An image
+    counts as where its first row stands, so bins of two images never mix; of
+    repeated rows of one bin the first stays. One shuffle brings a day together,
+    as in ``pick_first_image``, and a day is bounded in the same way.
+    """
+    keys = [*series, *grain]
+    of_image = [*keys, *[c for c in image if c not in keys]]
+    values = [c for c in df.columns if c not in {*of_image, *bin_keys, place}]
+    kept = (
+        df.repartition(*series, *cluster)
+        .withColumn("_own", F.min(place).over(Window.partitionBy(*of_image)))
+        .withColumn("_first", F.min("_own").over(Window.partitionBy(*keys)))
+        .filter("_own = _first")
+    )
+    one = kept.groupBy(*of_image, *bin_keys)
+    first = [F.min_by(c, place).alias(c) for c in values]
+    return one.agg(*first, F.min(place).alias(place)).select(*df.columns)
+
+
 def only_complete_days(
     picked: DataFrame,
     *,

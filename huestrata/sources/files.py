@@ -2,44 +2,133 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from huestrata.functions import as_integer, clean_nan
 from huestrata.operators.columns import clean_histograms
+from huestrata.operators.positions import unused
 from huestrata.operators.reshape import unpivot_columns
 from huestrata.schema import HISTOGRAM_SCHEMA, TIMING_SCHEMA
+from huestrata.sources.shared import broadcast_if_small, shared_folder
 
 
-def _text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text under its header name; empty and ``NA`` are NULL.
+#: A scan that reads the first lines alone takes one file of up to this size a task, and one line at a time.
+_ONE_FILE = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 36),
+    "spark.sql.files.openCostInBytes": str(1 << 36),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+}
 
-    The reader matches columns by position, so files are read in groups of equal
-    headers, which are then matched by name. A file's header is its first line;
-    nothing else of the files is read to group them.
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file, header`` of every CSV file with a line that is not blank; ``header`` lists the column names.
+
+    One job finds them in tasks: a session of its own gives each file a task,
+    which ends after that line and need not read on (of a long file Spark has
+    read ahead by then). Nothing goes through the driver. As in Spark's reader an unnamed column is called ``_c`` and its place, and a
+    repeated name gets its place behind it.
+    """
+    own = spark.newSession()
+    for key, value in _ONE_FILE.items():
+        own.conf.set(key, value)
+    alone = all(own.conf.get(key) == value for key, value in _ONE_FILE.items())
+    at = F.col("_metadata")
+    lines = own.read.text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("start"), "value")
+
+    def first_lines(batches):
+        import csv
+
+        import pyarrow as pa
+
+        seen = set()
+        for batch in batches:
+            columns = [batch.column(name).to_pylist() for name in ("file", "start", "value")]
+            for file, start, line in zip(*columns):
+                line = line.removeprefix("\ufeff")
+                if start or file in seen or not line.strip():
+                    continue
+                seen.add(file)
+                names = next(csv.reader([line]))
+                lower = [name.lower() for name in names]
+                header = [
+                    f"_c{i}" if not name else f"{name}{i}" if lower.count(name.lower()) > 1 else name
+                    for i, name in enumerate(names)
+                ]
+                columns = [pa.array([file]), pa.array([header], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "header"])
+                if alone:
+                    return
+
+    schema = "file string, header array<string>"
+    target = f"{shared_folder(spark)}/headers-{uuid.uuid4().hex}"
+    lines.mapInArrow(first_lines, schema).write.parquet(target)
+    return spark.read.schema(schema).parquet(target)
+
+
+def _text_csv(
+    spark: SparkSession, path: str, names: Sequence[str] | None = None, place: str | None = None
+) -> DataFrame:
+    """The named columns (all, if none are named) as text; empty and ``NA`` are NULL.
+
+    Columns are matched by name, in any letter case, whatever their order in a
+    file; a column that a file does not have is NULL there. ``place`` adds the
+    place of a row, see ``FILE_PLACE``. Files are read in one scan. With one
+    header for all files it reads the named columns alone. Else it reads by
+    position, and the places of the names come by a join on the file; that table
+    is broadcast if its measured size allows.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in spark.read.format("binaryFile").load(path).select("path").collect():
-        header = spark.read.option("header", True).csv(file.path).columns
-        if header:
-            groups.setdefault(tuple(header), []).append(file.path)
-    if not groups:
+    files = csv_headers(spark, path)
+    facts = files.agg(
+        F.count("*").alias("files"), F.max(F.size("header")).alias("width"),
+        F.min("header").alias("least"), F.max("header").alias("most"),
+    ).first()
+    if not facts["files"]:
         raise ValueError(f"no file in {path}")
-    parts = [
-        spark.read.option("header", True).schema(_texts(header)).csv(files)
-        for header, files in groups.items()
-    ]
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return df.select(
-        *[
-            F.when(~F.trim(F.col(f"`{c}`")).isin("", "NA"), F.col(f"`{c}`")).alias(c)
-            for c in df.columns
-        ]
-    )
+    read = spark.read.option("header", True)
+    if facts["least"] == facts["most"]:
+        header = {c.lower(): c for c in facts["least"]}
+        rows = _placed(read.schema(_texts(facts["least"])).csv(path), place)
+        wanted = facts["least"] if names is None else names
+        cells = {c: F.col(f"`{header[c.lower()]}`") if c.lower() in header else F.lit(None).cast("string") for c in wanted}
+    else:
+        wanted = _all_names(files) if names is None else names
+        by_position = [f"_{i}" for i in range(facts["width"])]
+        scan = read.schema(_texts(by_position)).csv(path)
+        rows = _placed(scan, place, F.col("_metadata.file_path").alias("_file"))
+        lower = F.transform("header", F.lower)
+        places = F.array(*[F.array_position(lower, F.lit(c.lower())).cast("int") - 1 for c in wanted])
+        found = files.select(F.col("file").alias("_file"), places.alias("_places"))
+        rows = rows.join(broadcast_if_small(found), "_file").withColumn("_cells", F.array(*by_position))
+        # The name of a column that the file does not have is at place -1, which ``get`` reads as NULL.
+        cells = {c: F.get("_cells", F.col("_places")[i]) for i, c in enumerate(wanted)}
+    known = [F.when(~F.trim(cell).isin("", "NA"), cell).alias(c) for c, cell in cells.items()]
+    return rows.select(*known, *([place] if place else []))
+
+
+def _placed(scan: DataFrame, place: str | None, *more: Column) -> DataFrame:
+    """All columns of a text scan with the places of its rows, taken before any other step."""
+    if place is None:
+        return scan.select("*", *more)
+    at = F.col("_metadata")
+    parts = {"file": at["file_path"], "start": at["file_block_start"], "row": F.monotonically_increasing_id()}
+    return scan.select("*", *more, F.struct(*[c.alias(name) for name, c in parts.items()]).alias(place))
+
+
+def _all_names(files: DataFrame) -> list[str]:
+    """Names of all headers, in any letter case, by their first place in a header and then by name."""
+    names = files.select(F.posexplode("header").alias("at", "name"))
+    each = names.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("at", "name")).alias("first"))
+    return [r["name"] for r in each.select("first.*").orderBy("at", "name").collect()]
+
+
+#: Place of a row in the files it was read from: file, start of the part of the file, row within the part.
+#: Rows compare by it as they stand in the files, file by file in the order of their paths.
+FILE_PLACE = "File_Place"
 
 
 def _texts(header: Sequence[str]) -> T.StructType:
@@ -52,17 +141,21 @@ def _typed(field: T.StructField) -> Column:
     return F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name)
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_typed_csv(
+    spark: SparkSession, path: str, schema: T.StructType, place: str | None = None
+) -> DataFrame:
     """CSV columns picked by name and cast; text that does not fit becomes NULL."""
-    return _text_csv(spark, path).select(*[_typed(f) for f in schema.fields])
+    texts = _text_csv(spark, path, [f.name for f in schema.fields], place)
+    return texts.select(*[_typed(f) for f in schema.fields], *([place] if place else []))
 
 
-def read_histogram_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_histogram_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """Histogram CSV, plain or gzip, in any column order, which may differ from file to file.
 
     A gzip file is one scan task; convert it once with ``write_histograms``.
+    ``place`` names a column for the place of each row in the files.
     """
-    return clean_histograms(read_typed_csv(spark, path, HISTOGRAM_SCHEMA))
+    return clean_histograms(read_typed_csv(spark, path, HISTOGRAM_SCHEMA, place))
 
 
 def write_histograms(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -81,14 +174,18 @@ def write_histograms(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def read_histograms(spark: SparkSession, path: str) -> DataFrame:
+def read_histograms(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """The layout of ``write_histograms``, with the declared column types and order.
 
     Parquet columns are matched by name; the schema also keeps a dataset called
-    ``007`` from being read as a number.
+    ``007`` from being read as a number. ``place`` names a column for the place
+    of each row in the files.
     """
     names = [f.name for f in HISTOGRAM_SCHEMA.fields]
-    return clean_histograms(spark.read.schema(HISTOGRAM_SCHEMA).parquet(path).select(*names))
+    at = F.col("_metadata")
+    parts = {"file": at["file_path"], "start": F.lit(0).cast("bigint"), "row": at["row_index"]}
+    places = [F.struct(*[c.alias(name) for name, c in parts.items()]).alias(place)] if place else []
+    return clean_histograms(spark.read.schema(HISTOGRAM_SCHEMA).parquet(path).select(*names, *places))
 
 
 def read_share_csv(
@@ -130,10 +227,44 @@ def read_timing_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_plain_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    """CSV with inferred column types, or with the given ones matched by name."""
+    """CSV with inferred column types, or with the given ones; columns are matched by name.
+
+    One pass over the values finds the first of whole number (32 or 64 bits),
+    number, truth value, date and time that every known value of a column reads
+    as; other columns, and those without any value, stay text.
+    """
     if schema is not None:
         return read_typed_csv(spark, path, schema)
-    return spark.read.csv(path, header=True, inferSchema=True, nullValue="NA")
+    texts = _text_csv(spark, path)
+    tests = [
+        F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), _reads_as(c, kind, pattern))).alias(f"{i} {kind}")
+        for i, c in enumerate(texts.columns)
+        for kind, pattern in _KINDS.items()
+    ]
+    holds = texts.agg(*tests).first()
+    kinds = [
+        next((kind for kind in _KINDS if holds[f"{i} {kind}"]), "string") for i in range(len(texts.columns))
+    ]
+    return texts.select(
+        *[F.trim(F.col(f"`{c}`")).try_cast(k).alias(c) if k != "string" else F.col(f"`{c}`")
+          for c, k in zip(texts.columns, kinds)]
+    )
+
+
+#: Types that a column of texts is tried for, in this order, and how such a value is written.
+_KINDS = {
+    "int": r"[+-]?\d+",
+    "bigint": r"[+-]?\d+",
+    "double": r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Inf(inity)?",
+    "boolean": r"(?i)true|false",
+    "date": r"\d{4}-\d{2}-\d{2}",
+    "timestamp": r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?",
+}
+
+
+def _reads_as(column: str, kind: str, pattern: str) -> Column:
+    value = F.trim(F.col(f"`{column}`"))
+    return value.rlike(f"^({pattern})$") & value.try_cast(kind).isNotNull()
 
 
 def read_palette(spark: SparkSession, path: str) -> DataFrame:
@@ -171,15 +302,61 @@ def write_table(
     *,
     by: Sequence[str] = (),
     order: Sequence[str] = (),
+    total_order: bool = False,
     mode: str = "overwrite",
 ) -> None:
     """Sink of a figure-ready table, one folder for each value of ``by``.
 
     Rows with the same ``by`` are brought together, large groups in several
-    files, and each file is sorted by ``order``.
+    files, and each file is sorted by ``order``. With ``total_order`` the files,
+    read in the order of their names, hold the rows in the order of ``by`` and
+    ``order``; see ``read_numbered``.
     """
-    if by:
+    if total_order:
+        df = _in_total_order(df, [*by, *order])
+    elif by:
         df = df.hint("rebalance", *by)
-    if order:
+    if order and not total_order:
         df = df.sortWithinPartitions(*by, *order)
     df.write.mode(mode).partitionBy(*by).parquet(path)
+
+
+#: Spark numbers the files of a write with five digits, so more would not sort by name.
+MOST_FILES = 99_999
+
+
+def _in_total_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows dealt to ranges, so that the number of a task is its place in the order.
+
+    Copies of one key spread over several ranges by their place in the input,
+    which a checkpoint fixes for the case that an executor is lost.
+    """
+    if not order:
+        raise ValueError("a total order needs columns")
+    spark = df.sparkSession
+    shared_folder(spark)
+    ranges = min(MOST_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tie = unused("_tie", df)
+    return (
+        df.withColumn(tie, F.monotonically_increasing_id())
+        .checkpoint()
+        .repartitionByRange(ranges, *order, tie)
+        .sortWithinPartitions(*order, tie)
+        .drop(tie)
+    )
+
+
+def read_numbered(spark: SparkSession, path: str, name: str = "Row") -> DataFrame:
+    """A Parquet table with its rows numbered 1, 2, ... as they stand in the files, by the files' paths.
+
+    For a table written with ``total_order`` this is its order. Row counts by
+    file make the offsets: one row for each file, added up in one task and
+    broadcast if their measured size allows.
+    """
+    at = F.col("_metadata")
+    rows = spark.read.parquet(path).select("*", at["file_path"].alias("_file"), at["row_index"].alias("_at"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file")) - F.col("_rows")
+    offsets = sizes.select("_file", before.alias("_before"))
+    numbered = rows.join(broadcast_if_small(offsets), "_file")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_file", "_at", "_before")
