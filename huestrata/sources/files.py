@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,10 @@ from huestrata.schema import HISTOGRAM_SCHEMA, TIMING_SCHEMA
 from huestrata.sources.shared import broadcast_if_small, shared_folder
 
 
-#: A scan that reads the first lines alone takes one file of up to this size a task, and one line at a time.
+#: Files from this size on are not read to their end for a header.
+LONG_FILE = 64 << 20
+
+#: Settings of a scan that gives each of these files a task, and hands on one line at a time.
 _ONE_FILE = {
     "spark.sql.files.maxPartitionBytes": str(1 << 36),
     "spark.sql.files.openCostInBytes": str(1 << 36),
@@ -28,46 +32,63 @@ _ONE_FILE = {
 def csv_headers(spark: SparkSession, path: str) -> DataFrame:
     """``file, header`` of every CSV file with a line that is not blank; ``header`` lists the column names.
 
-    One job finds them in tasks: a session of its own gives each file a task,
-    which ends after that line and need not read on (of a long file Spark has
-    read ahead by then). Nothing goes through the driver. As in Spark's reader an unnamed column is called ``_c`` and its place, and a
+    The first lines are found in tasks, and no path goes through the driver. Of
+    the many short files Spark puts several into a task and keeps the first line
+    of each by a partial aggregate. Long files are picked by their size in the
+    listing; each is a task of its own, which ends after that line. As in
+    Spark's reader an unnamed column is called ``_c`` and its place, and a
     repeated name gets its place behind it.
     """
+    size = F.col("_metadata.file_size")
+    numbered = _lines(spark, path, size < LONG_FILE).withColumn("at", F.monotonically_increasing_id())
+    short = numbered.groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    target = f"{shared_folder(spark)}/headers-{uuid.uuid4().hex}"
+    short.select("file", _names(F.col("value")).alias("header")).write.parquet(target)
     own = spark.newSession()
     for key, value in _ONE_FILE.items():
         own.conf.set(key, value)
     alone = all(own.conf.get(key) == value for key, value in _ONE_FILE.items())
-    at = F.col("_metadata")
-    lines = own.read.text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("start"), "value")
 
     def first_lines(batches):
-        import csv
-
         import pyarrow as pa
 
         seen = set()
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("file", "start", "value")]
-            for file, start, line in zip(*columns):
-                line = line.removeprefix("\ufeff")
-                if start or file in seen or not line.strip():
-                    continue
-                seen.add(file)
-                names = next(csv.reader([line]))
-                lower = [name.lower() for name in names]
-                header = [
-                    f"_c{i}" if not name else f"{name}{i}" if lower.count(name.lower()) > 1 else name
-                    for i, name in enumerate(names)
-                ]
-                columns = [pa.array([file]), pa.array([header], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["file", "header"])
-                if alone:
-                    return
-
-    schema = "file string, header array<string>"
-    target = f"{shared_folder(spark)}/headers-{uuid.uuid4().hex}"
-    lines.mapInArrow(first_lines, schema).write.parquet(target)
-    return spark.read.schema(schema).parquet(target)
+            for file, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                if file not in seen:
+                    seen.add(file)
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([line])], ["file", "value"])
+            if alone:
+                return
+
+    found = _lines(own, path, size >= LONG_FILE).mapInArrow(first_lines, "file string, value string")
+    found.select("file", _names(F.col("value")).alias("header")).write.mode("append").parquet(target)
+    return spark.read.schema("file string, header array<string>").parquet(target)
+
+
+def _lines(spark: SparkSession, path: str, which: Column) -> DataFrame:
+    """Lines that are not blank, of the first part of every file that is asked for."""
+    at, value = F.col("_metadata"), F.regexp_replace("value", "^\ufeff", "")
+    first = spark.read.text(path).filter(which & (at["file_block_start"] == 0))
+    return first.select(at["file_path"].alias("file"), value.alias("value")).filter(F.trim("value") != "")
+
+
+def _names(line: Column) -> Column:
+    """Column names of a header line."""
+
+    @F.pandas_udf("array<string>")
+    def names(lines: pd.Series) -> pd.Series:
+        import csv
+
+        found = []
+        for cells in csv.reader(lines.tolist()):
+            lower = [c.lower() for c in cells]
+            found.append(
+                [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+            )
+        return pd.Series(found)
+
+    return names(line)
 
 
 def _text_csv(

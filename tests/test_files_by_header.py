@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 import huestrata as hs
 from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import pick_first_in_file
-from huestrata.sources import shared
+from huestrata.sources import files, shared
 from huestrata.sources.files import csv_headers, read_typed_csv
 from tests.helpers import histogram, hue_row
 from tests.test_plans import plan, shuffles
@@ -39,9 +39,9 @@ def many_files(folder, count, seed=1):
 
 
 def test_many_small_files_start_a_handful_of_jobs(spark, tmp_path):
-    rows = many_files(tmp_path, 400)
+    rows = many_files(tmp_path, 300)
     got, jobs = jobs_of(spark, lambda: sorted(map(tuple, read_typed_csv(spark, str(tmp_path), PAIR).collect())))
-    assert got == rows and len(rows) > 300
+    assert got == rows and len(rows) > 200
     assert jobs <= 12
 
 
@@ -61,15 +61,18 @@ def test_one_header_reads_the_named_columns_alone(spark, tmp_path):
     assert "Join" not in text and "note" not in text[text.index("ReadSchema"):]
 
 
-def test_headers_of_packed_files(spark, tmp_path):
-    """Each file gives one header, though Spark puts several files into a task when the session's settings are held."""
-    many_files(tmp_path, 30)
-    assert csv_headers(spark, str(tmp_path)).count() == 30
-    assert csv_headers(spark, str(tmp_path)).select("file").distinct().count() == 30
+@pytest.mark.parametrize("long_file", [0, 60, 1 << 40])
+def test_headers_of_short_and_long_files(spark, tmp_path, monkeypatch, long_file):
+    """Short files share a task, long ones have one each; each file gives one header."""
+    monkeypatch.setattr(files, "LONG_FILE", long_file)
+    many_files(tmp_path, 12)
+    got = {r.file.split("/")[-1]: r.header for r in csv_headers(spark, str(tmp_path)).collect()}
+    want = {f.name: f.read_text().split("\n")[0].split(",") for f in tmp_path.glob("*.csv")}
+    assert got == want
 
 
 def test_awkward_headers(spark, tmp_path):
-    files = {
+    made = {
         "bom.csv": "﻿cores,exectime\n1,2\n",
         "blank.csv": "\n\nCORES,note,ExecTime\n3,x,4\n",
         "quoted.csv": '"a, b","exectime","cores"\n9,6,5\n',
@@ -78,7 +81,7 @@ def test_awkward_headers(spark, tmp_path):
         "header_only.csv": "exectime,cores\n",
         "empty.csv": "",
     }
-    for name, text in files.items():
+    for name, text in made.items():
         (tmp_path / name).write_text(text, encoding="utf-8")
     got = sorted(map(tuple, read_typed_csv(spark, str(tmp_path), PAIR).collect()))
     assert got == [(1, 2.0), (3, 4.0), (5, 6.0), (7, 8.0), (9, None)]
@@ -113,12 +116,12 @@ def test_files_in_name_order_hold_the_total_order(spark, tmp_path):
     df = spark.createDataFrame(rows, "a int, b int").repartition(5)
     path = str(tmp_path / "out")
     hs.write_table(df, path, order=["a", "b"], total_order=True)
-    files = sorted((tmp_path / "out").glob("part-*.parquet"))
-    read = [tuple(r) for f in files for r in spark.read.parquet(str(f)).collect()]
+    parts = sorted((tmp_path / "out").glob("part-*.parquet"))
+    read = [tuple(r) for f in parts for r in spark.read.parquet(str(f)).collect()]
     key = lambda r: (r[0], r[1] is not None, r[1] or 0)
     assert read == sorted(rows, key=key)
-    sizes = [spark.read.parquet(str(f)).count() for f in files]
-    assert len(files) > 1 and max(sizes) < 0.6 * len(rows)
+    sizes = [spark.read.parquet(str(f)).count() for f in parts]
+    assert len(parts) > 1 and max(sizes) < 0.6 * len(rows)
     numbered = sorted((r.Row, r.a, r.b) for r in hs.read_numbered(spark, path).collect())
     assert [n for n, _, _ in numbered] == list(range(1, len(rows) + 1))
     assert [r[1:] for r in numbered] == read
