@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +124,44 @@ class VectorMemo(dict):
         return sum(parts, np.zeros(self.rows.shape[1]))
 
 
+#: The one large object that a worker keeps from task to task, by its name.
+_kept: dict[tuple, object] = {}
+
+
+def keep_one(name: tuple, make: Callable[[], object]):
+    """The object of that name, made on first use. A worker keeps one, so that operators that follow
+    each other in a reused worker do not add up their vocabularies."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+@contextmanager
+def task_memory(*, keeps: bool = False) -> Iterator[None]:
+    """Gives back to the system, before and after a task, what earlier work in this worker has left.
+
+    Freed memory otherwise stays with the allocators of a reused worker. Without
+    ``keeps`` the object of ``keep_one`` goes too: the task has no use for it.
+    """
+    if not keeps:
+        _kept.clear()
+    _give_back()
+    try:
+        yield
+    finally:
+        _give_back()
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import VectorMemo, draw, free_name
+from huestrata.llm.common import VectorMemo, draw, free_name, stored, task_memory
 
 #: Language given to a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -23,6 +23,9 @@ SAMPLE_ROWS = 3000
 #: Longest word list of a language, and longest n-gram list of a language and length.
 WORDS, GRAMS = 30_000, 5_000
 
+#: Terms of all lists together that reach the driver, and letters of a word in a list (longer ones go by n-grams).
+MODEL_TERMS, WORD_LETTERS = 1_000_000, 48
+
 #: Character n-grams, longest first; words are fenced with a space at either end.
 LENGTHS = (5, 4, 3, 2, 1)
 
@@ -101,9 +104,13 @@ def train(
 ) -> LanguageModel:
     """A model learned from the rows of ``docs`` with a language.
 
-    Counts are made by Spark over about ``sample_rows`` rows of every language;
-    the driver gets ``words`` words and ``grams`` n-grams of each length for a
-    language at most. Null texts add nothing; without rows the model is empty.
+    Counts are made by Spark over about ``sample_rows`` rows of every language.
+    A list holds the terms that occur at least so often that there are ``words``
+    words, or ``grams`` n-grams of a length, at most: terms of one count are in
+    it together, so no tie is broken. The bound comes from how many terms there
+    are of each count, so no task sorts the terms of a language. The driver gets
+    ``MODEL_TERMS`` terms of all languages at most, the lists being shorter if
+    there are many. Null texts add nothing; without rows the model is empty.
     """
     sample = draw(
         docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")),
@@ -113,32 +120,34 @@ def train(
     )
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counts = sample.select("lang", word.alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    fenced = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
-    pieces = F.array(
-        *[
-            F.when(
-                F.length(fenced) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(fenced) - n + 1), lambda i, n=n: F.substr(fenced, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in LENGTHS
-        ]
-    )
+    pieces = F.array(*[_grams(F.concat(F.lit(" "), F.col("term"), F.lit(" ")), n) for n in LENGTHS])
     gram_counts = (
         counts.select("lang", "n", F.explode(F.flatten(pieces)).alias("term"))
         .groupBy("lang", "term")
         .agg(F.sum("n").alias("n"))
         .withColumn("size", F.length("term"))
     )
-    parts = counts.withColumn("size", F.lit(0)).select("lang", "term", "size", "n").unionByName(gram_counts)
-    most = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
-    totals = Window.partitionBy("lang", "size")
-    kept = (
-        parts.withColumn("all", F.sum("n").over(totals))
-        .withColumn("place", F.row_number().over(most))
-        .filter(F.col("place") <= F.when(F.col("size") == 0, words).otherwise(grams))
-        .select("lang", "term", "size", "n", "all")
-    )
-    return _model(kept.toPandas())
+    short = counts.filter(F.length("term") <= WORD_LETTERS).withColumn("size", F.lit(0))
+    parts = stored(short.select("lang", "term", "size", "n").unionByName(gram_counts.select("lang", "term", "size", "n")))
+    totals = parts.groupBy("lang", "size").agg(F.sum("n").alias("all"))
+    languages = max(1, parts.select("lang").distinct().count())
+    share = MODEL_TERMS / (languages * (words + grams * len(LENGTHS)))
+    longest = F.when(F.col("size") == 0, int(words * min(1, share))).otherwise(int(grams * min(1, share)))
+    # One row for each count that occurs: few, and they grow with the root of the words counted.
+    levels = parts.groupBy("lang", "size", "n").agg(F.count("*").alias("terms"))
+    so_far = F.sum("terms").over(Window.partitionBy("lang", "size").orderBy(F.desc("n")))
+    least = levels.withColumn("so_far", so_far).filter(F.col("so_far") <= longest)
+    bound = least.groupBy("lang", "size").agg(F.min("n").alias("least")).join(totals, ["lang", "size"])
+    # A row for each language and length.
+    kept = parts.join(F.broadcast(bound), ["lang", "size"]).filter(F.col("n") >= F.col("least"))
+    return _model(kept.select("lang", "term", "size", "n", "all").toPandas())
+
+
+def _grams(fenced: Column, n: int) -> Column:
+    """All stretches of ``n`` characters."""
+    starts = F.sequence(F.lit(1), F.length(fenced) - n + 1)
+    found = F.transform(starts, lambda i: F.substr(fenced, i, F.lit(n)))
+    return F.when(F.length(fenced) >= n, found).otherwise(F.array().cast("array<string>"))
 
 
 def _model(kept: pd.DataFrame) -> LanguageModel:
@@ -179,11 +188,12 @@ def identify(
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own: LanguageModel = shared.value
-        memo = VectorMemo(own.piece, len(own.languages) + 1)
-        for texts in batches:
-            rows = [own.decide(memo.total((t or "").split())) for t in texts]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        with task_memory():
+            own: LanguageModel = shared.value
+            memo = VectorMemo(own.piece, len(own.languages) + 1)
+            for texts in batches:
+                rows = [own.decide(memo.total((t or "").split())) for t in texts]
+                yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     found = free_name(docs, "_found")
     return (

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import free_name, labelled_sample, logistic, sigmoid
+from huestrata.llm.common import free_name, labelled_sample, logistic, sigmoid, task_memory
 
 #: Labelled rows drawn for either label, and the longest text among them (a bounded sample).
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 20_000
@@ -124,11 +124,12 @@ def score_quality(
 
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own: QualityModel = shared.value
-        sizes = own.sizes()
-        for texts in batches:
-            inputs = np.array([sizes.of(t or "") for t in texts]).reshape(len(texts), 4)
-            yield pd.Series(own.scores(inputs))
+        with task_memory():
+            own: QualityModel = shared.value
+            sizes = own.sizes()
+            for texts in batches:
+                inputs = np.array([sizes.of(t or "") for t in texts]).reshape(len(texts), 4)
+                yield pd.Series(own.scores(inputs))
 
     at = free_name(docs, "_score")
     return docs.withColumn(at, predict(F.col(text))).withColumn(score, F.col(at)).drop(at)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import stored
+from huestrata.llm.common import stored, task_memory
 from huestrata.llm.components import connected
 
 #: Words of a shingle, seed of its hash, and bits by which linked fingerprints may differ.
@@ -62,8 +62,9 @@ def fingerprints(text: str = "text"):
 
     @F.pandas_udf("bigint")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+        with task_memory():
+            for texts in batches:
+                yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
     return found(F.col(text))
 

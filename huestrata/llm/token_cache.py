@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huestrata.llm.common import free_name
 from huestrata.llm.wordwise import encoder
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -53,11 +54,13 @@ def count_tokens(
     content = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
     _encode_misses(docs.select(digest.alias("content_digest"), content.alias("text")), cache, tokenizer, version)
+    rows = docs.drop(n_tokens)
+    own, count = free_name(docs, "_digest"), free_name(docs, "_count")
     counts = _known(spark, cache, version).select(
-        F.col("content_digest").alias("_digest"), F.col("n_tokens").alias("_count")
+        F.col("content_digest").alias(own), F.col("n_tokens").alias(count)
     )
-    keyed = docs.drop(n_tokens).withColumn("_digest", digest)
-    return keyed.join(counts, "_digest", "left").withColumnRenamed("_count", n_tokens).drop("_digest")
+    keyed = docs.withColumn(own, digest).select(*rows.columns, own)
+    return keyed.join(counts, own, "left").withColumnRenamed(count, n_tokens).drop(own)
 
 
 def _known(spark: SparkSession, cache: str, version: str) -> DataFrame:

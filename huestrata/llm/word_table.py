@@ -19,7 +19,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huestrata.llm.common import stored
+from huestrata.llm.common import keep_one, stored, task_memory
 
 #: Characters and texts of a block, about; a longer text is a block of its own.
 BLOCK_CHARS, BLOCK_TEXTS = 32_000_000, 200_000
@@ -98,9 +97,9 @@ class Words:
         return [t.id for t in self.library.model.tokenize(word)]
 
 
-@lru_cache(maxsize=1)
 def _words(path: str) -> Words:
-    return Words(path)
+    """The splitter and encoder of a tokenizer, loaded once in a worker."""
+    return keep_one(("words", path), lambda: Words(path))
 
 
 class _Places(dict):
@@ -181,21 +180,22 @@ def _split(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFrame:
     schema = T.StructType([T.StructField(name, t) for name, t in fields])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block, arrow = _words(tokenizer), None, None
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            if arrow is None:
-                plain = {"block": pa.string(), "n_words": pa.int64(), "keys": pa.list_(keys.type)}
-                arrow = pa.schema([(name, plain.get(name, pa.binary())) for name, _ in fields])
-            for start in range(0, len(keys), _TEXTS):
-                for k, t in zip(keys.slice(start, _TEXTS).to_pylist(), texts.slice(start, _TEXTS).to_pylist()):
-                    block = block or _Block(own)
-                    block.add(k, t)
-                    if block.full:
-                        yield block.row(arrow)
-                        block = None
-        if block:
-            yield block.row(arrow)
+        with task_memory(keeps=True):
+            own, block, arrow = _words(tokenizer), None, None
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                if arrow is None:
+                    plain = {"block": pa.string(), "n_words": pa.int64(), "keys": pa.list_(keys.type)}
+                    arrow = pa.schema([(name, plain.get(name, pa.binary())) for name, _ in fields])
+                for start in range(0, len(keys), _TEXTS):
+                    for k, t in zip(keys.slice(start, _TEXTS).to_pylist(), texts.slice(start, _TEXTS).to_pylist()):
+                        block = block or _Block(own)
+                        block.add(k, t)
+                        if block.full:
+                            yield block.row(arrow)
+                            block = None
+            if block:
+                yield block.row(arrow)
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit(""))).mapInArrow(blocks, schema)
 

@@ -6,10 +6,9 @@ import re
 import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
 from huestrata.llm.chunks import pieces
-from huestrata.llm.common import Memo
+from huestrata.llm.common import Memo, keep_one, task_memory
 
 #: Start of a special token as text; a piece with one goes to the library whole.
 _SPECIAL = "<"
@@ -94,16 +93,12 @@ class WordEncoder:
             memo.clear()
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 @contextmanager
 def encoder(path: str) -> Iterator[WordEncoder]:
     """The encoder of a tokenizer. A worker loads it once, and forgets the words at the end of a task."""
-    own = _encoder(path)
-    try:
-        yield own
-    finally:
-        own.forget()
+    with task_memory(keeps=True):
+        own = keep_one(("encoder", path), lambda: WordEncoder(path))
+        try:
+            yield own
+        finally:
+            own.forget()

@@ -1,6 +1,7 @@
 """Classifiers: what they must decide, and accuracy on rows they have not learned from."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -141,3 +142,74 @@ def test_logistic_finds_the_weights():
     x = rng.standard_normal((4000, 2))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
     assert logistic(x, y, 1e-6) == pytest.approx([2, -1, 0.5], abs=0.2)
+
+
+def test_language_lists_hold_whole_levels_of_counts(spark):
+    """Of the counts that occur, the highest go into a list as long as it stays within its bound."""
+    texts = ["aa " * 9 + "bb " * 5 + "cc dd ee", "aa " * 9 + "bb " * 5 + "ff " * 2]
+    docs = documents(spark, texts).withColumn("lang", F.lit("x"))
+    for words, want in ((1, {"aa"}), (2, {"aa", "bb"}), (3, {"aa", "bb", "ff"}), (5, {"aa", "bb", "ff"}), (6, {"aa", "bb", "ff", "cc", "dd", "ee"})):
+        assert set(language.train(docs, words=words).words) == want
+    long = documents(spark, ["y" * 49 + " zz zz"]).withColumn("lang", F.lit("x"))
+    assert set(language.train(long).words) == {"zz"}
+
+
+def test_language_scores_equal_a_plain_recomputation(spark):
+    """Every row of the query again, from the counts of the drawn documents in plain Python."""
+    from collections import Counter
+
+    docs = table(spark, "documents", LARGER).select("doc_id", "text", "lang")
+    drawn = draw(docs.filter(~held_out()), "doc_id", "lang", language.SAMPLE_ROWS).collect()
+    counts = {}
+    for r in drawn:
+        for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()):
+            counts.setdefault(r["lang"], Counter())[w] += 1
+    languages = sorted(counts)
+    tables, totals = {}, {}
+    for lang, of in counts.items():
+        sized = {0: Counter({w: n for w, n in of.items() if len(w) <= language.WORD_LETTERS})}
+        for w, n in of.items():
+            fenced = f" {w} "
+            for size in language.LENGTHS:
+                for i in range(len(fenced) - size + 1):
+                    sized.setdefault(size, Counter())[fenced[i : i + size]] += n
+        for size, terms in sized.items():
+            totals[lang, size] = sum(terms.values())
+            most, kept = language.WORDS if size == 0 else language.GRAMS, {}
+            for level in sorted(set(terms.values()), reverse=True):
+                of_level = {t: n for t, n in terms.items() if n == level}
+                if len(kept) + len(of_level) > most:
+                    break
+                kept |= of_level
+            for t, n in kept.items():
+                tables.setdefault(size, {}).setdefault(t, {})[lang] = n
+
+    def log_rows(size, term):
+        spread = language.SMOOTHING * (len(tables[size]) + 1)
+        row = tables[size][term]
+        return [math.log(row.get(x, 0) + language.SMOOTHING) - math.log(totals.get((x, size), 0) + spread) for x in languages]
+
+    def word_rows(word):
+        if word in tables[0]:
+            return log_rows(0, word)
+        for size in language.LENGTHS:
+            fenced = f" {word} "
+            found = [log_rows(size, g) for i in range(len(fenced) - size + 1) if (g := fenced[i : i + size]) in tables.get(size, {})]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [0.0] * len(languages)
+
+    rows = {r["doc_id"]: r for r in catalog.QUERIES["op10_language"](spark, LARGER).collect()}
+    checked = 0
+    for r in docs.collect()[::9]:
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        if not words:
+            assert (rows[r["doc_id"]]["lang_pred"], rows[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        sums = [sum(x) for x in zip(*map(word_rows, words))]
+        mean = [x / len(words) * min(len(words), language.EVIDENCE) for x in sums]
+        odds = [math.exp(x - max(mean)) for x in mean]
+        assert rows[r["doc_id"]]["lang_pred"] == languages[odds.index(max(odds))]
+        assert abs(rows[r["doc_id"]]["score"] - max(odds) / sum(odds)) < 1e-4
+        checked += 1
+    assert checked > 60

@@ -80,3 +80,64 @@ def test_run_packs_what_is_left(spark, kept):
         lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
     assert max(lengths.values()) <= 2048
     assert all(n == 2048 or n & (n - 1) == 0 for n in lengths.values())
+
+
+CLASHES = {"_lang": "kept", "_score": 0.25, "_digest": "own", "_key": "k", "_fp": 7, "_count": 3, "lang_pred": "x", "score": 1}
+
+
+def with_clashes(docs):
+    return docs.withColumns({name: F.lit(value) for name, value in CLASHES.items()})
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_clashing_names_keep_their_values(spark, stage):
+    docs = table(spark, "documents", LARGER).limit(60)
+    plain = stage(spark, docs, LARGER)
+    clashing = stage(spark, with_clashes(docs), LARGER)
+    assert clashing.columns == [*docs.columns, *CLASHES]
+    rows = clashing.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect()) != []
+    assert all(r[name] == value for r in rows for name, value in CLASHES.items())
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES])
+def test_stages_take_an_empty_table(spark, stage):
+    docs = table(spark, "documents", LARGER).filter("false")
+    assert stage(spark, docs, LARGER).collect() == []
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES[:2]])
+def test_filters_decide_by_the_text_alone(spark, stage):
+    """Null ids, repeated rows and nulls elsewhere change no decision; null texts never count as a language."""
+    docs = table(spark, "documents", LARGER).limit(40)
+    bare = docs.select(*[F.lit(None).cast(t).alias(c) if c != "text" else F.col(c) for c, t in docs.dtypes])
+    kept = sorted(r.text for r in stage(spark, docs, LARGER).collect())
+    assert sorted(r.text for r in stage(spark, bare.unionByName(bare), LARGER).collect()) == sorted(kept * 2)
+    null = docs.limit(1).withColumn("text", F.lit(None).cast("string"))
+    if stage is corpus_pipeline.by_language:
+        assert stage(spark, null, LARGER).collect() == []
+    else:
+        assert stage(spark, null, LARGER).count() == stage(spark, null.fillna("", ["text"]), LARGER).count()
+
+
+def test_of_rows_with_one_id_and_text_the_first_by_digest_stays(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "b", None, None), (1, text, "a", None, None), (1, None, "a", None, None), (1, "", "a", None, None)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    stage = corpus_pipeline.without_near_duplicates
+    found = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, schema).repartition(parts)
+        found.add(tuple(sorted(map(tuple, stage(spark, docs, "unused").collect()), key=repr)))
+    assert len(found) == 1
+    assert len(found.pop()) == 2
+
+
+def test_rows_that_go_are_taken_out_by_shuffle_where_they_are_many(spark, monkeypatch, kept):
+    from huestrata.sources import shared
+
+    before, after = kept[2]
+    docs = spark.createDataFrame(before, table(spark, "documents", LARGER).schema)
+    monkeypatch.setattr(shared.broadcast_if_small, "__defaults__", (0,))
+    rows = corpus_pipeline.without_near_duplicates(spark, docs, "unused").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in after)

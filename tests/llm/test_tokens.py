@@ -187,3 +187,14 @@ def test_empty_tables(spark, tmp_path):
     assert catalog.packed(none).collect() == []
     counted = token_cache.count_tokens(none, str(tmp_path / "c"), catalog.BYTE_TOKENIZER)
     assert counted.collect() == []
+
+
+def test_counts_beside_columns_of_clashing_names(spark, tmp_path):
+    docs = documents(spark, ["a b c", "a b c", None]).withColumns(
+        {"_digest": F.lit("own"), "_count": F.lit(5), "content_digest": F.lit(6), "n_tokens": F.lit(-1)}
+    )
+    counted = token_cache.count_tokens(docs, str(tmp_path / "cache"), catalog.BYTE_TOKENIZER)
+    assert counted.columns == [*[c for c in docs.columns if c != "n_tokens"], "n_tokens"]
+    rows = {r["doc_id"]: r for r in counted.collect()}
+    assert [rows[i]["n_tokens"] for i in range(3)] == [3, 3, 0]
+    assert all((r["_digest"], r["_count"], r["content_digest"]) == ("own", 5, 6) for r in rows.values())
