@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -179,14 +180,17 @@ def labelled_sample(
     text: str = "text",
     draw_by: str,
     per_label: int,
-    most_bytes: int,
+    most_chars: int,
 ) -> pd.DataFrame:
     """Texts and labels of a bounded sample, for a model that is fitted on the driver.
 
     About ``per_label`` rows of each value of ``draw_by`` and never more than
-    twice that in all; texts over ``most_bytes`` characters are passed over.
-    Rows with a null text, id or label, and ids with unequal labels, are left
-    out. The order depends on the texts alone. Only ids are broadcast.
+    twice that in all (by the number of columns). Rows are drawn whatever their
+    length; of a text over ``most_chars`` characters the sample has a piece of
+    that length from anywhere in it, by a hash of the id. So the driver gets
+    rows times ``most_chars`` characters at most. Rows with a null text, id or
+    label, and ids with unequal labels, are left out. The order depends on the
+    texts alone. Only ids are broadcast.
     """
     agreed = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"))
     each = agreed.agg(
@@ -196,12 +200,25 @@ def labelled_sample(
         each = each.filter(F.col(c) == F.col(f"_{c}"))
     drawn = draw(each.select("_id", *columns), "_id", draw_by, per_label)
     most = 2 * per_label * max(2, len(columns))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= most_bytes))
+    rest = F.greatest(F.length(text) - most_chars, F.lit(0))
+    start = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), rest + 1).cast("int") + 1
+    piece = F.when(rest > 0, F.substr(F.col(text), start, F.lit(most_chars))).otherwise(F.col(text))
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), piece.alias("text"))
     found = rows.join(F.broadcast(drawn.limit(most)), "_id").select("text", *columns).limit(most)
     return found.toPandas().sort_values(["text", *columns]).sample(frac=1, random_state=7)
 
 
+def base_rates(labels: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
+    """Rows of label 0 and of label 1, by column."""
+    counts = labels.agg(*[F.sum((F.col(c) == v).cast("bigint")).alias(f"{c} {v}") for c in columns for v in (0, 1)]).first()
+    return {c: (counts[f"{c} 0"] or 0, counts[f"{c} 1"] or 0) for c in columns}
+
+
+def text_fold(texts: Iterable[str], folds: int) -> np.ndarray:
+    """Fold of every text; equal texts are in one fold, so none is predicted by a model that has seen it."""
+    return np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t in texts], dtype=np.int64)
+
+
 def logistic(inputs: np.ndarray, target: np.ndarray, ridge: float) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton's method; the last one is the intercept."""
     x = np.c_[inputs, np.ones(len(inputs))]

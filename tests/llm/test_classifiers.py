@@ -1,15 +1,17 @@
 """Classifiers: what they must decide, and accuracy on rows they have not learned from."""
 
 import math
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from huestrata.llm import catalog, language, quality, toxicity
-from huestrata.llm.common import draw, held_out, logistic
+from huestrata.llm.common import draw, held_out, labelled_sample, logistic, text_fold
 from tests.llm.helpers import LARGER, LARGEST, documents, table
 
 
@@ -213,3 +215,108 @@ def test_language_scores_equal_a_plain_recomputation(spark):
         assert abs(rows[r["doc_id"]]["score"] - max(odds) / sum(odds)) < 1e-4
         checked += 1
     assert checked > 60
+
+
+def test_quality_scores_equal_a_plain_recomputation(spark):
+    """Every row of the query again: two compressions, one line, one logistic curve."""
+    model = catalog.quality_model(spark, LARGER)
+    rows = {r["doc_id"]: r for r in catalog.QUERIES["op6_quality"](spark, LARGER).collect()}
+    docs = table(spark, "documents", LARGER).collect()
+    assert len(rows) == len(docs)
+    packers = []
+    for content in (model.good, model.bad):
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers.append(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=made))
+    for r in docs:
+        raw = (r["text"] or "").encode()
+        good, bad = (len(p.compress(raw)) for p in packers)
+        odds = model.slope * (bad - good) / (len(raw) + 1) + model.intercept
+        want = 1 / (1 + math.exp(-odds))
+        got = rows[r["doc_id"]]
+        assert abs(got["score"] - want) < 1e-9 and got["predicted"] == (got["score"] >= 0.5)
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert 0 < len(model.good) <= quality.DICTIONARY_BYTES and 0 < len(model.bad) <= quality.DICTIONARY_BYTES
+
+
+def test_toxicity_scores_equal_a_plain_recomputation(spark):
+    model = catalog.toxicity_model(spark, LARGER)
+    rows = {r["doc_id"]: r for r in catalog.QUERIES["op1_toxicity"](spark, LARGER).collect()}
+    n = len(model.terms)
+    for r in table(spark, "documents", LARGER).collect():
+        words = set(re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))
+        words |= {w[:k] + "*" for w in words for k in toxicity.STEMS if len(w) > k}
+        fed, want = [], []
+        for weights, shift in zip(model.weights, model.shifts):
+            x = sum(w for t, w in zip(model.terms, weights) if t in words)
+            x += sum(a * b for a, b in zip(weights[n:-1], fed)) + weights[-1]
+            fed.append(1 / (1 + math.exp(-x)))
+            want.append(1 / (1 + math.exp(-(x + shift))))
+        got = rows[r["doc_id"]]
+        assert [got["p_junk"], got["p_toxic"]] == pytest.approx(want, abs=1e-9)
+        assert got["score"] == got["p_toxic"] and got["toxic"] == (got["score"] >= catalog.TOXIC_FROM)
+
+
+def test_out_of_fold_models_have_not_seen_the_fold_nor_equal_texts(spark, monkeypatch):
+    texts = [f"word{i % 40} other{i % 7}" for i in range(120)]  # each text several times
+    labels = spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(120)], "doc_id long, a int, b int")
+    seen = []
+    real = toxicity._Sample.telling
+
+    def telling(self, rows, y):
+        seen.append((rows, self.fold))
+        return real(self, rows, y)
+
+    monkeypatch.setattr(toxicity._Sample, "telling", telling)
+    model = toxicity.train(documents(spark, texts), labels, ["a", "b"])
+    whole = [rows.all() for rows, _ in seen]
+    assert whole.count(True) == 2 and len(seen) > 6
+    for rows, fold in seen:
+        left_out = set(fold[~rows])
+        assert rows.all() or (len(left_out) == 1 and not left_out & set(fold[rows]))
+    assert (text_fold(["x", "y", "x"], 5)[[0, 2]] == text_fold(["x"], 5)).all()
+    assert len(model.shifts) == 2
+
+
+def test_probabilities_are_set_back_to_the_share_of_all_labels(spark):
+    """One text in twenty is toxic for no reason the words give: a plain text gets about that probability."""
+    texts = [f"same words {i % 3}" for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 20 == 7)) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, texts), labels, ["toxic"], sample_rows=80)
+    (score,) = (r.p_toxic for r in toxicity.score_chain(documents(spark, ["unknown"]), model).collect())
+    assert 0.02 < score < 0.12
+
+
+def test_long_texts_are_learned_from_by_a_piece_from_anywhere(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(500)) for _ in range(40)] + ["short"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    rows = labelled_sample(documents(spark, texts), labels, ["quality"], draw_by="quality", per_label=100, most_chars=60)
+    assert len(rows) == 41
+    pieces = [t for t in rows["text"] if t != "short"]
+    assert {len(t) for t in pieces} == {60}
+    places = [next(at for at in range(441) if any(t == x[at : at + 60] for x in texts)) for t in pieces]
+    assert len(set(places)) > 5
+
+
+@pytest.mark.parametrize("rows", ["repeated", "clashing", "empty"])
+def test_classifiers_on_repeated_clashing_and_no_rows(spark, rows):
+    texts = [f"good text number {i} about things" for i in range(30)] + [f"junk $$$ {i} nasty" for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i < 30), int(i >= 30)) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, texts)
+    models = [quality.train(docs, labels), toxicity.train(docs, labels, ["toxic"])]
+    if rows == "repeated":
+        twice = docs.unionByName(docs)
+        again = [quality.train(twice, labels), toxicity.train(twice, labels, ["toxic"])]
+        for model in (models, again):
+            good = {r.doc_id: r.score for r in quality.score_quality(docs, model[0]).collect()}
+            toxic = {r.doc_id: r.p_toxic for r in toxicity.score_chain(twice, model[1]).collect()}
+            assert min(good[i] for i in range(30)) > max(good[i] for i in range(30, 60))
+            assert min(toxic[i] for i in range(30, 60)) > max(toxic[i] for i in range(30))
+        return
+    docs = docs.withColumns({"_score": F.lit(1), "_chain": F.lit(2), "p_toxic": F.lit("x"), "score": F.lit("y")})
+    docs = docs.limit(0) if rows == "empty" else docs.withColumn("text", F.concat("text", F.lit(" a" * 50_000)))
+    good, toxic = quality.score_quality(docs, models[0]), toxicity.score_chain(docs, models[1])
+    assert good.columns == docs.columns and toxic.columns == docs.columns
+    assert good.count() == toxic.count() == docs.count()
+    assert good.filter("_score <> 1 OR _chain <> 2 OR p_toxic <> 'x'").count() == 0
+    assert toxic.filter("_score <> 1 OR _chain <> 2 OR score <> 'y'").count() == 0

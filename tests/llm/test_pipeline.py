@@ -34,7 +34,7 @@ def test_filters_keep_exactly_what_their_models_say(spark, kept):
     model = catalog.quality_model(spark, LARGER)
     sizes = quality.Sizes(model.good, model.bad)
     before, after = kept[1]
-    score = dict(zip([r.doc_id for r in before], model.scores(np.array([sizes.of(r.text) for r in before]))))
+    score = dict(zip([r.doc_id for r in before], model.scores(np.array([sizes.difference(r.text) for r in before]))))
     assert {r.doc_id for r in after} == {i for i, s in score.items() if s >= corpus_pipeline.LEAST_QUALITY}
     assert len(after) < len(before)
 
