@@ -7,8 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard, queries that meet a shard together, and postings read at a time.
-SHARD_ROWS, QUERY_ROWS, STEP_ROWS = 8192, 512, 1024
+from huestrata.llm.common import stored
+
+#: Vectors of a shard, and queries that meet a shard together.
+SHARD_ROWS, QUERY_ROWS = 8192, 512
+
+#: Postings of a block, which is read or skipped as a whole, and terms whose first blocks give the first scores.
+BLOCK_POSTINGS, FIRST_TERMS = 64, 16
 
 #: Non-essential terms that are probed together before candidates are checked again.
 PROBE_TERMS = 8
@@ -25,56 +30,92 @@ def whole(vector: Column) -> Column:
 
 
 class Shard:
-    """Postings of a block of vectors.
+    """Posting lists of a block of vectors.
 
-    A component is two terms: a query with a positive weight is matched by how
-    far a vector lies above the shard's minimum, one with a negative weight by
-    how far it lies below the maximum. So every contribution is at least zero
-    and has a bound, which MaxScore needs, and a constant makes up the rest.
+    A component is a term by its place and sign, and its size is the impact. A
+    list holds the vectors with that term, highest impact first, in blocks; the
+    first impact of a block bounds the block, the first of all bounds the term.
+    Only terms of the query's own signs raise a score, so their bounds add up to
+    a bound of the score; components of the other sign lower it.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
+        #: Postings read, and vectors looked up, since the shard was made.
+        self.read = self.probed = 0
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+        for column in self.vectors.T:
+            for impact in (column, -column):
+                places = np.flatnonzero(impact > 0)
+                places = places[np.argsort(-impact[places], kind="stable")]
+                self.lists.append((places, impact[places]))
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors but the query's own, ties to the smaller id."""
-        weight = np.abs(query)
-        bound = weight * (self.high - self.low)
+        dims = np.flatnonzero(query)
+        lists = [self.lists[2 * d + (query[d] < 0)] for d in dims]
+        weight = np.abs(query[dims])
+        bound = np.array([w * impact[0] if len(impact) else w * 0 for w, (_, impact) in zip(weight, lists)], query.dtype)
         order = np.argsort(-bound, kind="stable")
+        dims, weight, bound, lists = dims[order], weight[order], bound[order], [lists[i] for i in order]
         # rest[i]: the most that terms from place i on can add.
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)
-        base = np.where(query > 0, query * self.low, query * self.high).sum()
-        ids, scores = self.ids[:0], np.zeros(0)
-        for at in range(0, len(self.ids), STEP_ROWS):
-            block = np.flatnonzero(self.ids[at : at + STEP_ROWS] != own) + at
-            least = scores[-1] if len(scores) == k else -np.inf
-            # Non-essential: terms that together cannot lift a vector to the least score kept.
-            essential = int(np.searchsorted(-(base + rest), -least, side="right")) if least > -np.inf else len(order)
-            if not essential:
-                continue
-            terms = order[: min(essential, len(order))]
-            reached = base + self._add(block, query, terms)
-            place = len(terms)
-            while place < len(order) and len(block):
-                keep = reached + rest[place] >= least
-                block, reached = block[keep], reached[keep]
-                terms = order[place : place + PROBE_TERMS]
-                reached = reached + self._add(block, query, terms)
-                place += len(terms)
-            keep = reached >= least
-            ids, scores = np.append(ids, self.ids[block[keep]]), np.append(scores, reached[keep])
-            first = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[first], scores[first]
-        return ids, scores
-
-    def _add(self, block: np.ndarray, query: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """What the postings of some terms add to the vectors of a block."""
-        own = query[terms]
-        start = np.where(own > 0, self.low[terms], self.high[terms])
-        rows = self.vectors[block] if len(terms) == self.vectors.shape[1] else self.vectors[np.ix_(block, terms)]
-        return (rows if len(terms) < self.vectors.shape[1] else rows[:, terms]) @ own - start @ own
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0)
+        other = self.ids != own
+        firsts = [places[:BLOCK_POSTINGS] for places, _ in lists[:FIRST_TERMS]]
+        ids, scores = self._first(np.unique(np.concatenate([*firsts, np.zeros(0, np.int64)])).astype(np.int64), other, query, k)
+        if len(scores) < k or scores[-1] <= 0:
+            # A vector without any of the terms could be among the best.
+            return self._first(np.arange(len(self.ids)), other, query, k)
+        least = scores[-1]
+        # Non-essential: terms that together cannot lift a vector to the least score kept.
+        essential = int(np.argmax(rest < least))
+        reached = np.zeros(len(self.ids), self.vectors.dtype)
+        met, possible = np.zeros(len(self.ids), bool), other.copy()
+        for i in range(essential):
+            places, impact = lists[i]
+            # Below this impact even the bounds of all other terms do not lift a vector to the least score.
+            needed = least - (rest[0] - bound[i])
+            blocks = int(np.searchsorted(-(weight[i] * impact[::BLOCK_POSTINGS]), -needed, side="right"))
+            stop = min(len(places), blocks * BLOCK_POSTINGS)
+            self.read += stop
+            places = places[:stop]
+            reached[places] += weight[i] * impact[:stop]
+            met[places] = True
+            if needed > 0:
+                in_list = np.zeros(len(self.ids), bool)
+                in_list[places] = True
+                possible &= in_list
+        left = np.flatnonzero(met & possible)
+        left = left[reached[left] + rest[essential] >= least]
+        self.probed += len(left)
+        sums = reached[left]
+        for place in [*range(0, essential, PROBE_TERMS)]:
+            at = slice(place, min(essential, place + PROBE_TERMS))
+            # What lies on the other side of an essential term.
+            sums = sums + np.minimum(self.vectors[np.ix_(left, dims[at])] * query[dims[at]], 0).sum(axis=1)
+            left, sums = self._competitive(left, sums, rest[essential], least)
+        for place in range(essential, len(dims), PROBE_TERMS):
+            at = slice(place, place + PROBE_TERMS)
+            sums = sums + self.vectors[np.ix_(left, dims[at])] @ query[dims[at]]
+            left, sums = self._competitive(left, sums, rest[min(len(dims), place + PROBE_TERMS)], least)
+        return self._cut(self.ids[left], sums, k)
+
+    @staticmethod
+    def _competitive(left: np.ndarray, sums: np.ndarray, rest, least) -> tuple[np.ndarray, np.ndarray]:
+        keep = sums + rest >= least
+        return left[keep], sums[keep]
+
+    def _first(self, places: np.ndarray, other: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some vectors, by exact scores."""
+        places = places[other[places]]
+        self.probed += len(places)
+        return self._cut(self.ids[places], self.vectors[places] @ query, k)
+
+    @staticmethod
+    def _cut(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        first = np.lexsort((ids, -scores))[:k]
+        return ids[first], scores[first]
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -87,7 +128,8 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of highest integer inner product for each query.
 
-    Both tables have ``vec_id`` and integer ``vector``; null ids and vectors take
+    Both tables have ``vec_id`` and integer ``vector``, and other columns are not
+    looked at; null ids and vectors take
     no part, a row repeated with the same id and vector counts once, and a row
     with the query's id is not its candidate. Shorter vectors end in zeros. Rows
     are dealt to shards and queries to blocks by a hash; each pair of a shard and
@@ -95,9 +137,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     shards' lists are merged by a window over those.
     """
     rows, queries = (
-        x.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vector")
-        .filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
-        .distinct()
+        stored(
+            x.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vector")
+            .filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+            .distinct()
+        )
         for x in (rows, queries)
     )
     n, m = rows.count(), queries.count()

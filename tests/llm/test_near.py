@@ -135,9 +135,9 @@ def brute_top(queries, rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale, step, shard", [(256, 1024, 8192), (3, 16, 64), (1, 5, 10**6), (2**26, 64, 300)])
+@pytest.mark.parametrize("scale, step, shard", [(256, 64, 8192), (3, 16, 64), (1, 5, 10**6), (2**26, 64, 300)])
 def test_top_k_equals_all_pairs(spark, monkeypatch, scale, step, shard):
-    monkeypatch.setattr(maxscore, "STEP_ROWS", step)
+    monkeypatch.setattr(maxscore, "BLOCK_POSTINGS", step)
     monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
     monkeypatch.setattr(maxscore, "QUERY_ROWS", 7)
     rng = np.random.default_rng(scale)
@@ -148,6 +148,44 @@ def test_top_k_equals_all_pairs(spark, monkeypatch, scale, step, shard):
     assert sorted(map(tuple, got.collect())) == brute_top(queries, vectors, 5)
 
 
+def sparse_rows(rng, count, width):
+    """Few terms to a vector, and impacts of very different size, as in text."""
+    out = []
+    for i in range(count):
+        v = np.zeros(width)
+        at = rng.choice(width, 6, replace=False, p=1 / np.arange(1, width + 1) / (1 / np.arange(1, width + 1)).sum())
+        v[at] = np.ceil(rng.pareto(1.2, 6) * 10) * rng.choice([1, 1, 1, -1], 6)
+        out.append(v)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("block", [1, 16, 64])
+def test_postings_are_skipped_and_few_vectors_are_looked_up(monkeypatch, block):
+    monkeypatch.setattr(maxscore, "BLOCK_POSTINGS", block)
+    rng = np.random.default_rng(block)
+    vectors = sparse_rows(rng, 3000, 80)
+    shard = maxscore.Shard(np.arange(3000), vectors)
+    queries = sparse_rows(rng, 60, 80)
+    whole = 0
+    for own, query in enumerate(queries):
+        ids, scores = shard.best(own, query, 5)
+        every = vectors @ query
+        want = [i for i in np.lexsort((np.arange(3000), -every)) if i != own][:5]
+        assert ids.tolist() == want and scores.tolist() == every[want].tolist()
+        whole += sum(len(shard.lists[2 * d + (query[d] < 0)][0]) for d in np.flatnonzero(query))
+    assert shard.probed < 0.2 * len(queries) * len(vectors)
+    assert shard.read < 0.97 * whole
+    assert shard.read + shard.probed < len(queries) * len(vectors)
+
+
+def test_top_k_beside_columns_of_clashing_names(spark):
+    rows = [(i, [i, -i, i % 3]) for i in range(30)]
+    df = embeddings(spark, rows).withColumns({c: F.lit("x") for c in ("rank", "score", "query_id", "shard", "block")})
+    got = maxscore.top_k(df.filter("vec_id < 3"), df, 4)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == brute_top(rows[:3], rows, 4)
+
+
 def test_top_k_with_few_rows(spark):
     df = embeddings(spark, [(0, [1, 2]), (1, [3]), (2, [])])
     got = sorted(map(tuple, maxscore.top_k(df.filter("vec_id = 0"), df, 5).collect()))
