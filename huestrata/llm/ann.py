@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from huestrata.llm.common import stored
+from huestrata.sources.shared import broadcast_if_small
 
 #: Neighbours of a node, and reverse neighbours that take part in a round.
 NEIGHBOURS, REVERSE = 20, 16
@@ -26,8 +27,12 @@ PASSED = 6
 #: Projection trees that give the first lists, nodes of a leaf, neighbours taken from one leaf.
 TREES, LEAF, FROM_LEAF = 6, 1024, 10
 
-#: Rounds at most, and the share of list places that must change for another round.
-ROUNDS, LEAST_CHANGE = 3, 0.01
+#: The share of list places that must change for another round. Rounds are bounded by twice the binary digits of the
+#: number of nodes.
+LEAST_CHANGE = 0.01
+
+#: Further planes that a leaf of more than ``2 * LEAF`` nodes is split by, through the middle of its nodes.
+MORE_PLANES = 24
 
 #: Nodes a query keeps during the search, entry nodes it takes from each tree, hops at most.
 BEAM, ENTRIES, HOPS = 256, 12, 40
@@ -96,10 +101,35 @@ def _coded(df: DataFrame, planes: np.ndarray, width: int, kind: str) -> DataFram
 
 
 def _leaf_lists(nodes: DataFrame, width: int, kind: str) -> DataFrame:
-    """First candidates: the nearest nodes within each leaf. Leaves that are too full are split by a hash."""
+    """First candidates: the nearest nodes within each leaf.
+
+    A leaf that is too full, such as one of near copies, is split by further
+    planes through the middle of its nodes, as many as its size asks for. What
+    planes cannot part is split by a hash.
+    """
     spots = nodes.select("node", "code", F.posexplode("leaves").alias("tree", "leaf"))
-    parts = spots.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / F.lit(2.0 * LEAF)).cast("int").alias("parts"))
-    placed = spots.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    planes = np.random.default_rng(SEED + 1).standard_normal((MORE_PLANES, width))
+
+    @F.pandas_udf("array<double>")
+    def along(codes: pd.Series) -> pd.Series:
+        return pd.Series(list(_vectors(pa.array(codes, pa.binary()), width, kind).astype(float) @ planes.T))
+
+    times = F.count("*") / F.lit(2.0 * LEAF)
+    sizes = spots.groupBy("tree", "leaf").agg(F.ceil(F.log2(F.greatest(times, F.lit(1.0)))).cast("int").alias("splits"))
+    sized = spots.join(sizes, ["tree", "leaf"])
+    crowded = stored(sized.filter("splits > 0").withColumn("along", along("code")))
+    middles = crowded.groupBy("tree", "leaf").agg(
+        F.array(*[F.avg(F.col("along")[i]) for i in range(MORE_PLANES)]).alias("middle")
+    )
+    # Each tree begins with other planes.
+    first = F.col("tree") * 4 % MORE_PLANES
+    turned = F.zip_with("along", "middle", lambda x, m: F.when(x > m, "1").otherwise("0"))
+    sides = F.slice(F.concat(turned, turned), first + 1, F.least(F.col("splits"), F.lit(MORE_PLANES)))
+    parted = crowded.join(middles, ["tree", "leaf"]).withColumn("side", F.array_join(sides, ""))
+    columns = ["tree", "leaf", "side", "node", "code"]
+    cells = sized.filter("splits = 0").withColumn("side", F.lit("")).select(*columns).unionByName(parted.select(*columns))
+    parts = cells.groupBy("tree", "leaf", "side").agg(F.ceil(F.count("*") / F.lit(2.0 * LEAF)).cast("int").alias("parts"))
+    placed = cells.join(parts, ["tree", "leaf", "side"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
         own, n = group["node"].to_numpy(), len(group)
@@ -112,7 +142,7 @@ def _leaf_lists(nodes: DataFrame, width: int, kind: str) -> DataFrame:
         best = np.argpartition(d, k - 1, axis=1)[:, :k]
         return pd.DataFrame({"node": np.repeat(own, k), "id": own[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
 
-    return placed.groupBy("tree", "leaf", "part").applyInPandas(nearest, "node bigint, id bigint, d double")
+    return placed.groupBy("tree", "leaf", "side", "part").applyInPandas(nearest, "node bigint, id bigint, d double")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -263,7 +293,7 @@ def build(rows: DataFrame, *, members: int) -> Index:
     Equal vectors are one node, named by their smallest id, with their
     ``members`` smallest ids: a large group of copies is a single node. The
     first lists come from the leaves of random projection trees, then rounds of
-    NN-descent replace them. Each round is a few joins on the node; lists,
+    NN-descent replace them until few places of the lists change. Each round is a few joins on the node; lists,
     messages and leaves have a fixed length, whatever the data. Lists are ordered
     by exact distances of the given numbers, so vectors may lie as close as
     their type can tell. Shorter vectors end in zeros. Intermediate tables lie in
@@ -302,7 +332,7 @@ def build(rows: DataFrame, *, members: int) -> Index:
         F.array().cast("array<boolean>").alias("fresh"),
     )
     lists = stored(_merged(empty, _leaf_lists(nodes, width, kind), NEIGHBOURS))
-    for _ in range(ROUNDS):
+    for _ in range(2 * max(1, n).bit_length()):
         lists = stored(_merged(lists, _round(lists, nodes, width, kind), NEIGHBOURS))
         _forget(rows.sparkSession)
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
@@ -347,6 +377,8 @@ def search(index: Index, queries: DataFrame, k: int, *, beam: int = BEAM) -> Dat
     vectors = index.nodes.select("node", "code").repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
 
     kind = index.kind
+    # Where they are few the query vectors go to all tasks once, and only pairs of ids are dealt in a hop.
+    q_codes = broadcast_if_small(asked.select("q", "q_code"))
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,7 +389,7 @@ def search(index: Index, queries: DataFrame, k: int, *, beam: int = BEAM) -> Dat
 
     def measured(pairs: DataFrame) -> DataFrame:
         """``q, node`` with their distance and ``done`` false."""
-        both = pairs.distinct().join(vectors, "node").join(asked.select("q", "q_code"), "q").select("q", "node", "q_code", "code")
+        both = pairs.distinct().join(vectors, "node").join(q_codes, "q").select("q", "node", "q_code", "code")
         return both.mapInArrow(far, "q bigint, node bigint, d double").withColumn("done", F.lit(False))
 
     def kept(found: DataFrame) -> DataFrame:
