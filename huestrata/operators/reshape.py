@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huestrata.functions import case_of, year_days
+from huestrata.functions import year_days
 from huestrata.operators.groups import duplicate_keys
 from huestrata.sources.shared import shared_folder
 
@@ -39,10 +39,14 @@ def pivot_bins(
     computed: a cell holds one value, and no row is left out.
     """
     bins = list(bins)
-    words = [bins[i : i + _BITS] for i in range(0, len(bins), _BITS)]
+    # Place of a bin in the list, from 0; one lookup for all bins, whose bits are kept in words.
+    place = (F.array_position(F.array(*[F.lit(b) for b in bins]), F.col("Bin")) - 1).cast("int")
+    df = df.withColumn("_place", place)
     seen = [
-        F.bit_or(F.coalesce(case_of("Bin", {b: 1 << i for i, b in enumerate(word)}), F.lit(0)))
-        for word in words
+        F.bit_or(
+            F.when(F.expr(f"_place >= 0 AND _place div {_BITS} = {word}"), F.expr(f"shiftleft(1L, _place % {_BITS})")).otherwise(0)
+        )
+        for word in range(-(-len(bins) // _BITS))
     ]
     found = sum((F.bit_count(bits) for bits in seen), F.lit(0))
     wide = df.groupBy(*keys).agg(

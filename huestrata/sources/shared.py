@@ -17,10 +17,16 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder of this session in its shared storage, removed when the driver ends.
 
     It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse.
+    On a cluster a warehouse in the file system of one machine is refused: the
+    executors would not find there what others have written.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            base = spark.conf.get("spark.sql.warehouse.dir")
+            if base.startswith("file:") and not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{base.rstrip('/')}/shared-{uuid.uuid4().hex}"
         context.setCheckpointDir(folder)
         atexit.register(_remove, context, folder)
