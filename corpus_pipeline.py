@@ -59,7 +59,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     # Nulls come last, so an id wins over none.
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
     rooted = stored(keys.select("fp", "key", "copies", place.alias("place")).join(components, "fp"))
-    first = rooted.groupBy("root").agg(F.min("place").alias("first"))
+    # One row for each component, apart from the aggregate, so that Spark can split the join at a large component.
+    first = broadcast_if_small(rooted.groupBy("root").agg(F.min("place").alias("first")))
     decided = rooted.join(first, "root").select("key", "copies", (F.col("place") == F.col("first")).alias("stays"))
     gone = broadcast_if_small(decided.filter(~F.col("stays") | (F.col("copies") > 1)).select(F.col("key").alias(key), "stays"))
     single = own.join(gone.select(key), key, "left_anti")
