@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huestrata.llm.common import VectorMemo, draw, free_name, stored, task_memory
+from huestrata.llm.common import VECTOR_ENTRIES, VectorMemo, draw, free_name, stored, task_memory
 
 #: Language given to a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -69,29 +69,46 @@ class LanguageModel:
                 if (at := self.grams.get(fenced[i : i + length])) is not None
             ]
             if found:
-                return self.rows[found].sum(axis=0) / len(found)
+                return np.add.reduce(self.rows[found]) / len(found)
         return np.zeros(len(self.languages))
 
-    def piece(self, piece: str) -> np.ndarray:
-        """Sum over the words of a piece of text, and the number of words."""
-        words = _WORD.findall(piece.lower())
-        total = np.zeros(len(self.languages) + 1)
-        total[-1] = len(words)
-        for word in words:
-            total[:-1] += self.word(word)
-        return total
-
-    def decide(self, total: np.ndarray) -> tuple[str, float]:
-        """Language and its share of the probability; ties go to the first language by name."""
-        count = total[-1]
+    def decide(self, total: np.ndarray, count: int) -> tuple[str, float]:
+        """Language and its share of the probability, from the sum over ``count`` words.
+
+        Ties go to the first language by name.
+        """
         if not count or not self.languages:
             return UNDETERMINED, 0.0
-        mean = total[:-1] / count * min(count, EVIDENCE)
+        mean = total / count * min(count, EVIDENCE)
         odds = np.exp(mean - mean.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+class WordRows(VectorMemo):
+    """Rows of words: those of the model as they are, others worked out on first use."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__(model.word, model.rows.shape[1])
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words but the model's."""
+        super().clear()
+        self.update(self.model.words)
+        known = self.model.rows[: len(self)].astype(float)
+        self.rows = np.concatenate([known, np.zeros((max(1024, len(known)), known.shape[1]))])
+        self.entries = len(self) + VECTOR_ENTRIES
+
+    def of(self, text: str) -> tuple[np.ndarray, int]:
+        """Sum over the words of a text, and their number."""
+        words = _WORD.findall(text.lower())
+        if not self.model.languages:
+            return np.zeros(0), len(words)
+        return self.total(words), len(words)
+
+
 def train(
     docs: DataFrame,
     *,
@@ -190,9 +207,9 @@ def identify(
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with task_memory():
             own: LanguageModel = shared.value
-            memo = VectorMemo(own.piece, len(own.languages) + 1)
+            memo = WordRows(own)
             for texts in batches:
-                rows = [own.decide(memo.total((t or "").split())) for t in texts]
+                rows = [own.decide(*memo.of(t or "")) for t in texts]
                 yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     found = free_name(docs, "_found")
