@@ -284,3 +284,24 @@ def test_op5_format(spark):
     rows = catalog.op5_simhash(spark, SMALL).collect()
     assert len(rows) == table(spark, "documents").count()
     assert all(len(r.fingerprint) == 16 and r.component_id <= r.doc_id for r in rows)
+
+
+def test_near_duplicates_beside_columns_of_clashing_names(spark):
+    texts = ["one two three four", "one two three four", "something else here now"]
+    docs = documents(spark, texts).withColumns({c: F.lit("x") for c in ("fp", "component_id", "root", "smallest", "node")})
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
+def test_graph_of_very_long_vectors_beside_columns_of_clashing_names(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((60, 5000))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    rows = rows.withColumns({c: F.lit("x") for c in ("node", "code", "leaves", "members", "place", "score", "rank")})
+    index = ann.build(rows, members=4)
+    got = {}
+    for r in ann.search(index, rows.filter("vec_id < 3"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(3):
+        d = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        assert got[q] == [int(i) for i in np.argsort(d) if i != q][:3]

@@ -198,3 +198,27 @@ def test_counts_beside_columns_of_clashing_names(spark, tmp_path):
     rows = {r["doc_id"]: r for r in counted.collect()}
     assert [rows[i]["n_tokens"] for i in range(3)] == [3, 3, 0]
     assert all((r["_digest"], r["_count"], r["content_digest"]) == ("own", 5, 6) for r in rows.values())
+
+
+def test_encoding_beside_columns_of_clashing_names(spark, reference):
+    """``ids`` and ``decoded`` are replaced where asked for; every other column keeps its values."""
+    texts = ["clash one", None, "clash one"]
+    docs = documents(spark, texts).withColumns({"_encoded": F.lit("own"), "decoded": F.lit("x"), "ids": F.lit(1)})
+    plain = bpe.encode(docs, catalog.BYTE_RANKS, public_tokenizers.PATTERN)
+    assert plain.columns == docs.columns
+    both = bpe.encode(docs, catalog.BYTE_RANKS, public_tokenizers.PATTERN, decoded="decoded")
+    assert sorted(both.columns) == sorted(docs.columns)
+    for r in plain.collect():
+        assert r["_encoded"] == "own" and r["decoded"] == "x"
+    for r in both.collect():
+        text = texts[r["doc_id"]] or ""
+        assert np.frombuffer(r["ids"], "<u4").tolist() == reference.encode_ordinary(text)
+        assert bytes(r["decoded"]).decode() == text and r["_encoded"] == "own"
+
+
+def test_packing_beside_columns_of_clashing_names(spark):
+    docs = documents(spark, ["a b c", "d e f"]).withColumns(
+        {c: F.lit(-1) for c in ("start", "length", "offset", "sequence_id", "doc_tokens")}
+    )
+    plain = sorted(map(tuple, catalog.packed(documents(spark, ["a b c", "d e f"]).coalesce(1)).collect()))
+    assert sorted(map(tuple, catalog.packed(docs.coalesce(1)).collect())) == plain
