@@ -18,7 +18,7 @@ from huestrata.llm.common import base_rates, free_name, labelled_sample, logisti
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
 
 #: Bytes of a drawn text that go into a dictionary at most (a piece from anywhere), length of a dictionary, and compression level.
-PIECE_BYTES, DICTIONARY_BYTES, LEVEL = 2_000, 1 << 19, 6
+PIECE_BYTES, DICTIONARY_BYTES, LEVEL = 2_000, 1 << 21, 9
 
 RIDGE = 0.01
 
