@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.operators.groups import hours_seen
+from huestrata.operators.spread import spread, tasks_for
 from huestrata.schema import SERIES
 
 
@@ -19,6 +20,7 @@ def pick_first_image(
     order: Sequence[str] = ("Minute", "Camera_ID"),
     bin_keys: Sequence[str] = ("Metric_Type", "Bin"),
     cluster: Sequence[str] = ("Year", "Day"),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Keep the bins of the earliest image of every group of ``grain``.
 
@@ -27,7 +29,9 @@ def pick_first_image(
     rows stay, so bins of two images never mix. Copies are then folded within
     the day, so a copy never counts twice; of unequal rows of one bin the same
     one stays in every run. The output stays partitioned by ``series`` and
-    ``cluster`` and later day-level steps need no further shuffle.
+    ``cluster`` and later day-level steps need no further shuffle. The rows are
+    counted first, and dealt to so many tasks that none has to hold more than
+    fit its memory; ``tasks`` gives the number instead.
 
     An hour has at most 60 images by camera and minute, so a day is bounded by
     its distinct rows. ``write_histograms`` folds copies, with a map-side stage,
@@ -39,7 +43,7 @@ def pick_first_image(
     place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
     earliest = F.min("_place").over(Window.partitionBy(*keys))
     kept = (
-        df.repartition(*series, *cluster)
+        spread(df, [*series, *cluster], tasks_for(df) if tasks is None else tasks)
         .withColumn("_place", place)
         .withColumn("_first", earliest)
         .filter("_place <=> _first")
@@ -69,7 +73,7 @@ def pick_first_in_file(
     of_image = [*keys, *[c for c in image if c not in keys]]
     values = [c for c in df.columns if c not in {*of_image, *bin_keys, place}]
     kept = (
-        df.repartition(*series, *cluster)
+        spread(df, [*series, *cluster], tasks_for(df))
         .withColumn("_own", F.min(place).over(Window.partitionBy(*of_image)))
         .withColumn("_first", F.min("_own").over(Window.partitionBy(*keys)))
         .filter("_own = _first")

@@ -13,6 +13,7 @@ from huestrata.operators.images import pick_first_image
 from huestrata.operators.kernels import Cells, kernel_windows
 from huestrata.operators.merge import weighted_day_merge
 from huestrata.operators.reshape import refuse_unless
+from huestrata.operators.spread import spread, tasks_for
 from huestrata.operators.stack import colour_styles, stack_bins, stack_shares
 from huestrata.operators.windows import multi_day_window
 from huestrata.schema import GCC, GCC_ATTRIBUTES, HSV, HSV_ATTRIBUTES, SERIES
@@ -63,17 +64,18 @@ def daily_cpm(
     if pick not in (None, "earliest"):
         raise ValueError("pick is None or 'earliest'")
     long, day = _long(hist, series, metrics), ("Year", "Day")
+    tasks = tasks_for(long)
     order = [c for c in ("Hour", "Minute", "Camera_ID") if c not in series]
     if pick is None:
         image, key = F.struct(*order), Window.partitionBy(*series, *day)
         one = F.min(image).over(key).eqNullSafe(F.max(image).over(key))
         long = (
-            long.repartition(*series, *day)
+            spread(long, [*series, *day], tasks)
             .withColumn("_one", one)
             .filter(refuse_unless("_one", "daily_cpm: several images of one day"))
             .drop("_one")
         )
-    picked = pick_first_image(long, day, series=series, order=order)
+    picked = pick_first_image(long, day, series=series, order=order, tasks=tasks)
     return _stacked(picked, day, series, metrics)
 
 

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huestrata.operators.spread import spread, tasks_for
 from huestrata.schema import GCC, HISTOGRAM_SCHEMA, HSV
 
 #: Narrow keys of an image; names and calendar columns are written out at the end.
 _IMAGE = ["_camera", "_date", "Hour", "Minute", "Metric_Type"]
 _VALUES = ["Size", "MeanA", "MeanB", "MaxA", "MaxB"]
 
+#: Bins of the images that a row of a table is in, and how many bins one task fills up at most.
+_EVENT_BINS, _ITEM_BINS, _FILLED = 136, 36, 8_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +41,8 @@ def events_histogram(
         "day": F.when(F.dayofyear("ts") % 14 == 13, F.hour("ts")).otherwise(F.hour("ts") % 11 + 8),
     }[hours]
     minute = F.when(F.minute("ts") < 45, 0).otherwise(45)
-    events = table(spark, sf_dir, "events").select(
+    source = table(spark, sf_dir, "events")
+    events = source.select(
         F.expr("user_id div 75").alias("_camera"),
         F.to_date("ts").alias("_date"),
         hour.alias("Hour"),
@@ -65,12 +70,15 @@ def events_histogram(
         F.max("a").alias("MaxA"),
         F.max("b").alias("MaxB"),
     )
-    return _as_histogram(_all_bins(bins) if dense else bins, "evt_")
+    if dense:
+        bins = _all_bins(bins, tasks_for(source, _FILLED // _EVENT_BINS))
+    return _as_histogram(bins, "evt_")
 
 
 def lineitem_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = True) -> DataFrame:
     """Hue metric only, several years, one image per camera and hour 8..14."""
-    items = table(spark, sf_dir, "lineitem").select(
+    source = table(spark, sf_dir, "lineitem")
+    items = source.select(
         F.expr("l_suppkey div 100").alias("_camera"),
         F.to_date("l_shipdate").alias("_date"),
         (F.col("l_linenumber") + 7).alias("Hour"),
@@ -84,12 +92,20 @@ def lineitem_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = True)
         *[F.lit(None).cast("double").alias(c) for c in ("MeanA", "MeanB")],
         *[F.lit(None).cast("bigint").alias(c) for c in ("MaxA", "MaxB")],
     )
-    return _as_histogram(_all_bins(bins) if dense else bins, "lin_")
+    if dense:
+        bins = _all_bins(bins, tasks_for(source, _FILLED // _ITEM_BINS))
+    return _as_histogram(bins, "lin_")
+
 
+def _all_bins(bins: DataFrame, tasks: int) -> DataFrame:
+    """Every bin of every image present; an image holds at most 100 bins.
 
-def _all_bins(bins: DataFrame) -> DataFrame:
-    """Every bin of every image present; an image holds at most 100 bins."""
-    images = bins.groupBy(*_IMAGE).agg(
+    A task hands over many more bins than it reads, and the next shuffle keeps
+    them in its memory until they are written, so the days are dealt to
+    ``tasks`` tasks. The other keys of an image can be constants, which Spark
+    drops from the grouping and would shuffle for again.
+    """
+    images = spread(bins, ["_camera", "_date"], tasks).groupBy(*_IMAGE).agg(
         F.map_from_entries(F.collect_list(F.struct("Bin", F.struct(*_VALUES)))).alias("_found")
     )
     domain = F.when(
