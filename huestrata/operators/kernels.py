@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huestrata.functions import case_of, whole_div, year_days
-from huestrata.operators.windows import window_images
+from huestrata.operators.spread import spread
+from huestrata.operators.windows import window_images, window_tasks
 from huestrata.schema import SERIES, SIZE_UNITS
 
 #: Cells of a window: weight by (lag in days, hour).
@@ -87,7 +88,9 @@ def kernel_windows(
         for by_hour in by_lag.values():
             ratios.setdefault(_ratio(by_hour)[0], f"_part_{len(ratios)}")
     hours = sorted({hour for ratio in ratios for hour, _ in ratio})
-    images = window_images(hist, series=series, **day_options).filter(F.col("Hour").isin(hours))
+    tasks = window_tasks(hist, **day_options)
+    images = window_images(hist, series=series, tasks=tasks, **day_options)
+    images = images.filter(F.col("Hour").isin(hours))
     parts = images.groupBy(*series, "Year", "Day", "Bin").agg(
         *[_part(dict(ratio)).alias(name) for ratio, name in ratios.items()]
     )
@@ -119,7 +122,7 @@ def kernel_windows(
         group = F.col("Day") + first[name]
         merged.append(F.struct(F.lit(name).alias("Mode"), group.alias("Group"), size.alias("Bin_Value")))
     last = year_days() if last_group is None else F.lit(last_group)
-    slid = known.repartition(*series, "Year").withColumns(back)
+    slid = spread(known, [*series, "Year"], tasks).withColumns(back)
     return (
         slid.select(*series, "Year", "Bin", F.inline(F.array(*merged)))
         .filter(F.col("Bin_Value").isNotNull() & (F.col("Group") <= last))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from huestrata.functions import case_of, hour_weight, whole_div, window_label, year_days
 from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import only_complete_days, pick_first_image
+from huestrata.operators.spread import spread, tasks_for
 from huestrata.schema import (
     HSV,
     SERIES,
@@ -30,17 +31,20 @@ def window_images(
     minute: int = 0,
     minute_first: bool = False,
     days: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Bins of the images that windows are made of: one image an hour, on days with enough of them.
 
     Sizes are whole thousandths of a pixel. ``minute_first`` keeps the images of
     the minute before one is chosen, else after. ``days`` leaves out later days
-    of a year.
+    of a year. ``tasks`` is the one of ``pick_first_image``.
     """
     if minute_first:
         hist = hist.filter(F.col("Minute") == minute)
     picked = pick_first_image(
-        long_histogram(hist, series=series, metrics=(metric,), units=SIZE_UNITS), series=series
+        long_histogram(hist, series=series, metrics=(metric,), units=SIZE_UNITS),
+        series=series,
+        tasks=tasks,
     )
     if exact_images is not None or min_images is not None:
         picked = only_complete_days(
@@ -76,12 +80,18 @@ def whole_days(
     )
 
 
+def window_tasks(hist: DataFrame, *, metric: str = HSV, **_) -> int:
+    """Tasks for the images of windows; enough for their days too, which have fewer rows."""
+    return tasks_for(hist.filter(F.col("Metric_Type") == metric))
+
+
 def slide_days(
     daily: DataFrame,
     kernels: Mapping[str, Sequence[str]],
     *,
     series: Sequence[str] = SERIES,
     last_group: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Trailing windows of any number of kernels in one pass over the days.
 
@@ -90,7 +100,8 @@ def slide_days(
     ``width - 1`` days back; the days in between are then present too. Rows are
     neither copied per lag nor joined: each kernel is a weighted sum of
     ``lag`` columns, and windows stay within a year. ``last_group`` leaves out
-    windows that end later in the year.
+    windows that end later in the year. ``tasks`` is how many tasks the rows
+    need; they are counted if it is not given.
     """
     along = Window.partitionBy(*series, "Year", "Bin").orderBy("Day")
     widest = max(len(k) for k in kernels.values())
@@ -112,7 +123,8 @@ def slide_days(
         )
         size = F.when(whole, whole_div(units, WEIGHT_UNITS * WEIGHT_UNITS * SIZE_UNITS))
         merged.append(F.struct(F.lit(name).alias("Mode"), size.alias("Bin_Value")))
-    slid = daily.repartition(*series, "Year").withColumns({**back, **first_day})
+    tasks = tasks_for(daily) if tasks is None else tasks
+    slid = spread(daily, [*series, "Year"], tasks).withColumns({**back, **first_day})
     if last_group is not None:
         slid = slid.filter(F.col("Day") <= last_group)
     return (
@@ -136,8 +148,9 @@ def multi_day_window(
     kernels = {window_label(len(kernel)): kernel for kernel in lags}
     if len(kernels) != len(lags):
         raise ValueError("two kernels have the same width")
-    daily = whole_days(hist, hours, series=series, **day_options)
-    return slide_days(daily, kernels, series=series, last_group=last_group)
+    tasks = window_tasks(hist, **day_options)
+    daily = whole_days(hist, hours, series=series, tasks=tasks, **day_options)
+    return slide_days(daily, kernels, series=series, last_group=last_group, tasks=tasks)
 
 
 def window_members(

@@ -7,10 +7,12 @@ import huestrata as hs
 from huestrata.operators import spread
 from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import pick_first_image, pick_first_in_file
+from huestrata.operators.windows import slide_days
 from tests.helpers import green_row, histogram, hue_row
 
 HOURS = {9: "0.5", 10: "0.5"}
 DAYS, BINS = 60, 10
+CELLS = {(0, 9): "0.5", (1, 10): "0.5"}
 
 
 @pytest.fixture
@@ -33,6 +35,8 @@ JOBS = {
     "uncertainty": lambda h: hs.uncertainty(h, HOURS, require_hours=2),
     "hourly": lambda h: hs.hourly_cpm(h),
     "earliest": lambda h: hs.daily_cpm(h, pick="earliest"),
+    "windows": lambda h: hs.multi_day_window(h, HOURS, [("0.5", "0.5")]),
+    "kernels": lambda h: hs.kernel_windows(h, {"k": CELLS}),
 }
 
 
@@ -46,7 +50,7 @@ def test_tasks_follow_the_rows_and_results_stay(hist, monkeypatch, job):
     few = result(run(hist))
     monkeypatch.setattr(spread, "TASK_ROWS", most)
     many = run(hist)
-    rows = hist.count()
+    rows = hist.filter("Metric_Type = 'HSV'").count() if job in ("windows", "kernels") else hist.count()
     assert many.rdd.getNumPartitions() == rows / most
     assert result(many) == few and few
 
@@ -55,10 +59,12 @@ def test_rows_of_a_task_stay_bounded(hist, monkeypatch):
     monkeypatch.setattr(spread, "TASK_ROWS", 480)
     long = long_histogram(hist)
     placed = long.withColumn("at", F.monotonically_increasing_id())
-    days = long.filter("Metric_Type = 'HSV' AND Hour = 9")
+    days = long.filter("Metric_Type = 'HSV' AND Hour = 9").withColumnRenamed("Bin_Value", "Bin_Units")
+    slid = slide_days(days, {"01": ["1"]})
     for df, rows in (
         (pick_first_image(long), long.count()),
         (pick_first_in_file(placed, place="at"), long.count()),
+        (slid, slid.count()),
     ):
         per_task = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(per_task) == rows
