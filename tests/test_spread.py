@@ -8,6 +8,7 @@ from huestrata.operators import spread
 from huestrata.operators.columns import long_histogram
 from huestrata.operators.images import pick_first_image, pick_first_in_file
 from huestrata.operators.windows import slide_days
+from huestrata.sources import tables
 from tests.helpers import green_row, histogram, hue_row
 
 HOURS = {9: "0.5", 10: "0.5"}
@@ -78,3 +79,16 @@ def test_few_rows_are_left_to_spark_and_a_refusal_waits_for_the_result(spark, hi
     twice = hs.daily_cpm(hist)
     with pytest.raises(Exception, match="several images of one day"):
         twice.collect()
+
+
+def test_filled_bins_of_a_task_stay_bounded(spark, tmp_path, monkeypatch):
+    spark.range(200).selectExpr(
+        "id AS l_partkey", "id * 50 AS l_suppkey", "cast(id % 7 AS int) AS l_linenumber", "cast(id AS double) AS l_quantity",
+        "cast(date_add(DATE '2011-01-01', cast(id % 50 AS int)) AS timestamp_ntz) AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = result(tables.lineitem_histogram(spark, str(tmp_path)))
+    monkeypatch.setattr(tables, "_FILLED", 360)
+    many = tables.lineitem_histogram(spark, str(tmp_path))
+    # One more shuffle, by another key, would bring back the number that Spark chooses.
+    assert many.rdd.getNumPartitions() == 20
+    assert result(many) == few and len(few) == 200 * 36
