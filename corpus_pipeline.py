@@ -78,7 +78,7 @@ def _row_key(docs: DataFrame):
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left; see ``packing.pack``."""
+    """Packs what is left; see ``packing.pack_texts``."""
     on_workers(spark)
     return catalog.packed(docs)
 

@@ -128,8 +128,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    encoded = packing.tokenize(WORD_TOKENIZER, end_id=1)
-    pieces = packing.pack(docs.select("doc_id", encoded("text").alias("ids")))
+    pieces = packing.pack_texts(docs, WORD_TOKENIZER, end_id=1)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -222,3 +222,15 @@ def test_packing_beside_columns_of_clashing_names(spark):
     )
     plain = sorted(map(tuple, catalog.packed(documents(spark, ["a b c", "d e f"]).coalesce(1)).collect()))
     assert sorted(map(tuple, catalog.packed(docs.coalesce(1)).collect())) == plain
+
+
+def test_texts_are_packed_in_one_step(spark):
+    """One Python worker for each task: no evaluation of ids beside the packing; the pieces are those of both steps."""
+    docs = documents(spark, odd_texts()).repartition(3).localCheckpoint()
+    plan = catalog.packed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    ids = packing.tokenize(catalog.WORD_TOKENIZER, end_id=1)("text")
+    apart = packing.pack(docs.select(F.col("doc_id").alias("own"), ids.alias("ids")), doc_id="own", block_sequences=2)
+    both = packing.pack_texts(docs, catalog.WORD_TOKENIZER, end_id=1, block_sequences=2)
+    assert both.columns == apart.columns
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
