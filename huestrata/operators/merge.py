@@ -36,12 +36,14 @@ def hourly_images(
     metrics: Sequence[str] = (HSV, GCC),
     extra: Sequence[str] = (),
     listed_hours_only: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One image per hour in long form with its ``Weight`` in ten-thousandths.
 
     Sizes are in thousandths of a pixel. Rows of metrics not asked for have no
     bin; they take part in the choice of the image and in the hours of a day.
-    Hours outside the list are dropped, or kept with a NULL weight.
+    Hours outside the list are dropped, or kept with a NULL weight. ``tasks`` is
+    the one of ``pick_first_image``.
     """
     if listed_hours_only:
         hist = listed_hours(hist, weights)
@@ -54,7 +56,7 @@ def hourly_images(
         units=SIZE_UNITS,
         other_rows=True,
     )
-    picked = pick_first_image(long, series=series)
+    picked = pick_first_image(long, series=series, tasks=tasks)
     return picked.withColumn("Weight", hour_weight(weights))
 
 

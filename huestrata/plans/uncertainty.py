@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from huestrata.functions import strict_max_over
 from huestrata.operators.distance import day_uncertainty, earth_movers_distance, pair_with_day
 from huestrata.operators.images import mark_hours
-from huestrata.operators.merge import hourly_images
+from huestrata.operators.merge import hourly_images, listed_hours
+from huestrata.operators.spread import spread, tasks_for
 from huestrata.schema import SERIES
 
+#: An image is one row here and is sorted once, so a task takes so many times the rows that it takes of bins.
+_IMAGES = 4
+
 
 def hourly_distance(
     hist: DataFrame,
@@ -34,8 +38,14 @@ def hourly_distance(
     """
     if tuple(match_on) not in {("Year", "Day"), ("Day",)}:
         raise ValueError("match_on is ('Year', 'Day') or ('Day',)")
+    tasks = tasks_for(listed_hours(hist, weights) if listed_hours_only else hist)
     images = hourly_images(
-        hist, weights, series=series, listed_hours_only=listed_hours_only, extra=extra
+        hist,
+        weights,
+        series=series,
+        listed_hours_only=listed_hours_only,
+        extra=extra,
+        tasks=tasks,
     )
     images = images.select(
         *series, "Year", "Day", "Hour", *extra, "Metric_Type", "Bin", "Bin_Value", "Weight"
@@ -58,8 +68,10 @@ def hourly_distance(
     )
     if by_day_only:
         same_day = Window.partitionBy(*series, "Day")
+        # Images are no more than the bins that were counted.
         distances = (
-            distances.withColumn("_any", F.max("_complete").over(same_day))
+            spread(distances, [*series, "Day"], -(-tasks // _IMAGES))
+            .withColumn("_any", F.max("_complete").over(same_day))
             .filter("_any")
             .drop("_any", "_complete")
         )

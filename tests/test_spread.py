@@ -74,6 +74,20 @@ def test_rows_of_a_task_stay_bounded(hist, monkeypatch):
         assert max(per_task) <= max(4 * 480, 4 * DAYS * BINS)
 
 
+def test_years_of_a_day_are_dealt_by_number_too(hist, monkeypatch):
+    def run():
+        return hs.hourly_distance(hist, HOURS, require_hours=2, match_on=("Day",))
+
+    few = result(run())
+    monkeypatch.setattr(spread, "TASK_ROWS", 480)
+    many = run()
+    # A fourth of the tasks of the bins, as an image is one row; Spark would choose one or a few by the bytes.
+    assert many.rdd.getNumPartitions() == hist.count() / 480 / 4
+    per_task = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) <= 4 * 480
+    assert result(many) == few and len(few) == hist.count() / BINS
+
+
 def test_few_rows_are_left_to_spark_and_a_refusal_waits_for_the_result(spark, hist):
     assert spread.tasks_for(hist) == 0
     twice = hs.daily_cpm(hist)
