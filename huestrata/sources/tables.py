@@ -20,6 +20,9 @@ _VALUES = ["Size", "MeanA", "MeanB", "MaxA", "MaxB"]
 #: Bins of the images that a row of a table is in, and how many bins one task fills up at most.
 _EVENT_BINS, _ITEM_BINS, _FILLED = 136, 36, 8_000_000
 
+#: Rows that one task adds up where no bins are filled up; a row of events is in two bins.
+_ADDED = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,32 +50,25 @@ def events_histogram(
         F.to_date("ts").alias("_date"),
         hour.alias("Hour"),
         (F.lit(0) if hours == "noon" else minute).alias("Minute"),
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(HSV).alias("Metric_Type"),
-                    (F.expr("(user_id * 37 + event_id) % 36") * 10).cast("int").alias("Bin"),
-                ),
-                F.struct(
-                    F.lit(GCC).alias("Metric_Type"),
-                    (F.floor("value") % 100).cast("int").alias("Bin"),
-                ),
-            )
-        ),
+        (F.expr("(user_id * 37 + event_id) % 36") * 10).cast("int").alias("hue"),
+        (F.floor("value") % 100).cast("int").alias("green"),
         (F.col("event_id") * 31 % 401 + 100).alias("pixels"),
         F.expr("user_id % 101").alias("a"),
         F.expr("event_id % 101").alias("b"),
     )
-    bins = events.groupBy(*_IMAGE, "Bin").agg(
+    both = F.array(
+        F.struct(F.lit(HSV).alias("Metric_Type"), F.col("hue").alias("Bin")),
+        F.struct(F.lit(GCC).alias("Metric_Type"), F.col("green").alias("Bin")),
+    )
+    days = _by_day(events, tasks_for(source, _FILLED // _EVENT_BINS if dense else _ADDED))
+    bins = days.select(*events.columns, F.inline(both)).groupBy(*_IMAGE, "Bin").agg(
         F.sum("pixels").cast("double").alias("Size"),
         (F.sum("a") / (F.count("a") * 100.0)).alias("MeanA"),
         (F.sum("b") / (F.count("b") * 100.0)).alias("MeanB"),
         F.max("a").alias("MaxA"),
         F.max("b").alias("MaxB"),
     )
-    if dense:
-        bins = _all_bins(bins, tasks_for(source, _FILLED // _EVENT_BINS))
-    return _as_histogram(bins, "evt_")
+    return _as_histogram(_all_bins(bins) if dense else bins, "evt_")
 
 
 def lineitem_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = True) -> DataFrame:
@@ -87,25 +83,34 @@ def lineitem_histogram(spark: SparkSession, sf_dir: str, *, dense: bool = True)
         (F.expr("l_partkey % 36") * 10).cast("int").alias("Bin"),
         (F.col("l_quantity") * 100).cast("bigint").alias("pixels"),
     )
-    bins = items.groupBy(*_IMAGE, "Bin").agg(
+    days = _by_day(items, tasks_for(source, _FILLED // _ITEM_BINS if dense else _ADDED))
+    bins = days.groupBy(*_IMAGE, "Bin").agg(
         F.sum("pixels").cast("double").alias("Size"),
         *[F.lit(None).cast("double").alias(c) for c in ("MeanA", "MeanB")],
         *[F.lit(None).cast("bigint").alias(c) for c in ("MaxA", "MaxB")],
     )
-    if dense:
-        bins = _all_bins(bins, tasks_for(source, _FILLED // _ITEM_BINS))
-    return _as_histogram(bins, "lin_")
+    return _as_histogram(_all_bins(bins) if dense else bins, "lin_")
+
+
+def _by_day(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows of a camera and day together, as the one shuffle of a table.
+
+    Bins are added up after it: a row is in a bin that few others share, so
+    adding up before would hold a hash table over a whole part of the file and
+    hand over as many rows. The other keys of an image can be constants, which
+    Spark drops from the grouping and would shuffle for again.
+    """
+    return spread(rows, ["_camera", "_date"], tasks)
 
 
-def _all_bins(bins: DataFrame, tasks: int) -> DataFrame:
+def _all_bins(bins: DataFrame) -> DataFrame:
     """Every bin of every image present; an image holds at most 100 bins.
 
-    A task hands over many more bins than it reads, and the next shuffle keeps
-    them in its memory until they are written, so the days are dealt to
-    ``tasks`` tasks. The other keys of an image can be constants, which Spark
-    drops from the grouping and would shuffle for again.
+    The days are together already. A task hands over many more bins than it
+    reads, and the next shuffle keeps them in its memory until they are written,
+    which is why the days come in so many tasks.
     """
-    images = spread(bins, ["_camera", "_date"], tasks).groupBy(*_IMAGE).agg(
+    images = bins.groupBy(*_IMAGE).agg(
         F.map_from_entries(F.collect_list(F.struct("Bin", F.struct(*_VALUES)))).alias("_found")
     )
     domain = F.when(
